@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: White space as the tokenizers' regular expressions have it.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _space_run = re.compile(f"[{SPACES}]+")
 #: Separators that str.split() takes for white space and the tokenizer doesn't.
 _odd = re.compile("[\x1c-\x1f]")
@@ -98,7 +98,13 @@ class Codec:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        # letters and numbers that Unicode got only after the tokenizer's version are symbols to it
+        newer = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x40000))))) if unicodedata.category(c) == "Cn")
+        letter, number = f"[\\p{{L}}--[{newer}]]", f"[\\p{{N}}--[{newer}]]"
+        spelled = steps[0]["pattern"]["Regex"]
+        if newer:
+            spelled = spelled.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{newer}]]").replace(r"[\p{L}]", letter).replace(r"[\p{N}]", number)
+        self.pattern = regex.compile(spelled, regex.V1)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
         self.words: dict[str, list[int]] = {}
