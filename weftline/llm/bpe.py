@@ -83,7 +83,8 @@ class Codec:
     """Encoder and decoder for a BPE file with NFC, lower case, a word pattern and a word-end suffix.
 
     White space only separates words here, so each run of other characters is encoded by itself, and the codes
-    of up to CACHE such runs are kept. A file of another shape is refused.
+    of up to CACHE such runs are kept. A file of another shape is refused. Code points that Unicode has assigned
+    since the library's tables were made are letters or symbols as the regex module's tables have them.
     """
 
     def __init__(self, path: str):
@@ -98,13 +99,7 @@ class Codec:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
-        # letters and numbers that Unicode got only after the tokenizer's version are symbols to it
-        newer = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x40000))))) if unicodedata.category(c) == "Cn")
-        letter, number = f"[\\p{{L}}--[{newer}]]", f"[\\p{{N}}--[{newer}]]"
-        spelled = steps[0]["pattern"]["Regex"]
-        if newer:
-            spelled = spelled.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{newer}]]").replace(r"[\p{L}]", letter).replace(r"[\p{N}]", number)
-        self.pattern = regex.compile(spelled, regex.V1)
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
         self.words: dict[str, list[int]] = {}
