@@ -44,3 +44,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_report
 
     return chat_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
