@@ -58,3 +58,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
