@@ -65,3 +65,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_components
 
     return near_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
