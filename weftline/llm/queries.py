@@ -79,3 +79,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_report
 
     return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
