@@ -6,6 +6,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(
 _space_run = re.compile(f"[{SPACES}]+")
 #: Separators that str.split() takes for white space and the tokenizer doesn't.
 _odd = re.compile("[\x1c-\x1f]")
-CACHE = 150_000
+CACHE = 120_000
 
 
 def public_file(name: str) -> str:
@@ -45,45 +46,59 @@ def byte_letters() -> list[str]:
     return out
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int], base: int) -> list[int]:
     """The symbols after all merges, lowest rank first and leftmost among equals.
 
-    A priority queue holds (rank, left position) of adjacent pairs of a doubly linked list; an entry is stale
-    when its left symbol is gone or its pair has another rank by now.
+    ranks has a * base + b of each pair that merges; made, by rank, the symbol that it becomes. A priority queue holds
+    rank and left position of adjacent pairs of a doubly linked list; an entry is stale when its left symbol is gone or
+    its pair has another rank by now.
     """
     n = len(symbols)
-    if n < 2:
-        return symbols
     get = ranks.get
-    queue = [(r, i) for i in range(n - 1) if (r := get((symbols[i], symbols[i + 1]))) is not None]
+    queue = [r << 32 | i for i in range(n - 1) if (r := get(symbols[i] * base + symbols[i + 1])) is not None]
     if not queue:
         return symbols
-    symbols = [*symbols]
     heapq.heapify(queue)
+    pop, push = heapq.heappop, heapq.heappush
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
     while queue:
-        rank, i = heapq.heappop(queue)
+        entry = pop(queue)
+        i = entry & 0xFFFFFFFF
         j = after[i]
-        if symbols[i] == "" or j < 0 or get((symbols[i], symbols[j])) != rank:
+        a = symbols[i]
+        if a < 0 or j < 0 or get(a * base + symbols[j]) != entry >> 32:
             continue
-        symbols[i] += symbols[j]
-        symbols[j] = ""
+        a = symbols[i] = made[entry >> 32]
+        symbols[j] = -1
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if (r := get((symbols[i], symbols[k]))) is not None:
-                heapq.heappush(queue, (r, i))
+            if (r := get(a * base + symbols[k])) is not None:
+                push(queue, r << 32 | i)
         h = before[i]
-        if h >= 0 and (r := get((symbols[h], symbols[i]))) is not None:
-            heapq.heappush(queue, (r, h))
-    return [s for s in symbols if s]
+        if h >= 0 and (r := get(symbols[h] * base + a)) is not None:
+            push(queue, r << 32 | h)
+    return [s for s in symbols if s >= 0]
+
+
+class Recent:
+    """A cache of at least `size` and at most twice as many entries: the older half goes when the newer one is full."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def add(self, key: str, value):
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
 
 
 class Codec:
     """Encoder and decoder for a BPE file with NFC, lower case, a word pattern and a word-end suffix.
 
     White space only separates words here, so each run of other characters is encoded by itself, and the codes
-    of up to CACHE such runs are kept. A file of another shape is refused. Code points that Unicode has assigned
+    of the last such runs are kept. A file of another shape is refused. Code points that Unicode has assigned
     since the library's tables were made are letters or symbols as the regex module's tables have them.
     """
 
@@ -96,46 +111,54 @@ class Codec:
             raise ValueError(f"{path}: not a lower-casing BPE with word ends")
         self.suffix = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.base = max(self.vocab.values()) + 1
+        self.ranks = {self.vocab[a] * self.base + self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.letters = byte_letters()
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, bytes] = {}
+        self.inner = [self.vocab.get(x) for x in byte_letters()]
+        self.last = [self.vocab.get(x + self.suffix) for x in byte_letters()]
+        self.words = Recent(CACHE)
+        self.runs = Recent(CACHE)
 
     def word(self, word: str) -> list[int]:
-        if (found := self.words.get(word)) is None:
-            symbols = [self.letters[b] for b in word.encode("utf-8")]
-            symbols[-1] += self.suffix
-            found = [self.vocab[s] for s in merge([s for s in symbols if s in self.vocab], self.ranks)]
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = found
+        if (found := self.words.new.get(word)) is None:
+            if (found := self.words.old.get(word)) is None:
+                code = word.encode("utf-8")
+                symbols = [*map(self.inner.__getitem__, code[:-1]), self.last[code[-1]]]
+                found = merge([x for x in symbols if x is not None], self.ranks, self.made, self.base)
+            self.words.add(word, found)
         return found
 
     def run(self, text: str) -> bytes:
         """Little-endian ids of text without white space."""
+        if (found := self.runs.old.get(text)) is not None:
+            return self.runs.add(text, found)
         ids: list[int] = []
         for part in self.at_special.split(text) if "<|" in text else (text,):
             if part in self.special:
                 ids.append(self.special[part])
                 continue
             # each capital sigma becomes the plain small one, at a word's end too
-            part = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
-            for word in self.pattern.findall(part):
-                ids += self.word(word)
-        found = np.array(ids, "<u4").tobytes()
-        if len(self.runs) >= CACHE:
-            self.runs.clear()
-        self.runs[text] = found
-        return found
+            part = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")).lower()
+            if part.isascii() and part.isalpha():
+                ids += self.word(part)
+            else:
+                for word in self.pattern.findall(part):
+                    ids += self.word(word)
+        return self.runs.add(text, array("I", ids).tobytes())
 
     def encode_bytes(self, text: str) -> bytes:
         runs = text.split() if not _odd.search(text) else [r for r in _space_run.split(text) if r]
-        known, run = self.runs.get, self.run
-        return b"".join([known(r) or run(r) for r in runs])
+        out = []
+        for r in runs:
+            if (found := self.runs.new.get(r)) is None:
+                found = self.run(r)
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
