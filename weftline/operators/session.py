@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, ranges, text
+from ..plans.stages import stage
 
 
 @dataclass(frozen=True)
@@ -375,17 +376,17 @@ def emitted(scored: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def suggest(reads: DataFrame, touches: DataFrame, files: DataFrame | None = None, history: DataFrame | None = None, total_commits: int = 0, symbols: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
     """The whole pipeline: sid, place, ids, participants (path, start, end), composite, band, viability and the score's parts."""
-    ops = located(operations(reads, touches, s), s)
-    parts = participants(ops, symbols, s)
-    canon = canonical_ranges(parts)
-    found = evidence(ops, parts, canon, s)
+    ops = stage(located(operations(reads, touches, s), s))
+    parts = stage(participants(ops, symbols, s))
+    canon = stage(canonical_ranges(parts))
+    found = stage(evidence(ops, parts, canon, s))
     tokens = idf = cohesion = None
     if files is not None:
-        tokens = range_tokens(canon, files)
+        tokens = stage(range_tokens(canon, files))
         idf = inverse_frequency(tokens)
         cohesion = pair_cohesion(found, tokens, idf, s).drop("trigram")
-    kept = edges(found, canon, history, total_commits, cohesion, s)
-    scored = candidates(cliques(kept, s), kept, canon, tokens, idf, history=history is not None, s=s)
+    kept = stage(edges(found, canon, history, total_commits, cohesion, s))
+    scored = stage(candidates(stage(cliques(kept, s)), kept, canon, tokens, idf, history=history is not None, s=s))
     shown = emitted(scored, s)
     names = shown.select("sid", "key", F.posexplode("ids").alias("p", "id")).join(canon, ["sid", "id"]).groupBy("sid", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "path", "start", "end"))), lambda x: F.struct(x["path"].alias("path"), x["start"].alias("start"), x["end"].alias("end"))).alias("participants"))
     return shown.join(names, ["sid", "key"])
