@@ -164,19 +164,35 @@ def _least(s: np.ndarray, seed: int) -> np.uint64:
 
 def parity(s: np.ndarray) -> np.ndarray:
     """Whether each residue of the hashes is met an odd number of times: two bitmaps differ in at most |A xor B| bits."""
-    bits = 64 << max(0, (len(s) - 1).bit_length() - 7)
+    bits = 256 << max(0, (len(s) - 1).bit_length() - 6)
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
-def _fits(a: bytes, n: int, b: bytes, m: int, rules: Overlap) -> bool:
-    """False only if sets of n and m with these bitmaps can't link."""
-    if rules.needed(max(n, m)) > min(n, m):
-        return False
-    x, y = (np.frombuffer(z, np.uint64) for z in (a, b))
-    while len(x) != len(y):  # a longer bitmap folds to a shorter one
-        x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
-    return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * rules.pair_needed(n, m)
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap folded to a shorter one: the parity of fewer residues."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def possible(sizes: np.ndarray, bitmaps: list[np.ndarray], rules: Overlap) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, in ascending order of sizes, the later ones that may link with it by their sizes and bitmaps.
+
+    Bitmaps differ in no more bits than sets in elements, so those that differ in more than a link allows are refused.
+    """
+    largest = 100 * sizes // rules.percent
+    shapes: dict[int, np.ndarray] = {}
+    for i, own in enumerate(bitmaps):
+        stop = int(np.searchsorted(sizes, largest[i], "right"))
+        if stop <= i + 1:
+            continue
+        if len(own) not in shapes:
+            shapes = {len(own): np.stack([_folded(b, len(own)) if len(b) >= len(own) else np.zeros(len(own), np.uint64) for b in bitmaps])}
+        differ = np.bitwise_count(shapes[len(own)][i + 1 : stop] ^ own).sum(axis=1)
+        both = sizes[i] + sizes[i + 1 : stop]
+        least = -(-rules.percent * both // (100 + rules.percent))
+        yield i, i + 1 + np.flatnonzero(differ <= both - 2 * least)
 
 
 def viable(profile: DataFrame, rules: Overlap) -> DataFrame:
@@ -205,13 +221,21 @@ def _block_roots(rows: DataFrame, rules: Overlap) -> DataFrame:
     return rows.groupBy("b0", "b1").applyInArrow(run, f"doc {kind}, root {kind}")
 
 
-def _blocks(rows: DataFrame, rules: Overlap) -> DataFrame:
-    """rows dealt to blocks (key, part) of about rules.block documents, each by the key that most rows have."""
+def _blocks(rows: DataFrame, ranked: DataFrame, rules: Overlap, hubs: int = 8) -> DataFrame:
+    """doc, b0, b1: rows dealt to blocks (key, part) of about rules.block documents, each by the key that most rows have.
+
+    Copies of one original may each link with it and not with each other, so every part of a key also gets the key's
+    `hubs` documents with the smallest share of tokens of their own (ranked: doc, alone).
+    """
     keyed = rows.select("doc", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1")
     best = keyed.join(sizes, "key").groupBy("doc").agg(F.max(F.struct("count", "key")).alias("k"))
-    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("k.count") / rules.block).cast("long"))
-    return best.select("doc", F.col("k.key").alias("b0"), part.alias("b1"))
+    parts = F.ceil(F.col("k.count") / rules.block).cast("long")
+    dealt = best.select("doc", F.col("k.key").alias("b0"), F.pmod(F.xxhash64("doc"), parts).alias("b1"), parts.alias("parts"))
+    first = dealt.where("parts > 1").join(ranked, "doc").groupBy("b0", "b1").agg(F.min(F.struct("alone", "doc")).alias("h"), F.max("parts").alias("parts"))
+    chosen = first.groupBy("b0").agg(F.slice(F.sort_array(F.collect_list("h")), 1, hubs).alias("h"), F.max("parts").alias("parts"))
+    everywhere = chosen.select("b0", F.explode("h").alias("h"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("b1")).select(F.col("h.doc").alias("doc"), "b0", F.explode("b1").alias("b1"))
+    return dealt.select("doc", "b0", "b1").union(everywhere).distinct()
 
 
 def near_links(sets: DataFrame, rules: Overlap) -> DataFrame:
@@ -222,24 +246,26 @@ def near_links(sets: DataFrame, rules: Overlap) -> DataFrame:
     each set the tokens() rarest in sorted order, one of which any partner has among its own; pairs within a component
     are passed over, size and parity bitmap refuse most others, and what is left is decided by probing the sets.
     """
-    links = None
-    rest, label = sets, sets.select("doc", F.col("doc").alias("root"))
-    for _ in range(2):
-        dealt = _blocks(rest, rules).join(rest.select("doc", "hashes"), "doc")
-        found = cut(_block_roots(dealt, rules).where("doc <> root"))
-        links = found if links is None else links.union(found)
-        label = label.join(found.select(F.col("doc").alias("root"), F.col("root").alias("top")), "root", "left").select("doc", F.coalesce("top", "root").alias("root"))
-        rest = rest.join(found.select("doc"), "doc", "left_anti")
-    label = cut(label)
-
-    kind = sets.schema["doc"].dataType.simpleString()
     tokens = _tokens(sets)
     counts = tokens.groupBy("token").count().where("count > 1")
     several = tokens.join(counts, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("common"))
     # tokens of one document alone come first in the order and find nobody
     alone = F.col("n") - F.size("common")
     short = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * rules.percent / 100) + 1 - alone).cast("int"))
-    entries = cut(several.select("doc", "n", F.explode(F.transform(short, lambda s: s["token"])).alias("token")).join(label, "doc"))
+    ordered = cut(several.select("doc", "n", (alone / F.col("n")).alias("alone"), F.transform(short, lambda s: s["token"]).alias("tokens")))
+
+    links, rest = None, sets
+    for _ in range(2):
+        dealt = _blocks(rest, ordered, rules).join(rest.select("doc", "hashes"), "doc")
+        found = cut(_block_roots(dealt, rules).where("doc <> root").distinct())
+        links = found if links is None else links.union(found)
+        rest = rest.join(found.select("doc").distinct(), "doc", "left_anti")
+    links = links.select(F.col("doc").alias("a"), F.col("root").alias("b"))
+    label = components(links).select(F.col("node").alias("doc"), F.col("component").alias("root"))
+
+    kind = sets.schema["doc"].dataType.simpleString()
+    entries = ordered.where("size(tokens) > 0").join(label, "doc", "left").select("doc", "n", F.coalesce("root", "doc").alias("root"), F.explode("tokens").alias("token"))
+    entries = cut(entries)
     apart = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     entries = entries.join(apart, "token").join(sets.select("doc", "parity"), "doc")
     # a token's documents in parts of bounded size: each part meets itself and every later one
@@ -250,14 +276,12 @@ def near_links(sets: DataFrame, rules: Overlap) -> DataFrame:
 
     def candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n", "doc", "root", "parity", "part")), strict=True))
+        sizes = np.array([r[0] for r in rows], np.int64)
         x, y = key[1].as_py(), key[2].as_py()
         out: list[tuple] = []
-        for i, (n, d, r, p, at) in enumerate(rows):
-            for m, e, s, q, other in rows[i + 1 :]:
-                if rules.needed(m) > n:
-                    break
-                if r != s and (x == y or at != other) and _fits(p, n, q, m, rules):
-                    out.append((d, e))
+        for i, later in possible(sizes, [np.frombuffer(r[3], np.uint64) for r in rows], rules):
+            _, d, r, _, at = rows[i]
+            out += [(d, rows[j][1]) for j in later.tolist() if rows[j][2] != r and (x == y or rows[j][4] != at)]
         kind = table.schema.field("doc").type
         return pa.table({"a": pa.array([a for a, _ in out], kind), "b": pa.array([b for _, b in out], kind)})
 
@@ -276,7 +300,7 @@ def near_links(sets: DataFrame, rules: Overlap) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     more = probed.select("a", "b", "p", "q").mapInArrow(probe, f"a {kind}, b {kind}")
-    return links.select(F.col("doc").alias("a"), F.col("root").alias("b")).union(more)
+    return links.union(more)
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
