@@ -17,16 +17,28 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
-CACHE = 150_000
+#: Runs kept with their ids, at most twice as many, and the longest run that is kept.
+CACHE, LONGEST = 700_000, 64
+#: Marks that make a pre-token of their own after a word. Fixed values.
+MARKS = ".,!?;:*$%&#|"
 #: Two white-space characters in a row, or one at either end: there a text can't be cut at its single spaces.
-_runs = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
+_runs = re.compile(r"\s\s|^\s|\s$")
+#: Separators that Python takes for white space and the tokenizer doesn't.
+_odd = re.compile(r"[\x1c-\x1f]")
+
+
+def _single_gaps(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds inside the text, told without looking at each place."""
+    words, gaps = text.split(), text.count(" ") + text.count("\n")
+    return len(words) - 1 == gaps and sum(map(len, words)) + gaps == len(text)
 
 
 class Encoder:
-    """Ids of a byte-level BPE file by the tokenizers library, with the ids of up to CACHE space-separated runs kept.
+    """Ids of a byte-level BPE file by the tokenizers library, with the ids of recent space-separated runs kept.
 
     Where a text has no two white-space characters in a row and none at its ends, its single spaces and line feeds
-    are ends of pre-tokens, so what stands between is encoded by itself; other texts are encoded whole.
+    are ends of pre-tokens, so what stands between is encoded by itself; other texts are encoded whole. New runs go to
+    the library many at a time, a line feed between, whose id no run holds.
     """
 
     def __init__(self, path: str):
@@ -38,21 +50,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.feed = self.raw(["\n"])[0]
+        # ids of runs at the start of a line, and of runs after a space with it
+        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.older: list[dict[str, bytes]] = [{}, {}]
+        self.marks: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def many(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs without line feeds, none with white space at its end."""
+        ids = np.array(self.tokenizer.encode("\n".join(runs), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0])
+        if len(self.feed) != 4 or len(ends) != len(runs) - 1:
+            return self.raw(runs)
+        code, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+        return [code[4 * a + 4 : 4 * z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+    def learn(self, side: int, runs: set[str]) -> list[str]:
+        """Puts all the runs among the known ones; gives those that are too long to be kept."""
+        if len(self.known[side]) >= CACHE:
+            self.older[side], self.known[side] = self.known[side], {}
+        known, older, missing, marked = self.known[side], self.older[side], [], []
+        for r in runs.difference(known):
+            if r in older:
+                known[r] = older[r]
+                continue
+            word = r.rstrip(MARKS)
+            if word != r and word.isalpha():
+                marked.append((r, word))
+                if word in known:
+                    continue
+                if word in older:
+                    known[word] = older[word]
+                    continue
+                r = word
+            missing.append(r)
+        missing = [*dict.fromkeys(missing)]
+        for at in range(0, len(missing), 1000):
+            part = missing[at : at + 1000]
+            known.update(zip(part, self.many([" " + r for r in part] if side else part), strict=True))
+        marks = {r[len(word) :] for r, word in marked}.difference(self.marks)
+        if marks:
+            self.marks.update(zip(marks, self.raw([*marks]), strict=True))
+        for r, word in marked:
+            known[r] = known[word] + self.marks[r[len(word) :]]
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        return [r for r in {*missing, *(r for r, _ in marked)} if len(r) > LONGEST]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        cuts = [None if _runs.search(t) else t.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0") if t and "\0" not in t else None for t in texts]
-        known = self.known
-        missing = [*{r for c in cuts if c for r in c if r not in known}]
-        if len(known) + len(missing) > CACHE:
-            known = self.known = {}
-            missing = [*{r for c in cuts if c for r in c}]
-        known.update(zip(missing, self.raw(missing), strict=True))
-        return [b"".join(map(known.__getitem__, c)) if c else self.raw([t])[0] for t, c in zip(texts, cuts, strict=True)]
+        plain = (_single_gaps(t) or not _runs.search(t) for t in texts)
+        cuts = [[x.split(" ") for x in t.split("\n")] if t and ok and not _odd.search(t) else None for t, ok in zip(texts, plain, strict=True)]
+        heads, tails = set(), set()
+        for lines in cuts:
+            for x in lines or ():
+                heads.add(x[0])
+                tails.update(x[1:])
+        long = [self.learn(0, heads), self.learn(1, tails)]
+        head, tail = self.known[0].__getitem__, self.known[1].__getitem__
+        out = []
+        for t, lines in zip(texts, cuts, strict=True):
+            if lines is None:
+                out.append(self.raw([t])[0] if t else b"")
+            else:
+                out.append(self.feed.join([b"".join([head(x[0]), *map(tail, x[1:])]) for x in lines]))
+        for side, runs in enumerate(long):
+            for r in runs:
+                del self.known[side][r]
+        return out
 
 
 @lru_cache(2)
