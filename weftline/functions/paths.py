@@ -15,6 +15,9 @@ EXCLUDED_FOLDERS = ("node_modules/", "target/", "dist/", "build/", "coverage/",
 EXCLUDED_SUFFIXES = (".snap", ".lock", ".min.js", ".min.css", ".map")
 LOCKFILES = ("yarn.lock", "package-lock.json", "Cargo.lock", "pnpm-lock.yaml", "Gemfile.lock", "poetry.lock", "go.sum", "Pipfile.lock", "composer.lock")
 NESTED_LOCKFILES = ("yarn.lock", "package-lock.json", "Cargo.lock", "pnpm-lock.yaml", "go.sum")
+#: Files that suggestions never name. Fixed patterns.
+REJECTED_ANYWHERE = r"(^|/)(yarn-validate-output\.log|\.last-flush)(/|$)"
+REJECTED_NAMES = (r"^analyze-v[0-9]+\.mjs$", "^mesh-suggestions")
 #: Commit messages, in the common subset of regular expressions. Fixed patterns.
 DEPENDENCY_UPDATE = r"(?i)\b(bump|upgrade|update)\b.*\b(deps?|dependenc|version|packages?)\b|^chore\(deps\)|dependabot|renovate"
 FIX = r"(?i)\b(fix(es|ed|ing)?|bug|regression|hotfix|patch|revert|restore|tighten|close[sd]?\s+(the\s+)?\S+\s+loophole|closes?\s+#\d+)\b"
@@ -64,10 +67,9 @@ def is_acceptable(path: Column) -> Column:
         & ~F.startswith(path, F.lit("/"))
         & ~F.endswith(path, F.lit("/"))
         & path.rlike("[/.]")
-        & ~path.rlike(r"(^|/)(yarn-validate-output\.log|\.last-flush)(/|$)")
+        & ~path.rlike(REJECTED_ANYWHERE)
         & (extended | (F.size(F.split(path, "/")) > 2))
-        & ~base.rlike(r"^analyze-v[0-9]+\.mjs$")
-        & ~F.startswith(base, F.lit("mesh-suggestions"))
+        & ~base.rlike("|".join(REJECTED_NAMES))
     )
 
 
