@@ -135,6 +135,19 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_lexicon_counts_all_labelled_rows(spark, monkeypatch):
+    texts = [prose(i, 20) + (f" vile{chr(97 + i // 5 % 20)}zq" if i % 5 == 0 else "") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    seen, plain = [], toxicity.lexicon
+    monkeypatch.setattr(toxicity, "lexicon", lambda counts, rules: seen.extend(counts.collect()) or plain(counts, rules))
+    toxicity.score_toxicity(docs(spark, texts), labels, rules=toxicity.Supervision(sample=50)).count()
+    want = (Counter(), Counter())
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            want[i % 5 == 0].update(toxicity.terms_of(t, (4, 5, 6)))
+    assert {r.term: (r.toxic, r.clean) for r in seen} == {t: (want[1][t], want[0][t]) for t in {*want[0], *want[1]}}
+
+
 def test_label_model_discounts_copied_voters():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.3

@@ -21,8 +21,8 @@ _word = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Supervision:
     """terms: lexicon and pattern voters at most. precision and support: what a term needs, the share of its documents
-    that are toxic and how many of those. sample: labelled rows that voters, label model and classifier are fitted on,
-    at most; their ids are the only broadcast, so texts stay where they are. stems: word beginnings used as patterns.
+    that are toxic and how many of those. sample: labelled rows that the label model and the classifier are fitted on,
+    at most (documented bound; the terms are counted over all labelled rows). stems: word beginnings used as patterns.
     """
 
     terms: int = 600
@@ -135,10 +135,10 @@ def features(terms: set[str], size: int, place: dict[str, int]) -> tuple[list[in
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", rules: Supervision | None = None) -> DataFrame:
     """key, held_out, score (0 to 1) of each whole text; labels: key, toxic.
 
-    Labels are learned from rows that aren't held out, at most rules.sample of them, chosen by a hash of the id; the
-    lexicon, the label model and the classifier are fitted on those. Only the text is an input of a score. Null and
-    empty texts are scored as texts without words. Without any toxic labelled row, all scores are 0. Repeated rows are
-    scored each; repeated labels count as toxic if any is.
+    Labels are learned from rows that aren't held out. The lexicon comes from counts over all of those; the label
+    model and the classifier are fitted on at most rules.sample of them, chosen by a hash of the id. Only the text is an
+    input of a score. Null and empty texts are scored as texts without words. Without any toxic labelled row, all scores are 0.
+    Repeated rows are scored each; repeated labels count as toxic if any is.
     """
     rules = rules or Supervision()
     known = labels.select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null AND key is not null").groupBy("key").agg(F.max(F.least("toxic", F.lit(1))).alias("toxic"))
@@ -148,7 +148,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     share = 1.0 if total <= rules.sample else rules.sample / total
     chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(0.98 * share * 1_000_000)) if share < 1 else known
     few = given.join(F.broadcast(chosen), "key").select("text", "toxic")  # rules.sample ids at most
-    words = lexicon(count_terms(few, rules), rules)
+    # the texts that aren't held out meet the labels by one shuffle at every size; the labels are hashed, so no text is sorted
+    learned = given.where(~held_out("key")).join(known.hint("shuffle_hash"), "key")
+    words = lexicon(count_terms(learned, rules), rules)
     place = {t: i for i, t in enumerate(words)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
