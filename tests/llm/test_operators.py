@@ -61,6 +61,25 @@ def test_fingerprints(spark):
     assert got[0].fingerprint == got[7].fingerprint != got[1].fingerprint
 
 
+def test_fingerprints_of_the_largest_group(spark):
+    """Copies count once, so a group of copies keeps its terms; texts without a term of the band aren't alike for that."""
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    alone = [" ".join(r.choice(words, 40, replace=False)) for _ in range(40)]
+    texts = [*alone, *[alone[0].upper() + " " * (i % 2) for i in range(30)]]
+    rows = docs(spark, texts)
+    held = Counter(w for t in alone for w in t.split())
+    band = {w for w, n in held.items() if 2 <= n <= 8}
+    hashes = spark.createDataFrame([(w,) for w in band], "w string").select(F.xxhash64("w").alias("h"))
+    got = fingerprints.lexicon(rows.select("text"), fingerprints.Lexicons())
+    assert {x.term for x in got.collect()} == {x.h for x in hashes.collect()} and band & {*alone[0].split()}
+    found = {x.doc_id: x for x in fingerprints.fingerprint_report(rows).collect()}
+    assert found[0].fingerprint == found[69].fingerprint and len(found[0].fingerprint.replace(".", "")) > 16
+    bare = {x.doc_id: x for x in fingerprints.fingerprint_report(docs(spark, ["alpha beta", "beta alpha", "gamma delta", "", None])).collect()}
+    assert [bare[i].near_next for i in range(5)] == [1, 0, 0, 1, 0]
+    assert bare[0].fingerprint == bare[1].fingerprint and len({bare[i].fingerprint for i in range(1, 5)}) == 3
+
+
 def test_with_next_over_gaps(spark):
     ids = [-5, 0, 3, 10**12, 10**12 + 1]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")

@@ -13,18 +13,20 @@ from .common import cut, text_of
 @dataclass(frozen=True)
 class Lexicons:
     """rare and common: the band of document frequency, as shares of all documents, whose terms are kept (inverse
-    document frequency from ln(1 / common) to ln(1 / rare)). slots: (number of slots that a hash deals the terms to at random,
+    document frequency from ln(1 / common) to ln(1 / rare)). Documents with the same `sketch` smallest hashes of terms,
+    which copies and most near copies have, count as one. slots: (number of slots that a hash deals the terms to at random,
     how many of the slots are lexicons); small lexicons stay the same when a part of a text changes, those of
     many slots in long texts.
 
     Terms over rare are at most (terms of a text) / rare in number, however many documents there are; up to `broadcast`
-    of them the lexicon is sent to all executors, and beyond that it is joined by a shuffle.
+    of them the lexicon is sent to all executors, and beyond that it is joined by a shuffle. So are the sketches of copies.
     """
 
     rare: float = 0.0005
     common: float = 0.2
     least: int = 2
     slots: tuple[tuple[int, int], ...] = ((64, 32), (512, 32))
+    sketch: int = 16
     broadcast: int = 2_000_000
 
 
@@ -35,9 +37,17 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, rules: Lexicons) -> DataFrame:
-    """term of each term in the band; texts: a column `text`. Counts cover all documents and are summed before the shuffle."""
-    total = texts.count()
-    counts = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").count()
+    """term of each term in the band; texts: a column `text`. Counts cover all documents and are summed before the shuffle.
+
+    Each of n documents of a sketch counts 1 / n, in units of 2**-32, so that sums are rounded to whole numbers right.
+    """
+    one = 1 << 32
+    keyed = texts.select(term_hashes(F.col("text")).alias("terms")).select("terms", F.xxhash64(F.slice(F.array_sort("terms"), 1, rules.sketch)).alias("alike"))
+    groups = cut(keyed.groupBy("alike").agg(F.count("*").alias("n")))
+    total, copied = groups.count(), groups.where("n > 1")
+    joined = keyed.join(F.broadcast(copied) if copied.count() <= rules.broadcast else copied, "alike", "left")
+    shares = joined.select(F.explode("terms").alias("term"), F.expr(f"coalesce({one}L div n, {one}L)").alias("share"))
+    counts = shares.groupBy("term").agg(F.shiftright(F.sum("share") + F.lit(one // 2), 32).alias("count"))
     low, high = max(rules.least, rules.rare * total), rules.common * total
     return counts.where((F.col("count") >= low) & (F.col("count") <= max(high, rules.least))).select("term")
 
@@ -75,7 +85,8 @@ def fingerprints(texts: DataFrame, lexicon_terms: DataFrame, keys: list[str], co
     """keys and, for each text column, its fingerprint parts. keys are unique.
 
     Terms are exploded, met with the lexicon and collected again by key; where the rows already lie by the first key,
-    as after a window over it, only the lexicon moves. A text's terms are one group, as large as the text.
+    as after a window over it, only the lexicon moves. A text's terms are one group, as large as the text. Where none of
+    them is in the lexicon, the first two parts are the halves of a hash of them all, and the others null.
     """
 
     def sided(side: int, column: str) -> Column:
@@ -86,10 +97,16 @@ def fingerprints(texts: DataFrame, lexicon_terms: DataFrame, keys: list[str], co
     few = lexicon_terms.withColumn("__in", F.lit(True))
     rows = rows.join(F.broadcast(few) if few.count() <= rules.broadcast else few, "term", "left")
     sides = [F.sort_array(F.collect_list(F.when(F.col("__in") & (F.col("side") == i), F.col("term")))).alias(c) for i, c in enumerate(columns)]
-    grouped = rows.groupBy(*keys).agg(*sides)
+    alls = [F.bit_xor(F.when(F.col("side") == i, F.xxhash64("term", F.lit(-1)))).alias(f"{c}_all") for i, c in enumerate(columns)]
+    grouped = rows.groupBy(*keys).agg(*sides, *alls)
     # columns of their own, so that each is made once
-    dealt = grouped.select(*keys, *[slotted(F.col(c), n, used, k).alias(f"{c}_{k}") for c in columns for k, (n, used) in enumerate(rules.slots)])
-    return dealt.select(*keys, *[F.concat(*[slot_hashes(F.col(f"{c}_{k}"), used) for k, (_, used) in enumerate(rules.slots)]).alias(c) for c in columns])
+    bare = [F.when(F.size(c) == 0, F.col(f"{c}_all")).alias(f"{c}_all") for c in columns]
+    dealt = grouped.select(*keys, *bare, *[slotted(F.col(c), n, used, k).alias(f"{c}_{k}") for c in columns for k, (n, used) in enumerate(rules.slots)])
+    low = F.lit(0xFFFFFFFF)
+    rest = F.array_repeat(F.lit(None).cast("bigint"), sum(used for _, used in rules.slots) - 2)
+    whole = lambda c: F.concat(F.array(F.col(c).bitwiseAND(low), F.shiftrightunsigned(c, 32)), rest)
+    parts = lambda c: F.concat(*[slot_hashes(F.col(f"{c}_{k}"), used) for k, (_, used) in enumerate(rules.slots)])
+    return dealt.select(*keys, *[F.when(F.col(f"{c}_all").isNotNull(), whole(f"{c}_all")).otherwise(parts(c)).alias(c) for c in columns])
 
 
 def with_next(docs: DataFrame, *, key: str = "doc_id", width: int = 2000) -> DataFrame:
