@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import public_file
-from weftline.llm.common import WORD_PATTERN, stored, table
+from weftline.llm.common import WORD_PATTERN, stored, table, text_of
 from weftline.llm.linededup import dedup_lines
 from weftline.llm.ngram_join import Overlap, near_components
 from weftline.llm.packing import packed_report
@@ -28,9 +28,10 @@ def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
-    judged = judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi").select(*docs.columns)
+    """Documents that fail the quality rules go. Each row stays or goes by its own id, language and text; an id may be null."""
+    kept = judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("__id"), F.col("stratum").alias("__lang"), F.col("text_hash").alias("__hash")).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("lang").cast("string").eqNullSafe(F.col("__lang")) & (F.xxhash64(text_of()) == F.col("__hash"))
+    return docs.join(kept, own, "left_semi").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal sets of five-word shingles (0.8 or more), the one with the smallest id stays."""
+    """Of documents linked by near-equal sets of five-word shingles (0.8 or more), the one with the smallest id stays, and every row without an id."""
     found = near_components(docs, rules=Overlap(words=5, percent=80))
     first = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,6 +105,21 @@ def test_quality_counts(spark):
         assert got[i].kept == (not got[i].base_failed)  # nothing is certified without labels
 
 
+def test_pipeline_keeps_rows_without_an_id(spark, tmp_path):
+    """Each row stays or goes by its own verdict: ids may be null, and rows may share one."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = [prose(i, 40) for i in range(4)]
+    rows = [(None, clean[0]), (None, clean[1]), (None, "bad"), (None, None), (7, clean[2]), (7, "bad too"), (8, clean[3])]
+    given = spark.createDataFrame([(i, t, "en" if i else None, "s", len(t or "")) for i, t in rows], DOCS)
+    want = sorted(clean)
+    for stage in (p.quality, p.line_dedup, p.near_duplicates, p.secrets):
+        given = p.stored(stage(spark, given, str(tmp_path)))
+        assert sorted(r.text for r in given.collect()) == want
+    assert p.packing(spark, given, str(tmp_path)).where("doc_id is null and piece = 0").count() == 2
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(0, 100), (1, 500), (3, 2000), (40, 4000), (50, 100)]
     row = spark.range(1).select(*[F.expr(quality.binomial_tail(f"{k}L", f"{n}L", 0.02)) for k, n in cases]).first()

@@ -55,13 +55,14 @@ def with_repeats(df: DataFrame, words: str, out: str, size: int = 5) -> DataFram
 
 
 def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """A row for each document: key, stratum, the counts, and the features of RiskRules. Null texts have no words."""
+    """A row for each document: key, stratum, text_hash, the counts, and the features of RiskRules. Null texts have no words."""
     df = docs.select(F.col(key).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), text_of(text).alias("__t"))
     df = df.withColumn("__words", F.regexp_extract_all("__t", F.lit(WORD_PATTERN), F.lit(0)))
     df = df.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD_PATTERN)))
     df = df.select(
         "doc_id",
         "stratum",
+        F.xxhash64("__t").alias("text_hash"),
         F.size("__words").cast("long").alias("n_words"),
         F.char_length(F.translate("__t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.char_length("__t") - F.char_length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -76,6 +77,7 @@ def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratu
     return df.select(
         "doc_id",
         "stratum",
+        "text_hash",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -133,7 +135,7 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: RiskRules) ->
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", rules: RiskRules | None = None) -> DataFrame:
-    """key's row with its counts, features, base_failed, junk_score, cutoff and kept.
+    """key's row with its stratum, text_hash, counts, features, base_failed, junk_score, cutoff and kept.
 
     kept is false if base_failed or if the score is over the stratum's certified cutoff. A stratum without one (no
     labels, or too few to certify any) rejects nothing beyond the base rule; null is a stratum too. Null and empty
