@@ -159,6 +159,13 @@ def test_entropy_windows_are_what_counting_gives():
     assert covered == {k for i in good for k in range(i, i + 20)} and covered
 
 
+def test_entropy_of_candidates_shorter_than_the_window():
+    scanner = secrets.Scanner(secrets.EntropyRules())
+    for value, kind in (("id=Zk3vQ9xL2mTf8RbY7wPc", "base64"), ("Zk3v+9xL/mTf8RbY7wPc", "base64"), ("7F3A9C05E1B8D2460FA7", "hex"), ("Zk3vQ9xL2mTf8RbY7wPc", "alnum")):
+        assert [s[:3] for s in scanner.entropy(f"so {value} it is")] == [(f"entropy_{kind}", 3, 3 + len(value))]
+    assert not scanner.entropy("a/b/a/b/a/b/a/b/a/b/1 AAAAAAAAAAAAAAAAAAAA1 20-01-02/20-01-03/20 one-two_three/four-five")
+
+
 def test_toxicity_learns_and_holds_out(spark):
     texts = [prose(i, 60) + (" vilest scum here" if i % 5 == 0 else "") for i in range(600)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")

@@ -30,7 +30,10 @@ SPAN_TYPE = "array<struct<kind:string,start:int,end:int,value_start:int,bits:dou
 
 @dataclass(frozen=True)
 class CharClass:
-    """Characters that a secret of this class is made of, its window, and the bits a character that make one."""
+    """Characters that a secret of this class is made of, its window, and the bits a character that make one.
+
+    A shorter candidate is one window, and needs the same share of the most bits that its length can have.
+    """
 
     kind: str
     pattern: str
@@ -120,7 +123,9 @@ class Scanner:
                 continue
             for c, pattern in self.classes:
                 if pattern.fullmatch(value):
-                    out += [(c.kind, m.start() + a, m.start() + b, m.start() + a, round(e, 6)) for a, b, e in windows(value, c.window, c.bits)]
+                    size = min(c.window, len(value))
+                    bits = c.bits * math.log2(size) / math.log2(c.window)
+                    out += [(c.kind, m.start() + a, m.start() + b, m.start() + a, round(e, 6)) for a, b, e in windows(value, size, bits)]
                     break
         return out
 
