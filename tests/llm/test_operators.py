@@ -189,6 +189,16 @@ def test_lexicon_counts_all_labelled_rows(spark, monkeypatch):
     assert {r.term: (r.toxic, r.clean) for r in seen} == {t: (want[1][t], want[0][t]) for t in {*want[0], *want[1]}}
 
 
+def test_all_terms_of_the_lexicon_vote(spark, monkeypatch):
+    texts = [prose(i, 20) + "".join(f" bad{chr(97 + (i + k) % 26)}{chr(97 + i // 5 % 6)}zz" for k in range(12)) * (i % 5 == 0) for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    seen, words, plain, listed = [], [], toxicity.label_model, toxicity.lexicon
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, *a: seen.append(votes.shape[1]) or plain(votes, *a))
+    monkeypatch.setattr(toxicity, "lexicon", lambda *a: words.extend(listed(*a)) or words)
+    toxicity.score_toxicity(docs(spark, texts), labels).count()
+    assert seen == [len(words)] and len(words) > 80
+
+
 def test_label_model_discounts_copied_voters():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.3

@@ -26,7 +26,6 @@ class Supervision:
     """
 
     terms: int = 600
-    voters: int = 80
     precision: float = 0.8
     support: int = 3
     sample: int = 20_000
@@ -84,18 +83,18 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int, trust: float
     each counts 1 / (1 + the sum of its positive correlations).
     """
     v = votes.astype(float)
-    n, m = v.shape
-    if not n:
+    if not len(v):
         return np.zeros(0)
     told = np.where(labels == 1, 1, -1) * math.log(trust / (1 - trust))
     q = 1 / (1 + np.exp(-told))
+    both = v.T @ v  # the classes' shares of a row sum to 1, so only the means change from round to round
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-        rates, spread = [], np.zeros((m, m))
+        rates, spread = [], both.copy()
         for p in (q, 1 - q):
             rate = np.clip((p @ v + 0.05) / (p.sum() + 0.1), 1e-5, 1 - 1e-5)
-            d = v - rate
-            spread += (d * p[:, None]).T @ d
+            cross = np.outer(p @ v, rate)
+            spread += p.sum() * np.outer(rate, rate) - cross - cross.T
             rates.append(rate)
         scale = np.sqrt(np.clip(np.diag(spread), 1e-9, None))
         corr = np.clip(spread / scale[:, None] / scale[None, :], 0, 1)
@@ -170,7 +169,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
         for i, r in enumerate(rows):
             x[i, r["hits"]] = 1
             x[i, -2:] = r["totals"]
-        posterior = label_model(x[:, : min(rules.voters, len(words))], np.array([r["toxic"] for r in rows]), rules.rounds)
+        posterior = label_model(x[:, : len(words)], np.array([r["toxic"] for r in rows]), rules.rounds)
         weights, bias = linear_model(x, posterior, rules.ridge)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
