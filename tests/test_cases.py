@@ -189,3 +189,10 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {(r.sid, r.key, r["at"]) for r in seen.unseen_batch(spark.read.schema(schema).json(src)).collect()}
     assert {(r.sid, r.key, r["at"]) for r in spark.table("unseen").collect()} == batch
     assert seen.sessions(spark.read.schema(schema).json(src)).count() == 2
+
+
+def test_trails_follow_every_rename(spark):
+    moves = [(i + 1, "renamed", f"p{i}", f"p{i + 1}", None) for i in range(66)] + [(67, "modified", "p66", "p66", None)]
+    changes = spark.createDataFrame(moves, f"seq long, op string, from_path string, to_path string, hunks {D.HUNKS}").coalesce(1)
+    anchors = spark.createDataFrame([(1, "p0", 0)], "anchor_id long, path string, seq long").coalesce(1)
+    assert [r.seq for r in D.trails(anchors, changes).orderBy("seq").collect()] == [*range(1, 68)]

@@ -13,7 +13,7 @@ HUNKS = "array<struct<os:bigint,oc:bigint,ns:bigint,nc:bigint>>"
 STATUSES = ("Fresh", "Moved", "Changed", "Orphaned", "MergeConflict", "Submodule", "ContentUnavailable")
 
 
-def trails(anchors: DataFrame, changes: DataFrame, *, rounds: int = 64) -> DataFrame:
+def trails(anchors: DataFrame, changes: DataFrame) -> DataFrame:
     """anchor_id, seq, path, op, to_path, hunks: the changes that each anchor meets, oldest first, its path following renames.
 
     anchors: anchor_id, path, seq (the commit it was set at); changes: seq, op (added, modified, deleted, renamed, copied),
@@ -23,7 +23,7 @@ def trails(anchors: DataFrame, changes: DataFrame, *, rounds: int = 64) -> DataF
     moves = changes.where("op IN ('renamed', 'deleted')").select(F.col("seq").alias("m_seq"), F.col("from_path").alias("path"), "op", "to_path")
     legs = None
     front = anchors.select("anchor_id", "path", F.col("seq").alias("since"))
-    for _ in range(rounds):
+    while True:  # since grows each round, so the moves run out
         nxt = front.join(moves, "path").where("m_seq > since").groupBy("anchor_id", "path", "since").agg(F.min_by(F.struct("m_seq", "op", "to_path"), "m_seq").alias("m"))
         leg = front.join(nxt, ["anchor_id", "path", "since"], "left").select("anchor_id", "path", "since", F.col("m.m_seq").alias("until"), F.col("m.op").alias("op"), F.col("m.to_path").alias("to_path"))
         leg = stage(leg)
