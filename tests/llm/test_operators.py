@@ -293,8 +293,52 @@ def test_divide_skip_finds_all_links():
     index = ngram_join.DivideSkip(sets)
     for i, s in enumerate(sets):
         want = {j for j in range(i) if 100 * len(np.intersect1d(s, sets[j])) >= 85 * len(np.union1d(s, sets[j]))}
-        assert set(index.search(s, rules, set(), i)) == want
-    assert ngram_join.forest(sets, rules) == grouped([frozenset(s.tolist()) for s in sets], 85)
+        assert set(index.search(i, rules, [*range(len(sets))])) == want
+    root = [*range(len(sets))]
+    for i, j in ngram_join.forest(sets, rules):
+        a, b = sorted((root[i], root[j]))
+        assert a != b
+        root = [a if x == b else x for x in root]
+    assert root == grouped([frozenset(s.tolist()) for s in sets], 85)
+    # queries against the others, which were joined before
+    roots, asks = [i % 12 // 3 + i // 12 * 12 for i in range(len(sets))], [i % 3 == 0 for i in range(len(sets))]
+    for i, j in ngram_join.forest(sets, rules, roots, asks):
+        assert (asks[i] or asks[j]) and roots[i] != roots[j]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_sets_that_link_have_a_signature_in_common(percent):
+    """The blocks lose no link: tried at the edge of the threshold, at all sizes, with edits of all three kinds."""
+    r = np.random.default_rng(percent)
+    tried = 0
+    for n in [*range(1, 60), *r.integers(60, 3000, 150).tolist()]:
+        for _ in range(6):
+            s = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            kept = s[: max(1, -(-percent * len(s) // 100) + int(r.integers(0, 3)))] if r.random() < 0.5 else r.choice(s, int(r.integers(max(1, len(s) * percent // 100), len(s) + 1)), replace=False)
+            more = r.integers(0, 2**63, int(r.integers(0, max(1, len(s) // 8) + 1))).astype(np.uint64)
+            t = np.unique(np.concatenate([kept, more]))
+            both = len(np.intersect1d(s, t))
+            if 100 * both < percent * (len(s) + len(t) - both) or np.array_equal(s, t):
+                continue
+            tried += 1
+            assert np.intersect1d(ngram_join.signatures(np.sort(s), percent), ngram_join.signatures(t, percent)).size
+    assert tried > 100
+
+
+def test_ngram_join_of_a_star(spark):
+    """Hundreds of copies that link with their original and hardly with each other, and strangers with the same passage."""
+    r = np.random.default_rng(5)
+    base = prose(9, 200).split()
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for k in r.choice(200, 3, replace=False) if i else ():
+            w[k] = f"edit{i}x{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:100]) + " " + prose(500 + i, 60) for i in range(60)]
+    rules = ngram_join.Overlap(4, 85, block=8, postings=4000, broadcast=10)
+    got = {x.doc_id: x.component_id for x in ngram_join.near_components(docs(spark, texts), rules=rules).collect()}
+    assert [got[i] for i in range(len(texts))] == grouped([sets_of(t, 4) for t in texts], 85)
 
 
 def test_components(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +21,18 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir where it is set, else (tests) a local one."""
+    """The folder every executor sees, from spark.checkpoint.dir. Only a local master may do without: it gets one of its own."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
         found = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not jsc.getCheckpointDir().isDefined():
+    if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -41,8 +43,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a compressed Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}.parquet"
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The same rows from a compressed Parquet table in the shared folder, or in `folder`."""
+    path = f"{folder or shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """A folder in the shared one for the tables between an operator's steps; it is deleted when the block ends.
+
+    What the block returns must not read it any more: store the result outside.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return stored(df, self.folder)
+
+    def drop(self, *held: DataFrame) -> None:
+        """Deletes tables of this folder that no later step reads."""
+        for df in held:
+            for file in df.inputFiles()[:1]:
+                self._delete(file.rsplit("/", 1)[0])

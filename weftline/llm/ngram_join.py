@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, text_of
+from .common import Scratch, stored, text_of
 from .components import components
 
 _MULTIPLIERS = [np.uint64(int.from_bytes(xxhash.xxh3_64_digest(f"shingle {i}")) | 1) for i in range(64)]
@@ -23,11 +23,16 @@ _S32, _S29 = np.uint64(32), np.uint64(29)
 
 @dataclass(frozen=True)
 class Overlap:
-    """words: in a shingle. percent: texts link when 100 * intersection >= percent * union. block: documents searched together."""
+    """words: in a shingle. percent: texts link when 100 * intersection >= percent * union. block: documents searched
+    together. postings: shingles searched together, which bounds a task's memory where texts are long; a larger set is
+    a part of its own. broadcast: so many ids at most are sent to all executors; more are met by a shuffle.
+    """
 
     words: int = 4
     percent: int = 85
     block: int = 128
+    postings: int = 200_000
+    broadcast: int = 1_000_000
 
     def needed(self, n: int) -> int:
         """What any partner of a set of n shares with it at least."""
@@ -36,12 +41,29 @@ class Overlap:
     def pair_needed(self, n: int, m: int) -> int:
         return -(-self.percent * (n + m) // (100 + self.percent))
 
-    def common(self, n: int) -> int:
-        """So many of the first tokens() of two sets, the smaller one having n, are common at least."""
-        return max(1, -(-n // 10))
 
-    def tokens(self, n: int) -> int:
-        return min(n, n - self.needed(n) + self.common(n))
+@lru_cache(8)
+def levels(percent: int, largest: int = 1 << 40) -> list[int]:
+    """The smallest size of each level: sets that link are of one level or of two that follow each other."""
+    out = [1]
+    while out[-1] < largest:
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
+    return out
+
+
+@lru_cache(1024)
+def ranges(percent: int, level: int) -> tuple[np.ndarray, int]:
+    """Edges of the ranges that the hashes are cut into for sets of a level, and how many may be passed over as empty.
+
+    Two linked sets, the larger one of this level, differ in `most` hashes at most, so with most + 1 + spare ranges they
+    are equal in 1 + spare of them at least. No edges where only equal sets link.
+    """
+    most = (100 - percent) * 2 * (levels(percent)[level + 1] - 1) // (100 + percent)
+    if not most:
+        return np.empty(0, np.uint64), 0
+    spare = 1 + most // 24
+    count = most + 1 + spare
+    return np.array([(i << 64) // count for i in range(1, count)], np.uint64), spare
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -65,257 +87,195 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of each range of the sorted hashes s, cut as for its own level and for the next one.
+
+    By the pigeonhole principle sets that link have a signature in common. A set with no more empty ranges than are
+    to spare has a further equal one with every partner, so it goes without the signatures of its empty ones.
+    """
+    level = bisect_right(levels(percent), len(s)) - 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _MULTIPLIERS[9]), dtype=np.uint64)])
+    out = []
+    for at in (level, level + 1):
+        edges, spare = ranges(percent, at)
+        if not len(edges):
+            continue
+        bounds = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        own = (total[bounds[1:]] - total[bounds[:-1]]) * _MULTIPLIERS[10] + (np.arange(len(edges) + 1, dtype=np.uint64) + np.uint64(at << 40)) * _MULTIPLIERS[11]
+        full = bounds[1:] > bounds[:-1]
+        out.append(_mixed(own[full] if len(full) - full.sum() <= spare else own))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 class DivideSkip:
     """T-occurrence search over the inverted lists of some sets.
 
-    Of a query's lists the `long` longest are set aside, needed - 1 at most; a heap merges the others, and a document
+    Of a query's lists the longest are set aside, needed - 1 at most; a heap merges the others, and a document
     met there often enough to reach `needed` with all long lists is looked up in those by binary search.
     """
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = [len(s) for s in sets]
-        self.lists: dict[int, list[int]] = defaultdict(list)
-        for i, s in enumerate(sets):
-            for token in s.tolist():
-                self.lists[token].append(i)
-
-    def search(self, query: np.ndarray, rules: Overlap, skip: set[int], before: int) -> Iterator[int]:
-        """The sets numbered under `before`, but for those in skip, that link with query."""
-        n = len(query)
+        tokens = np.concatenate([np.empty(0, np.uint64), *sets])
+        order = np.argsort(tokens, kind="stable")
+        self.docs = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        new = np.concatenate([[True], np.diff(tokens[order]) != 0])[: len(tokens)]
+        self.starts = np.append(np.flatnonzero(new), len(tokens))
+        self.lengths = np.diff(self.starts)
+        rank = np.empty(len(tokens), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        self.ranks = np.split(rank, np.cumsum(self.sizes)[:-1])
+        self.lists: dict[int, list[int]] = {}
+
+    def list(self, rank: int) -> list[int]:
+        if (found := self.lists.get(rank)) is None:
+            found = self.lists[rank] = self.docs[self.starts[rank] : self.starts[rank + 1]].tolist()
+        return found
+
+    def search(self, i: int, rules: Overlap, root: list[int], asks: list[bool] | None = None) -> Iterator[int]:
+        """The sets that link with set i, but for those that have its root by the time they are met, and later ones that ask."""
+        n = self.sizes[i]
         needed = rules.needed(n)
-        lists = sorted((x for t in query.tolist() if (x := self.lists.get(t))), key=len)
-        if len(lists) < needed:
+        lengths = self.lengths[self.ranks[i]]
+        several = self.ranks[i][lengths > 1]
+        if not n or len(several) < needed:
             return
-        long = lists[len(lists) - (needed - 1) :] if needed > 1 else []
-        short = lists[: len(lists) - len(long)]
+        lists = several[np.argsort(lengths[lengths > 1], kind="stable")].tolist()
+        split = len(lists) - (needed - 1)
+        short, long = lists[:split], lists[split:]
         at, met = -1, 0
-        for i in (*heapq.merge(*short), -1):
-            if i == at:
+        for j in (*heapq.merge(*map(self.list, short)), -1):
+            if j == at:
                 met += 1
                 continue
-            if 0 <= at < before and at not in skip and rules.needed(max(n, self.sizes[at])) <= min(n, self.sizes[at]):
+            if at >= 0 and root[at] != root[i] and (at < i or asks and not asks[at]) and rules.needed(max(n, self.sizes[at])) <= min(n, self.sizes[at]):
                 least = rules.pair_needed(n, self.sizes[at])
                 left = len(long)
-                for probed in long:
-                    if met + left < least:
+                for rank in long:
+                    if met + left < least or met >= least:
                         break
+                    probed = self.list(rank)
                     k = bisect_left(probed, at)
                     met += k < len(probed) and probed[k] == at
                     left -= 1
                 if met >= least:
                     yield at
-            at, met = i, 1
+            at, met = j, 1
+
 
+def forest(sets: list[np.ndarray], rules: Overlap, roots: list | None = None, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join the sets' components: a set in a component with another isn't compared with it again.
 
-def forest(sets: list[np.ndarray], rules: Overlap) -> list[int]:
-    """For each set the first set of its component of links. Sets already joined aren't compared again."""
-    index, root, members = DivideSkip(sets), list(range(len(sets))), [{i} for i in range(len(sets))]
-    for i, s in enumerate(sets):
-        # found before it is used: what joins i on the way needs no look
-        for j in index.search(s, rules, members[root[i]], i):
-            a, b = sorted((root[i], root[j]))
-            if a != b:
-                for x in members[b]:
-                    root[x] = a
-                members[a] |= members[b]
-    return root
+    roots: what sets joined before have in common. asks: the sets that search; links between the others aren't looked for.
+    """
+    index, known = DivideSkip(sets), {}
+    root = [known.setdefault(r, i) for i, r in enumerate(roots)] if roots else [*range(len(sets))]
+    members: dict[int, list[int]] = {}
+    for i, r in enumerate(root):
+        members.setdefault(r, []).append(i)
+    out = []
+    for i in range(len(sets)):
+        if asks and not asks[i] or len(members) == 1:
+            continue
+        for j in index.search(i, rules, root, asks):
+            a, b = sorted((root[i], root[j]), key=lambda r: -len(members[r]))
+            for x in members[b]:
+                root[x] = a
+            members[a] += members.pop(b)
+            out.append((i, j))
+    return out
 
 
 def profiles(docs: DataFrame, rules: Overlap) -> DataFrame:
-    """doc, n (size of its set), fingerprint of the set, and the first tokens() of the set in hash order."""
+    """doc, n (size of its set), a 128-bit mark of the set, and its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 sets = [shingles(t, rules.words) for t in part.column(1).to_pylist()]
                 marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                first = [s[: rules.tokens(len(s))].view(np.int64) for s in sets]
+                signs = [signatures(s, rules.percent).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
                 offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(x) for x in first], out=offsets[1:])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), tokens], names=["doc", "n", "mark", "tokens"])
+                np.cumsum([len(x) for x in signs], out=offsets[1:])
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), listed], names=["doc", "n", "mark", "signs"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, n bigint, mark binary, tokens array<bigint>")
+    return docs.mapInArrow(run, f"doc {kind}, n bigint, mark binary, signs array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, rules: Overlap) -> DataFrame:
-    """doc, n, `hashes` (little-endian unsigned 64-bit, sorted), two-hash keys of the set, and its parity bitmap."""
+    """doc, `hashes` (little-endian unsigned 64-bit, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingles(t, rules.words) for t in part.column(1).to_pylist()]
-                keys = [[int(_least(s, 10 + 2 * k)) ^ int(_least(s, 11 + 2 * k)) * 3 & 2**64 - 1 for k in range(4)] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([[x - 2**63 for x in k] for k in keys], pa.list_(pa.int64())), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
-                    names=["doc", "n", "hashes", "keys", "parity"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, rules.words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "hashes"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, n bigint, hashes binary, keys array<bigint>, parity binary")
-
-
-def _least(s: np.ndarray, seed: int) -> np.uint64:
-    return _mixed(s * _MULTIPLIERS[seed]).min() if len(s) else np.uint64(0)
-
-
-def parity(s: np.ndarray) -> np.ndarray:
-    """Whether each residue of the hashes is met an odd number of times: two bitmaps differ in at most |A xor B| bits."""
-    bits = 256 << max(0, (len(s) - 1).bit_length() - 6)
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little")
-
-
-def _folded(words: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap folded to a shorter one: the parity of fewer residues."""
-    while len(words) > size:
-        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
-    return words
+    return docs.mapInArrow(run, f"doc {kind}, hashes binary")
 
 
-def possible(sizes: np.ndarray, bitmaps: list[np.ndarray], rules: Overlap) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, in ascending order of sizes, the later ones that may link with it by their sizes and bitmaps.
-
-    Bitmaps differ in no more bits than sets in elements, so those that differ in more than a link allows are refused.
-    """
-    largest = 100 * sizes // rules.percent
-    shapes: dict[int, np.ndarray] = {}
-    for i, own in enumerate(bitmaps):
-        stop = int(np.searchsorted(sizes, largest[i], "right"))
-        if stop <= i + 1:
-            continue
-        if len(own) not in shapes:
-            shapes = {len(own): np.stack([_folded(b, len(own)) if len(b) >= len(own) else np.zeros(len(own), np.uint64) for b in bitmaps])}
-        differ = np.bitwise_count(shapes[len(own)][i + 1 : stop] ^ own).sum(axis=1)
-        both = sizes[i] + sizes[i + 1 : stop]
-        least = -(-rules.percent * both // (100 + rules.percent))
-        yield i, i + 1 + np.flatnonzero(differ <= both - 2 * least)
-
-
-def viable(profile: DataFrame, rules: Overlap) -> DataFrame:
-    """doc of each document that can link with a different one: enough of its first tokens are another's first tokens too.
-
-    Counts are summed before the shuffle, so a token of many documents is a row from each task.
-    """
-    tokens = profile.select("doc", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    found = tokens.join(shared, "token").groupBy("doc").agg(F.count("*").alias("found"))
-    enough = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * rules.percent / 100) / 10))
-    return found.join(profile.select("doc", "n"), "doc").where(F.col("found") >= enough).select("doc").distinct()
-
-
-def _block_roots(rows: DataFrame, rules: Overlap) -> DataFrame:
-    """doc, root: the smallest document that it links with, by way of others of its block; rows: block, doc, hashes."""
+def _searched(rows: DataFrame, rules: Overlap) -> DataFrame:
+    """a, b: links found in each block; rows: b0, b1, b2 (the block), doc, root, asks, hub, hashes. Hubs are met first."""
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table.column("doc").to_pylist()
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        codes = table.column("hashes").to_pylist()
-        roots = forest([np.frombuffer(codes[i], np.uint64) for i in order], rules)
-        return pa.table({"doc": pa.array([ids[i] for i in order], table.schema.field("doc").type), "root": pa.array([ids[order[r]] for r in roots], table.schema.field("doc").type)})
-
-    return rows.groupBy("b0", "b1").applyInArrow(run, f"doc {kind}, root {kind}")
-
-
-def _blocks(rows: DataFrame, ranked: DataFrame, rules: Overlap, hubs: int = 8) -> DataFrame:
-    """doc, b0, b1: rows dealt to blocks (key, part) of about rules.block documents, each by the key that most rows have.
-
-    Copies of one original may each link with it and not with each other, so every part of a key also gets the key's
-    `hubs` documents with the smallest share of tokens of their own (ranked: doc, alone).
-    """
-    keyed = rows.select("doc", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    best = keyed.join(sizes, "key").groupBy("doc").agg(F.max(F.struct("count", "key")).alias("k"))
-    parts = F.ceil(F.col("k.count") / rules.block).cast("long")
-    dealt = best.select("doc", F.col("k.key").alias("b0"), F.pmod(F.xxhash64("doc"), parts).alias("b1"), parts.alias("parts"))
-    first = dealt.where("parts > 1").join(ranked, "doc").groupBy("b0", "b1").agg(F.min(F.struct("alone", "doc")).alias("h"), F.max("parts").alias("parts"))
-    chosen = first.groupBy("b0").agg(F.slice(F.sort_array(F.collect_list("h")), 1, hubs).alias("h"), F.max("parts").alias("parts"))
-    everywhere = chosen.select("b0", F.explode("h").alias("h"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("b1")).select(F.col("h.doc").alias("doc"), "b0", F.explode("b1").alias("b1"))
-    return dealt.select("doc", "b0", "b1").union(everywhere).distinct()
-
-
-def near_links(sets: DataFrame, rules: Overlap) -> DataFrame:
-    """a, b: links whose components are those of all links between the sets (doc, n, hashes, keys, parity).
-
-    First, documents with a common min-hash key are searched together in blocks of bounded size, twice, the second
-    time one for each component found. Then every pair that this left apart is looked for by short inverted lists: of
-    each set the tokens() rarest in sorted order, one of which any partner has among its own; pairs within a component
-    are passed over, size and parity bitmap refuse most others, and what is left is decided by probing the sets.
-    """
-    tokens = _tokens(sets)
-    counts = tokens.groupBy("token").count().where("count > 1")
-    several = tokens.join(counts, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("common"))
-    # tokens of one document alone come first in the order and find nobody
-    alone = F.col("n") - F.size("common")
-    short = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * rules.percent / 100) + 1 - alone).cast("int"))
-    ordered = cut(several.select("doc", "n", (alone / F.col("n")).alias("alone"), F.transform(short, lambda s: s["token"]).alias("tokens")))
-
-    links, rest = None, sets
-    for _ in range(2):
-        dealt = _blocks(rest, ordered, rules).join(rest.select("doc", "hashes"), "doc")
-        found = cut(_block_roots(dealt, rules).where("doc <> root").distinct())
-        links = found if links is None else links.union(found)
-        rest = rest.join(found.select("doc").distinct(), "doc", "left_anti")
-    links = links.select(F.col("doc").alias("a"), F.col("root").alias("b"))
-    label = components(links).select(F.col("node").alias("doc"), F.col("component").alias("root"))
-
-    kind = sets.schema["doc"].dataType.simpleString()
-    entries = ordered.where("size(tokens) > 0").join(label, "doc", "left").select("doc", "n", F.coalesce("root", "doc").alias("root"), F.explode("tokens").alias("token"))
-    entries = cut(entries)
-    apart = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    entries = entries.join(apart, "token").join(sets.select("doc", "parity"), "doc")
-    # a token's documents in parts of bounded size: each part meets itself and every later one
-    sizes = entries.groupBy("token").agg(F.ceil(F.count("*") / rules.block).cast("int").alias("parts"))
-    dealt = entries.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts").cast("long")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("x"), F.greatest("part", o).alias("y")))
-    dealt = dealt.select("token", "doc", "n", "root", "parity", "part", F.explode(meets).alias("pair"))
-
-    def candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n", "doc", "root", "parity", "part")), strict=True))
-        sizes = np.array([r[0] for r in rows], np.int64)
-        x, y = key[1].as_py(), key[2].as_py()
-        out: list[tuple] = []
-        for i, later in possible(sizes, [np.frombuffer(r[3], np.uint64) for r in rows], rules):
-            _, d, r, _, at = rows[i]
-            out += [(d, rows[j][1]) for j in later.tolist() if rows[j][2] != r and (x == y or rows[j][4] != at)]
+        ids, roots, asks, hubs, codes = (table.column(c).to_pylist() for c in ("doc", "root", "asks", "hub", "hashes"))
+        order = sorted(range(len(ids)), key=lambda i: (not hubs[i], ids[i]))
+        pairs = forest([np.frombuffer(codes[i], np.uint64) for i in order], rules, [roots[i] for i in order], [asks[i] for i in order])
         kind = table.schema.field("doc").type
-        return pa.table({"a": pa.array([a for a, _ in out], kind), "b": pa.array([b for _, b in out], kind)})
+        return pa.table({c: pa.array([ids[order[p[k]]] for p in pairs], kind) for k, c in enumerate("ab")})
 
-    pairs = dealt.groupBy("token", F.col("pair.x").alias("x"), F.col("pair.y").alias("y")).applyInArrow(candidates, f"a {kind}, b {kind}")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    probed = pairs.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("q")), "b")
+    return rows.groupBy("b0", "b1", "b2").applyInArrow(run, f"a {kind}, b {kind}")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                keep.append(100 * both >= rules.percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    more = probed.select("a", "b", "p", "q").mapInArrow(probe, f"a {kind}, b {kind}")
-    return links.union(more)
+def _parts(count: Column, widest: Column, rules: Overlap) -> Column:
+    each = F.greatest(F.lit(1), F.least(F.lit(rules.block), F.floor(F.lit(rules.postings) / widest)))
+    return F.ceil(count / each).cast("long")
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """doc, n, token for each hash of a set."""
-    kind = sets.schema["doc"].dataType.simpleString()
+def _likely(entries: DataFrame, sets: DataFrame, rules: Overlap, own: Scratch, hubs: int = 8) -> DataFrame:
+    """Links that most groups of copies hang together by: each document is searched with others of its most common signature.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                hashes = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(hashes))], names=["doc", "n", "token"])
-
-    return sets.select("doc", "n", "hashes").mapInArrow(run, f"doc {kind}, n bigint, token bigint")
+    Copies of one original may each link with it and not with each other, so every part of a signature also gets
+    `hubs` of its documents, those with the largest share of signatures that others have; the best of each of so many
+    salts, found by partial aggregation.
+    """
+    ranked = own.keep(entries.groupBy("doc").agg((F.sum(F.log2("count")) / F.max("n")).alias("score"), F.max(F.struct("count", "sign", "widest")).alias("top")))
+    parts = _parts(F.col("top.count"), F.col("top.widest"), rules)
+    dealt = ranked.select("doc", F.col("top.sign").alias("b0"), F.pmod(F.xxhash64("doc"), parts).alias("b1"), F.lit(False).alias("hub"))
+    used = ranked.select(F.col("top.sign").alias("sign"), parts.alias("parts")).distinct()
+    salted = entries.join(used, "sign").join(ranked.select("doc", "score"), "doc")
+    best = salted.groupBy("sign", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(hubs)).alias("salt")).agg(F.max(F.struct("score", "doc")).alias("h"), F.max("parts").alias("parts"))
+    everywhere = best.select(F.col("h.doc").alias("doc"), F.col("sign").alias("b0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("b1"), F.lit(True).alias("hub"))
+    rows = dealt.union(everywhere).groupBy("doc", "b0", "b1").agg(F.max("hub").alias("hub"))
+    rows = rows.select("doc", "b0", "b1", F.lit(0).cast("long").alias("b2"), F.col("doc").alias("root"), F.lit(True).alias("asks"), "hub")
+    return own.keep(_searched(rows.join(sets, "doc"), rules))
+
+
+def _remaining(entries: DataFrame, sets: DataFrame, links: DataFrame, rules: Overlap, own: Scratch) -> DataFrame:
+    """The links that are left: wherever documents of different components have a signature in common, they are searched.
+
+    Of signatures with the same documents one is enough. In each, the documents outside its largest component are the
+    queries against all of them, both in parts of bounded size.
+    """
+    label = components(links, own.folder).select(F.col("node").alias("doc"), F.col("component").alias("root"))
+    placed = own.keep(entries.join(label, "doc", "left").select("sign", "doc", "widest", F.coalesce("root", "doc").alias("root")))
+    of = placed.groupBy("sign", "root").agg(F.count("*").alias("n"), F.max("widest").alias("widest"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    of = of.groupBy("sign").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("count"), F.max("widest").alias("widest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
+    one = of.groupBy("x", "y", "count").agg(F.min(F.struct("sign", "main", "widest")).alias("s"))
+    wide = F.col("s.widest")
+    one = one.select("s.sign", F.col("s.main.root").alias("main"), _parts(F.col("count"), wide, rules).alias("p"), _parts(F.col("count") - F.col("s.main.n"), wide, rules).alias("q"))
+    rows = placed.drop("widest").join(one, "sign")
+    deal = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    held = rows.select("doc", "root", F.col("sign").alias("b0"), deal("p").alias("b1"), each("q").alias("b2"), F.lit(False).alias("asks"))
+    asked = rows.where("root <> main").select("doc", "root", F.col("sign").alias("b0"), each("p").alias("b1"), deal("q").alias("b2"), F.lit(True).alias("asks"))
+    blocks = held.union(asked).groupBy("doc", "root", "b0", "b1", "b2").agg(F.max("asks").alias("asks"))
+    return own.keep(_searched(blocks.withColumn("hub", F.lit(False)).join(sets, "doc"), rules))
 
 
 def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: Overlap | None = None) -> DataFrame:
@@ -324,21 +284,32 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Null, empty and wordless texts have no shingles and link with nothing. Equal sets link through their smallest
     document, so copies are one search. Documents whose id is null are alone, without a component. Rows with the same
     id count as one document. Extra columns are ignored; an empty table gives no rows.
+
+    Sets that link have a signature in common (see signatures), so the inverted lists are searched in blocks of
+    documents with a common signature, every link by DivideSkip. The result is a table in the shared folder.
     """
     rules = rules or Overlap()
     given = docs.select(F.col(key).alias("doc"), text_of(text).alias("text"))
-    profile = stored(profiles(given, rules))
-    known = profile.where("mark is not null AND doc is not null")
-    able = cut(viable(known, rules))
-    # one document stands for each set
-    groups = known.groupBy("mark").agg(F.min("doc").alias("first"))
-    same = known.select("doc", "mark").join(groups, "mark").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
-    same = cut(same)
-    asked = able.join(same.select(F.col("a").alias("doc")), "doc", "left_anti")
-    sets = stored(shingle_sets(given.join(asked, "doc", "left_semi"), rules))
-    found = components(near_links(sets, rules).union(same))
-    return (
-        profile.select("doc", "n")
-        .join(found.withColumnRenamed("node", "doc"), "doc", "left")
-        .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    )
+    with Scratch(docs.sparkSession) as own:
+        profile = own.keep(profiles(given, rules))
+        known = profile.where("mark is not null AND doc is not null")
+        # one document stands for each set; a set's many copies are met in 16 salted parts
+        several = known.groupBy("mark").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+        salted = several.select("mark", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        copies = known.select("doc", "mark", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int").alias("salt"))
+        same = own.keep(copies.join(salted, ["mark", "salt"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"), "mark"))
+        alone = known.join(same.select(F.col("a").alias("doc"), "mark"), ["doc", "mark"], "left_anti")
+        signs = alone.select("doc", "n", F.explode("signs").alias("sign"))
+        shared = signs.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
+        entries = own.keep(signs.join(shared, "sign"))
+        ids = own.keep(entries.select("doc").distinct())
+        asked = given.join(F.broadcast(ids) if ids.count() <= rules.broadcast else ids, "doc", "left_semi")
+        sets = own.keep(shingle_sets(asked, rules))
+        links = _likely(entries, sets, rules, own)
+        links = links.union(_remaining(entries, sets, links, rules, own))
+        found = components(links.union(same.select("a", "b")), own.folder)
+        return stored(
+            profile.select("doc", "n")
+            .join(found.withColumnRenamed("node", "doc"), "doc", "left")
+            .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+        )
