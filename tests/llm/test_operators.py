@@ -336,7 +336,7 @@ def test_ngram_join_of_a_star(spark):
             w[k] = f"edit{i}x{k}"
         texts.append(" ".join(w))
     texts += [" ".join(base[:100]) + " " + prose(500 + i, 60) for i in range(60)]
-    rules = ngram_join.Overlap(4, 85, block=8, postings=4000, broadcast=10)
+    rules = ngram_join.Overlap(4, 85, block=8, group=12, postings=4000, broadcast=10)
     got = {x.doc_id: x.component_id for x in ngram_join.near_components(docs(spark, texts), rules=rules).collect()}
     assert [got[i] for i in range(len(texts))] == grouped([sets_of(t, 4) for t in texts], 85)
 

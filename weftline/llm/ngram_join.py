@@ -23,14 +23,15 @@ _S32, _S29 = np.uint64(32), np.uint64(29)
 
 @dataclass(frozen=True)
 class Overlap:
-    """words: in a shingle. percent: texts link when 100 * intersection >= percent * union. block: documents searched
-    together. postings: shingles searched together, which bounds a task's memory where texts are long; a larger set is
+    """words: in a shingle. percent: texts link when 100 * intersection >= percent * union. block, group: documents searched
+    together, at first and for the links left. postings: shingles searched together, which bounds a task's memory where texts are long; a larger set is
     a part of its own. broadcast: so many ids at most are sent to all executors; more are met by a shuffle.
     """
 
     words: int = 4
     percent: int = 85
     block: int = 128
+    group: int = 512
     postings: int = 200_000
     broadcast: int = 1_000_000
 
@@ -232,8 +233,8 @@ def _searched(rows: DataFrame, rules: Overlap) -> DataFrame:
     return rows.groupBy("b0", "b1", "b2").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def _parts(count: Column, widest: Column, rules: Overlap) -> Column:
-    each = F.greatest(F.lit(1), F.least(F.lit(rules.block), F.floor(F.lit(rules.postings) / widest)))
+def _parts(count: Column, widest: Column, block: int, rules: Overlap) -> Column:
+    each = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(rules.postings) / widest)))
     return F.ceil(count / each).cast("long")
 
 
@@ -245,7 +246,7 @@ def _likely(entries: DataFrame, sets: DataFrame, rules: Overlap, own: Scratch, h
     salts, found by partial aggregation.
     """
     ranked = own.keep(entries.groupBy("doc").agg((F.sum(F.log2("count")) / F.max("n")).alias("score"), F.max(F.struct("count", "sign", "widest")).alias("top")))
-    parts = _parts(F.col("top.count"), F.col("top.widest"), rules)
+    parts = _parts(F.col("top.count"), F.col("top.widest"), rules.block, rules)
     dealt = ranked.select("doc", F.col("top.sign").alias("b0"), F.pmod(F.xxhash64("doc"), parts).alias("b1"), F.lit(False).alias("hub"))
     used = ranked.select(F.col("top.sign").alias("sign"), parts.alias("parts")).distinct()
     salted = entries.join(used, "sign").join(ranked.select("doc", "score"), "doc")
@@ -256,24 +257,46 @@ def _likely(entries: DataFrame, sets: DataFrame, rules: Overlap, own: Scratch, h
     return own.keep(_searched(rows.join(sets, "doc"), rules))
 
 
+def _sized(rows: DataFrame, rules: Overlap) -> DataFrame:
+    """Of each group (rows: group, doc, root, widest) with several roots: main (its most common root), the number of parts
+    of all its documents and of those outside main, rows that a search of these against all takes, and x, y, count,
+    which tell groups of the same documents."""
+    of = rows.groupBy("group", "root").agg(F.count("*").alias("n"), F.max("widest").alias("widest"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    of = of.groupBy("group").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("count"), F.max("widest").alias("widest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    asked = F.col("count") - F.col("main.n")
+    of = of.where("roots > 1").withColumn("p", _parts(F.col("count"), F.col("widest"), rules.group, rules)).withColumn("q", _parts(asked, F.col("widest"), rules.group, rules))
+    return of.select("group", F.col("main.root").alias("main"), "p", "q", (F.col("count") * F.col("q") + asked * F.col("p")).alias("cost"), "x", "y", "count")
+
+
 def _remaining(entries: DataFrame, sets: DataFrame, links: DataFrame, rules: Overlap, own: Scratch) -> DataFrame:
     """The links that are left: wherever documents of different components have a signature in common, they are searched.
 
-    Of signatures with the same documents one is enough. In each, the documents outside its largest component are the
-    queries against all of them, both in parts of bounded size.
+    In each group the documents outside its largest component are the queries against all of them, both in parts of
+    bounded size. Of signatures with the same documents one is enough. Documents that share several signatures
+    with the first of each make a cluster; where that takes fewer rows, it is the group instead of all signatures that
+    only it has.
     """
     label = components(links, own.folder).select(F.col("node").alias("doc"), F.col("component").alias("root"))
-    placed = own.keep(entries.join(label, "doc", "left").select("sign", "doc", "widest", F.coalesce("root", "doc").alias("root")))
-    of = placed.groupBy("sign", "root").agg(F.count("*").alias("n"), F.max("widest").alias("widest"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-    of = of.groupBy("sign").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("count"), F.max("widest").alias("widest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
-    one = of.groupBy("x", "y", "count").agg(F.min(F.struct("sign", "main", "widest")).alias("s"))
-    wide = F.col("s.widest")
-    one = one.select("s.sign", F.col("s.main.root").alias("main"), _parts(F.col("count"), wide, rules).alias("p"), _parts(F.col("count") - F.col("s.main.n"), wide, rules).alias("q"))
-    rows = placed.drop("widest").join(one, "sign")
+    placed = entries.join(label, "doc", "left").select("sign", "doc", "widest", F.coalesce("root", "doc").alias("root"))
+    several = placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("first")).where("lo <> hi").select("sign", "first")
+    placed = own.keep(placed.join(several, "sign"))
+    pairs = placed.where("doc <> first").groupBy("doc", "first").agg(F.count("*").alias("n")).where("n > 1")
+    home = components(pairs.select(F.col("doc").alias("a"), F.col("first").alias("b")), own.folder).select(F.col("node").alias("doc"), F.xxhash64("component").alias("home"))
+    placed = own.keep(placed.join(home, "doc", "left").select(F.col("sign").alias("group"), "doc", "root", "widest", F.coalesce("home", F.xxhash64("doc")).alias("home")))
+    clusters = placed.groupBy(F.col("home").alias("group"), "doc", "root").agg(F.max("widest").alias("widest"))
+    inner = placed.groupBy("group").agg(F.min("home").alias("home"), F.max("home").alias("other")).withColumn("inner", F.expr("home = other")).drop("other")
+    signs = _sized(placed, rules).join(inner, "group")
+    signs = signs.groupBy("x", "y", "count").agg(F.min_by(F.struct("group", "main", "p", "q", "cost", "home", "inner"), "group").alias("s")).select("s.*")
+    signs = own.keep(signs)
+    whole = own.keep(_sized(clusters, rules).join(signs.where("inner").groupBy(F.col("home").alias("group")).agg(F.sum("cost").alias("apart")), "group").where("cost <= apart"))
+    rest = signs.join(whole.select(F.col("group").alias("home"), F.lit(True).alias("done")), "home", "left").where("NOT (inner AND coalesce(done, false))")
+    facts = ["group", "main", "p", "q"]
+    rows = placed.drop("home", "widest").join(rest.select(*facts), "group").unionByName(clusters.drop("widest").join(whole.select(*facts), "group"))
+    rows = own.keep(rows)
     deal = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts))
     each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    held = rows.select("doc", "root", F.col("sign").alias("b0"), deal("p").alias("b1"), each("q").alias("b2"), F.lit(False).alias("asks"))
-    asked = rows.where("root <> main").select("doc", "root", F.col("sign").alias("b0"), each("p").alias("b1"), deal("q").alias("b2"), F.lit(True).alias("asks"))
+    held = rows.select("doc", "root", F.col("group").alias("b0"), deal("p").alias("b1"), each("q").alias("b2"), F.lit(False).alias("asks"))
+    asked = rows.where("root <> main").select("doc", "root", F.col("group").alias("b0"), each("p").alias("b1"), deal("q").alias("b2"), F.lit(True).alias("asks"))
     blocks = held.union(asked).groupBy("doc", "root", "b0", "b1", "b2").agg(F.max("asks").alias("asks"))
     return own.keep(_searched(blocks.withColumn("hub", F.lit(False)).join(sets, "doc"), rules))
 
