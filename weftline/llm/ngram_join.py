@@ -31,7 +31,7 @@ class Overlap:
     words: int = 4
     percent: int = 85
     block: int = 128
-    group: int = 512
+    group: int = 256
     postings: int = 200_000
     broadcast: int = 1_000_000
 
@@ -48,23 +48,16 @@ def levels(percent: int, largest: int = 1 << 40) -> list[int]:
     """The smallest size of each level: sets that link are of one level or of two that follow each other."""
     out = [1]
     while out[-1] < largest:
-        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent), out[-1] * 8 // 5))
     return out
 
 
 @lru_cache(1024)
-def ranges(percent: int, level: int) -> tuple[np.ndarray, int]:
-    """Edges of the ranges that the hashes are cut into for sets of a level, and how many may be passed over as empty.
-
-    Two linked sets, the larger one of this level, differ in `most` hashes at most, so with most + 1 + spare ranges they
-    are equal in 1 + spare of them at least. No edges where only equal sets link.
-    """
+def edges(percent: int, level: int) -> np.ndarray:
+    """Edges of the ranges that the hashes are cut into for sets of a level: some more than the largest ones need."""
     most = (100 - percent) * 2 * (levels(percent)[level + 1] - 1) // (100 + percent)
-    if not most:
-        return np.empty(0, np.uint64), 0
-    spare = 1 + most // 24
-    count = most + 1 + spare
-    return np.array([(i << 64) // count for i in range(1, count)], np.uint64), spare
+    count = most * 9 // 8 + 3
+    return np.array([(i << 64) // count for i in range(1, count)], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,23 +82,28 @@ def shingles(text: str, size: int) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """A hash of each range of the sorted hashes s, cut as for its own level and for the next one.
+    """Hashes of some ranges of the sorted hashes s, cut as for its own level and, if it has larger partners there, the next.
 
-    By the pigeonhole principle sets that link have a signature in common. A set with no more empty ranges than are
-    to spare has a further equal one with every partner, so it goes without the signatures of its empty ones.
+    A set that differs from its partners of a level in `most` hashes at most gives its first most + 1 ranges that aren't
+    empty, and where there are fewer all ranges. Of two sets that link, take the one whose ranges end first: in one of
+    them at least the other is equal, and gives it too. So sets that link have a signature in common.
     """
-    level = bisect_right(levels(percent), len(s)) - 1
+    n, sizes = len(s), levels(percent)
+    level, widest = bisect_right(sizes, n) - 1, 100 * n // percent
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _MULTIPLIERS[9]), dtype=np.uint64)])
-    out = []
+    out = [np.empty(0, np.uint64)]
     for at in (level, level + 1):
-        edges, spare = ranges(percent, at)
-        if not len(edges):
+        most = (100 - percent) * (n + min(widest, sizes[at + 1] - 1)) // (100 + percent)
+        if not most or at > level and widest < sizes[at]:
             continue
-        bounds = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-        own = (total[bounds[1:]] - total[bounds[:-1]]) * _MULTIPLIERS[10] + (np.arange(len(edges) + 1, dtype=np.uint64) + np.uint64(at << 40)) * _MULTIPLIERS[11]
-        full = bounds[1:] > bounds[:-1]
-        out.append(_mixed(own[full] if len(full) - full.sum() <= spare else own))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        cuts = edges(percent, at)
+        bounds = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
+        places = np.flatnonzero(bounds[1:] > bounds[:-1])[: most + 1]
+        if len(places) <= most:
+            places = np.arange(len(cuts) + 1)
+        sums = total[bounds[places + 1]] - total[bounds[places]]
+        out.append(_mixed(sums * _MULTIPLIERS[10] + (places.astype(np.uint64) + np.uint64(at << 40)) * _MULTIPLIERS[11]))
+    return np.concatenate(out)
 
 
 class DivideSkip:
@@ -320,11 +318,16 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         several = known.groupBy("mark").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
         salted = several.select("mark", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
         copies = known.select("doc", "mark", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int").alias("salt"))
-        same = own.keep(copies.join(salted, ["mark", "salt"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"), "mark"))
-        alone = known.join(same.select(F.col("a").alias("doc"), "mark"), ["doc", "mark"], "left_anti")
-        signs = alone.select("doc", "n", F.explode("signs").alias("sign"))
-        shared = signs.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
-        entries = own.keep(signs.join(shared, "sign"))
+        same = own.keep(copies.join(salted, ["mark", "salt"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")))
+        # an id with several texts stays for its other sets
+        twofold = known.groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("doc")
+        gone = same.select(F.col("a").alias("doc")).distinct().join(twofold, "doc", "left_anti")
+        signs = known.select("doc", "n", F.explode("signs").alias("sign"))
+        met = own.keep(signs.join(signs.groupBy("sign").count().where("count > 1").select("sign"), "sign"))
+        firsts = met.join(gone, "doc", "left_anti").distinct()
+        shared = firsts.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
+        entries = own.keep(firsts.drop("n").join(shared, "sign").join(firsts.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
+        own.drop(met)
         ids = own.keep(entries.select("doc").distinct())
         asked = given.join(F.broadcast(ids) if ids.count() <= rules.broadcast else ids, "doc", "left_semi")
         sets = own.keep(shingle_sets(asked, rules))
