@@ -43,11 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The same rows from a compressed Parquet table in the shared folder, or in `folder`."""
-    path = f"{folder or shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows from a compressed Parquet table in the shared folder, or in `folder`.
+
+    Nothing behind the table is read again, so the shuffle files of the query that writes it go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{folder or shared_dir(spark)}/weftline-{uuid.uuid4().hex}.parquet"
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:

@@ -275,7 +275,7 @@ def _remaining(entries: DataFrame, sets: DataFrame, links: DataFrame, rules: Ove
     only it has.
     """
     label = components(links, own.folder).select(F.col("node").alias("doc"), F.col("component").alias("root"))
-    placed = entries.join(label, "doc", "left").select("sign", "doc", "widest", F.coalesce("root", "doc").alias("root"))
+    placed = entries.select("sign", "doc", "widest").distinct().join(label, "doc", "left").select("sign", "doc", "widest", F.coalesce("root", "doc").alias("root"))
     several = placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("first")).where("lo <> hi").select("sign", "first")
     placed = own.keep(placed.join(several, "sign"))
     pairs = placed.where("doc <> first").groupBy("doc", "first").agg(F.count("*").alias("n")).where("n > 1")
@@ -322,12 +322,11 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         # an id with several texts stays for its other sets
         twofold = known.groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("doc")
         gone = same.select(F.col("a").alias("doc")).distinct().join(twofold, "doc", "left_anti")
-        signs = known.select("doc", "n", F.explode("signs").alias("sign"))
-        met = own.keep(signs.join(signs.groupBy("sign").count().where("count > 1").select("sign"), "sign"))
-        firsts = met.join(gone, "doc", "left_anti").distinct()
-        shared = firsts.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
-        entries = own.keep(firsts.drop("n").join(shared, "sign").join(firsts.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
-        own.drop(met)
+        alone = known.join(gone, "doc", "left_anti").select("doc", "n", F.explode(F.array_distinct("signs")).alias("sign"))
+        shared = alone.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
+        entries = own.keep(alone.join(shared, "sign"))
+        sizes = own.keep(profile.select("doc", "n"))
+        own.drop(profile)
         ids = own.keep(entries.select("doc").distinct())
         asked = given.join(F.broadcast(ids) if ids.count() <= rules.broadcast else ids, "doc", "left_semi")
         sets = own.keep(shingle_sets(asked, rules))
@@ -335,7 +334,5 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = links.union(_remaining(entries, sets, links, rules, own))
         found = components(links.union(same.select("a", "b")), own.folder)
         return stored(
-            profile.select("doc", "n")
-            .join(found.withColumnRenamed("node", "doc"), "doc", "left")
-            .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+            sizes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
         )
