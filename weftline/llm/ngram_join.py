@@ -321,12 +321,18 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         same = own.keep(copies.join(salted, ["mark", "salt"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")))
         # an id with several texts stays for its other sets
         twofold = known.groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("doc")
-        gone = same.select(F.col("a").alias("doc")).distinct().join(twofold, "doc", "left_anti")
-        alone = known.join(gone, "doc", "left_anti").select("doc", "n", F.explode(F.array_distinct("signs")).alias("sign"))
-        shared = alone.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
-        entries = own.keep(alone.join(shared, "sign"))
+        gone = own.keep(same.select(F.col("a").alias("doc")).distinct().join(twofold, "doc", "left_anti"))
+        signs = known.select("doc", F.explode("signs").alias("sign"))
+        shared = signs.groupBy("sign").count().where("count > 1").select("sign")
+        met = own.keep(signs.join(shared.hint("shuffle_hash"), "sign"))
         sizes = own.keep(profile.select("doc", "n"))
         own.drop(profile)
+        # now that the signatures of one set alone are gone, the copies go, and each signature gets its count
+        firsts = own.keep(met.distinct().join(gone, "doc", "left_anti").join(sizes.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
+        own.drop(met)
+        counts = firsts.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
+        entries = own.keep(firsts.join(counts, "sign"))
+        own.drop(firsts)
         ids = own.keep(entries.select("doc").distinct())
         asked = given.join(F.broadcast(ids) if ids.count() <= rules.broadcast else ids, "doc", "left_semi")
         sets = own.keep(shingle_sets(asked, rules))
