@@ -16,14 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import begin, text_of
 
 #: White space as the tokenizers' regular expressions have it.
 SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _space_run = re.compile(f"[{SPACES}]+")
 #: Separators that str.split() takes for white space and the tokenizer doesn't.
 _odd = re.compile("[\x1c-\x1f]")
-CACHE = 120_000
+CACHE, LONGEST = 120_000, 64
 
 
 def public_file(name: str) -> str:
@@ -82,12 +82,17 @@ def merge(symbols: list[int], ranks: dict[int, int], made: list[int], base: int)
 
 
 class Recent:
-    """A cache of at least `size` and at most twice as many entries: the older half goes when the newer one is full."""
+    """A cache of at least `size` and at most twice as many entries: the older half goes when the newer one is full.
+
+    Keys of over LONGEST characters aren't kept, so the number bounds the bytes.
+    """
 
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
     def add(self, key: str, value):
+        if len(key) > LONGEST:
+            return value
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
         self.new[key] = value
@@ -180,6 +185,7 @@ def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: s
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", codec.cache_clear)
         own = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):

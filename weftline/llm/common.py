@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,17 @@ class Scratch:
         for df in held:
             for file in df.inputFiles()[:1]:
                 self._delete(file.rsplit("/", 1)[0])
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """Called in a Python worker where an operator's task begins: what other operators keep in this worker is cleared.
+
+    Workers are reused from task to task and stage to stage, so a cache would else stay beside all that follows.
+    """
+    for other in [o for o in _caches if o != operator]:
+        _caches.pop(other)()
+    if clear:
+        _caches[operator] = clear

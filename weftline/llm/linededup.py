@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import Scratch, begin, stored, text_of
 
 
 def _blocks(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,21 +23,27 @@ def _blocks(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return begins, ends
 
 
+def _mark(text: str, named: bool) -> int:
+    """A hash of the text, another one for rows without an id."""
+    return xxhash.xxh3_64_intdigest(text, seed=0 if named else 1) - 2**63
+
+
 def line_table(docs: DataFrame, least_words: int) -> DataFrame:
     """doc, text_hash, position among the lines with a word, 128-bit line id, and the lengths of _blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("linededup")
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 rows, hashes, places, ids, begins, ends = [], [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    lines = [x for x in text.split("\n") if x and not x.isspace()]
-                    words = np.array([len(x.split()) for x in lines], np.int64)
+                for i, (text, named) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    counted = [(x, n) for x in text.encode("utf-8", "surrogatepass").split(b"\n") if (n := len(x.split()))]
+                    lines, words = [x for x, _ in counted], np.array([n for _, n in counted], np.int64)
                     if int(words.sum()) < least_words:
                         continue
                     a, z = _blocks(words, least_words)
-                    own = xxhash.xxh3_64_intdigest(text) - 2**63
+                    own = _mark(text, named)
                     rows += [i] * len(lines)
                     hashes += [own] * len(lines)
                     places += range(len(lines))
@@ -53,13 +59,13 @@ def line_table(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, text_hash bigint, at int, line binary, begins int, ends int")
 
 
-def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], name: str, own: Scratch) -> DataFrame:
     """The keys that several rows have, with a number that grows in the order of the keys.
 
     Counts are summed before the shuffle, and a range sort deals out distinct keys, so a frequent one is one row.
     """
     several = rows.groupBy(*keys).count().where("count > 1").drop("count")
-    return cut(several.sort(*keys).withColumn(name, F.monotonically_increasing_id()))
+    return own.keep(several.sort(*keys).withColumn(name, F.monotonically_increasing_id()))
 
 
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
@@ -72,23 +78,33 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     least_words words is the union of the shortest such runs beginning or ending at its lines; hence those, at most
     least_words lines long, tell all deleted lines exactly and bound the number of rounds. The first copy by
     (document id, position) stays. Rows with the same id and text count as one document.
+    So do rows without an id and with the same text, in the order as if their id were 0. Texts of fewer than least_words
+    words hold no such run and stay as they are, whole copies too. The result is a table in the shared folder.
     """
-    given = docs.select(F.col(key).alias("doc"), text_of(text).alias("text"))
+    with Scratch(docs.sparkSession) as own:
+        return _repeated(docs.select(_id(docs, key).alias("doc"), text_of(text).alias("text"), F.col(key).isNotNull().alias("named")), least_words, own)
+
+
+def _id(docs: DataFrame, key: str) -> Column:
+    return F.coalesce(F.col(key), F.lit(0).cast(docs.schema[key].dataType))
+
+
+def _repeated(given: DataFrame, least_words: int, own: Scratch) -> DataFrame:
     lines = line_table(given, least_words)
     lines = lines.groupBy("doc", "text_hash", "at").agg(F.first("line").alias("line"), F.first("begins").alias("begins"), F.first("ends").alias("ends"))
-    lines = cut(lines)
+    lines = own.keep(lines)
     here = Window.partitionBy("doc", "text_hash").orderBy("at")
-    active = lines.join(_ranked(lines, ["line"], "r0"), "line").drop("line")
+    active = lines.join(_ranked(lines, ["line"], "r0", own), "line").drop("line")
     longest = active.agg(F.greatest(F.max("begins"), F.max("ends"))).first()[0] or 0
     k, level = 1, 0
     while 2 * k <= longest:
         # the rank k lines on, if all lines between are there and repeated
         shifted = active.select("doc", "text_hash", (F.col("at") - k).alias("at"), F.col(f"r{level}").alias("next"))
-        active = cut(active.join(shifted, ["doc", "text_hash", "at"], "left"))
-        pairs = _ranked(active.where("next is not null"), [f"r{level}", "next"], f"r{level + 1}")
+        active = own.keep(active.join(shifted, ["doc", "text_hash", "at"], "left"))
+        pairs = _ranked(active.where("next is not null"), [f"r{level}", "next"], f"r{level + 1}", own)
         active = active.join(pairs, [f"r{level}", "next"], "left").drop("next")
         k, level = 2 * k, level + 1
-    active = cut(active)
+    active = own.keep(active)
 
     def power(m: str) -> Column:
         return F.floor(F.log2(F.col(m).cast("double") + 0.5)).cast("int")
@@ -105,18 +121,25 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         .select("doc", "text_hash", "first", "m", F.expr("a[level]").alias("a"), F.expr("z[level]").alias("z"))
         .where("a is not null and z is not null")
     )
-    named = cut(named)
+    named = own.keep(named)
     firsts = named.groupBy("m", "a", "z").agg(F.min(F.struct("doc", "text_hash", "first")).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = named.join(firsts, ["m", "a", "z"]).where(F.struct("doc", "text_hash", "first") != F.col("original"))
+    # a run with many copies is met in 16 salted parts
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc", "text_hash", "first"), F.lit(16)).cast("int"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    later = salted.join(firsts, ["m", "a", "z", "salt"]).where(F.struct("doc", "text_hash", "first") != F.col("original"))
     places = later.select("doc", "text_hash", F.explode(F.sequence("first", F.expr("first + m - 1"))).alias("at")).distinct()
-    return places.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list("at")).alias("deleted"))
+    return stored(places.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list("at")).alias("deleted")))
+
+
+#: What separates words, but for the line feed.
+_SPACES = " \t\r\x0b\x0c"
 
 
 def _without(text: str, gone: list[int]) -> str:
     """A line without a word goes with the last line before it that has one."""
     drop, kept, at, going = set(gone), [], 0, False
     for line in text.split("\n"):
-        if line and not line.isspace():
+        if line.strip(_SPACES):
             going = at in drop
             at += 1
         if not going:
@@ -135,11 +158,13 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     names = schema.names
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("linededup")
         for b in batches:
-            own = [xxhash.xxh3_64_intdigest(t or "") - 2**63 for t in b.column(names.index(text)).to_pylist()]
+            own = [_mark(t or "", k) for t, k in zip(b.column(names.index(text)).to_pylist(), b.column(names.index(key)).is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*names, "__hash"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("linededup")
         for b in batches:
             columns, drops = [b.column(i) for i in range(len(names))], b.column(len(names)).to_pylist()
             texts = columns[names.index(text)].to_pylist()
@@ -149,7 +174,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     spelled = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     keyed = docs.drop("deleted_lines").mapInArrow(hashes, spelled + ", __hash bigint")
     gone = gone.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__gone"), F.col("deleted").alias("__deleted"))
-    joined = keyed.join(gone, (F.col(key) == F.col("__doc")) & (F.col("__hash") == F.col("__gone")), "left")
+    joined = keyed.join(gone, (_id(docs, key) == F.col("__doc")) & (F.col("__hash") == F.col("__gone")), "left")
     return joined.select(*names, "__deleted").mapInArrow(apply, spelled + ", deleted_lines bigint")
 
 

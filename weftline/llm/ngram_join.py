@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, stored, text_of
+from .common import Scratch, begin, stored, text_of
 from .components import components
 
 _MULTIPLIERS = [np.uint64(int.from_bytes(xxhash.xxh3_64_digest(f"shingle {i}")) | 1) for i in range(64)]
@@ -189,6 +189,7 @@ def profiles(docs: DataFrame, rules: Overlap) -> DataFrame:
     """doc, n (size of its set), a 128-bit mark of the set, and its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -208,6 +209,7 @@ def shingle_sets(docs: DataFrame, rules: Overlap) -> DataFrame:
     """doc, `hashes` (little-endian unsigned 64-bit, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

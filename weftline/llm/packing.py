@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import begin, cut, text_of
 
-#: Runs kept with their ids, at most twice as many, and the longest run that is kept.
-CACHE, LONGEST = 700_000, 64
+#: Runs kept with their ids on each of two sides, at most twice as many, and the longest run that is kept, in characters:
+#: at some 200 bytes a run, a Python worker keeps 320 MB at most.
+CACHE, LONGEST = 400_000, 64
 #: Marks that make a pre-token of their own after a word. Fixed values.
 MARKS = ".,!?;:*$%&#|"
 #: Two white-space characters in a row, or one at either end: there a text can't be cut at its single spaces.
@@ -136,6 +137,7 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int = 2048, *, end: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", encoder.cache_clear)
         own, last = encoder(path), np.array([end], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -259,17 +261,23 @@ def pack(pieces: DataFrame, limit: int = 2048, *, length: str = "length", order:
     names = [f.name for f in fields if f.name not in ("__salt", "__rank")]
     schema = ", ".join(f"`{n}` {fields[n].dataType.simpleString()}" for n in names) + ", sequence_id bigint, offset bigint"
 
+    # all lengths' runs one after another, each length's places beginning where the last one's end, so that one search serves a batch
+    ends = np.zeros(limit + 2, np.int64)
+    for x, n in total.items():
+        ends[x + 1] = n
+    begins = np.cumsum(ends)
+    runs = [np.concatenate([np.empty(0, np.int64), *(plan[x][i] + (begins[x] if i == 0 else 0) for x in sorted(plan))]) for i in range(3)]
+    before = np.zeros((limit + 1, salts), np.int64)
+    for (x, s), n in first.items():
+        before[x, s] = n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, bins, offsets = runs
         for b in batches:
             n, salt, rank = (b.column(fields.names.index(c)).to_numpy(zero_copy_only=False) for c in (length, "__salt", "__rank"))
-            number, at = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-            for i, (x, s, r) in enumerate(zip(n.tolist(), salt.tolist(), rank.tolist(), strict=True)):
-                starts, bins, offsets = plan[x]
-                r += first[x, s]
-                k = int(np.searchsorted(starts, r, "right")) - 1
-                number[i] = bins[k] + r - starts[k]
-                at[i] = offsets[k]
-            yield pa.RecordBatch.from_arrays([*(b.column(fields.names.index(c)) for c in names), pa.array(number), pa.array(at)], names=[*names, "sequence_id", "offset"])
+            place = begins[n] + before[n, salt] + rank
+            k = np.searchsorted(starts, place, "right") - 1
+            yield pa.RecordBatch.from_arrays([*(b.column(fields.names.index(c)) for c in names), pa.array(bins[k] + place - starts[k]), pa.array(offsets[k])], names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import begin, text_of
 
 #: Fixed patterns of the contract, in the order in which kinds are listed.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -173,6 +173,7 @@ def find_secrets(docs: DataFrame, *, text: str = "text", rules: EntropyRules | N
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields] + new)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("secrets")
         scanner = Scanner(rules)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()

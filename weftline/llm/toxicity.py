@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import begin, text_of
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -48,6 +48,7 @@ def count_terms(labelled: DataFrame, rules: Supervision) -> DataFrame:
     """term, toxic, clean: in how many documents of each label; labelled: text, toxic. Counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def told() -> pa.RecordBatch:
@@ -153,6 +154,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     place = {t: i for i, t in enumerate(words)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for b in batches:
             hits, totals = [], []
             for t in b.column(0).to_pylist():
@@ -173,6 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
         weights, bias = linear_model(x, posterior, rules.ridge)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
