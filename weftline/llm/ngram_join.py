@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, begin, stored, text_of
@@ -52,11 +52,16 @@ def levels(percent: int, largest: int = 1 << 40) -> list[int]:
     return out
 
 
+def spare(percent: int, level: int) -> tuple[int, int]:
+    """How many hashes sets of a level and their partners differ in at most, and how many equal ranges more than one are asked for."""
+    most = (100 - percent) * 2 * (levels(percent)[level + 1] - 1) // (100 + percent)
+    return most, most // 4
+
+
 @lru_cache(1024)
 def edges(percent: int, level: int) -> np.ndarray:
     """Edges of the ranges that the hashes are cut into for sets of a level: some more than the largest ones need."""
-    most = (100 - percent) * 2 * (levels(percent)[level + 1] - 1) // (100 + percent)
-    count = most * 9 // 8 + 3
+    count = sum(spare(percent, level)) * 9 // 8 + 3
     return np.array([(i << 64) // count for i in range(1, count)], np.uint64)
 
 
@@ -81,29 +86,32 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
     """Hashes of some ranges of the sorted hashes s, cut as for its own level and, if it has larger partners there, the next.
 
-    A set that differs from its partners of a level in `most` hashes at most gives its first most + 1 ranges that aren't
-    empty, and where there are fewer all ranges. Of two sets that link, take the one whose ranges end first: in one of
-    them at least the other is equal, and gives it too. So sets that link have a signature in common.
+    A set that differs from its partners of a level in `most` hashes at most gives its first most + 1 + more ranges that
+    aren't empty, and where there are fewer all ranges. Of two sets that link, take the one whose ranges end first: in
+    1 + more of them at least the other is equal, and gives them too. So sets that link have 1 + more signatures of a
+    level in common. The last bit of a signature is that of its level; the list has `more` by that bit.
     """
     n, sizes = len(s), levels(percent)
     level, widest = bisect_right(sizes, n) - 1, 100 * n // percent
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s * _MULTIPLIERS[9]), dtype=np.uint64)])
-    out = [np.empty(0, np.uint64)]
+    out, mores = [np.empty(0, np.uint64)], [0, 0]
     for at in (level, level + 1):
         most = (100 - percent) * (n + min(widest, sizes[at + 1] - 1)) // (100 + percent)
         if not most or at > level and widest < sizes[at]:
             continue
+        more = mores[at & 1] = spare(percent, at)[1]
         cuts = edges(percent, at)
         bounds = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
-        places = np.flatnonzero(bounds[1:] > bounds[:-1])[: most + 1]
-        if len(places) <= most:
+        places = np.flatnonzero(bounds[1:] > bounds[:-1])[: most + 1 + more]
+        if len(places) <= most + more:
             places = np.arange(len(cuts) + 1)
         sums = total[bounds[places + 1]] - total[bounds[places]]
-        out.append(_mixed(sums * _MULTIPLIERS[10] + (places.astype(np.uint64) + np.uint64(at << 40)) * _MULTIPLIERS[11]))
-    return np.concatenate(out)
+        own = _mixed(sums * _MULTIPLIERS[10] + (places.astype(np.uint64) + np.uint64(at << 40)) * _MULTIPLIERS[11])
+        out.append(own >> np.uint64(1) << np.uint64(1) | np.uint64(at & 1))
+    return np.concatenate(out), mores
 
 
 class DivideSkip:
@@ -186,7 +194,7 @@ def forest(sets: list[np.ndarray], rules: Overlap, roots: list | None = None, as
 
 
 def profiles(docs: DataFrame, rules: Overlap) -> DataFrame:
-    """doc, n (size of its set), a 128-bit mark of the set, and its signatures."""
+    """doc, n (size of its set), a 128-bit mark of the set, and its signatures with more0 and more1 (see signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("ngram_join")
@@ -195,14 +203,17 @@ def profiles(docs: DataFrame, rules: Overlap) -> DataFrame:
                 part = b.slice(at, 256)
                 sets = [shingles(t, rules.words) for t in part.column(1).to_pylist()]
                 marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                signs = [signatures(s, rules.percent).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+                found = [signatures(s, rules.percent) if len(s) else (s, [0, 0]) for s in sets]
                 offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(x) for x in signs], out=offsets[1:])
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), listed], names=["doc", "n", "mark", "signs"])
+                np.cumsum([len(x) for x, _ in found], out=offsets[1:])
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for x, _ in found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), *(pa.array([m[k] for _, m in found], pa.int32()) for k in (0, 1)), listed],
+                    names=["doc", "n", "mark", "more0", "more1", "signs"],
+                )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, n bigint, mark binary, signs array<bigint>")
+    return docs.mapInArrow(run, f"doc {kind}, n bigint, mark binary, more0 int, more1 int, signs array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, rules: Overlap) -> DataFrame:
@@ -233,6 +244,23 @@ def _searched(rows: DataFrame, rules: Overlap) -> DataFrame:
     return rows.groupBy("b0", "b1", "b2").applyInArrow(run, f"a {kind}, b {kind}")
 
 
+def _rarest(rows: DataFrame, twofold: DataFrame) -> DataFrame:
+    """sign, doc, n, count, widest: of each document's signatures of a level all but the `more` most common ones.
+
+    Documents that link have 1 + more signatures in common, so in the order from rare to common one of them is left
+    to both; a document with no more than `more` that others have links with nobody. Ids of several texts (twofold)
+    keep all, as their levels can't be told apart.
+    """
+    several = rows.groupBy("sign").agg(F.count("*").alias("count")).where("count > 1")
+    rows = rows.join(several, "sign").join(twofold.withColumn("all", F.lit(True)), "doc", "left")
+    bit = F.col("sign").bitwiseAND(F.lit(1))
+    place = F.row_number().over(Window.partitionBy("doc", bit).orderBy(F.desc("count"), F.desc("sign")))
+    rows = rows.withColumn("place", place).where(F.coalesce("all", F.lit(False)) | (F.col("place") > F.when(bit == 0, F.col("more0")).otherwise(F.col("more1"))))
+    rows = rows.select("sign", "doc", "n")
+    left = rows.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
+    return rows.join(left, "sign")
+
+
 def _parts(count: Column, widest: Column, block: int, rules: Overlap) -> Column:
     each = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(rules.postings) / widest)))
     return F.ceil(count / each).cast("long")
@@ -322,18 +350,18 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         copies = known.select("doc", "mark", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int").alias("salt"))
         same = own.keep(copies.join(salted, ["mark", "salt"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")))
         # an id with several texts stays for its other sets
-        twofold = known.groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("doc")
+        twofold = own.keep(known.groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("doc"))
         gone = own.keep(same.select(F.col("a").alias("doc")).distinct().join(twofold, "doc", "left_anti"))
         signs = known.select("doc", F.explode("signs").alias("sign"))
         shared = signs.groupBy("sign").count().where("count > 1").select("sign")
         met = own.keep(signs.join(shared.hint("shuffle_hash"), "sign"))
-        sizes = own.keep(profile.select("doc", "n"))
+        sizes = own.keep(profile.select("doc", "n", "more0", "more1"))
         own.drop(profile)
         # now that the signatures of one set alone are gone, the copies go, and each signature gets its count
-        firsts = own.keep(met.distinct().join(gone, "doc", "left_anti").join(sizes.groupBy("doc").agg(F.max("n").alias("n")), "doc"))
+        each = sizes.groupBy("doc").agg(*[F.max(c).alias(c) for c in ("n", "more0", "more1")])
+        firsts = own.keep(met.distinct().join(gone, "doc", "left_anti").join(each, "doc"))
         own.drop(met)
-        counts = firsts.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
-        entries = own.keep(firsts.join(counts, "sign"))
+        entries = own.keep(_rarest(firsts, twofold))
         own.drop(firsts)
         ids = own.keep(entries.select("doc").distinct())
         asked = given.join(F.broadcast(ids) if ids.count() <= rules.broadcast else ids, "doc", "left_semi")
@@ -342,5 +370,5 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = links.union(_remaining(entries, sets, links, rules, own))
         found = components(links.union(same.select("a", "b")), own.folder)
         return stored(
-            sizes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+            sizes.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
         )
