@@ -65,7 +65,7 @@ def test_paths(spark):
     assert one(spark, P.parsed_address(F.lit("a/b#L2-L9")))["end"] == 9
     assert one(spark, F.lit("a/x.rs").rlike(P.glob_pattern("a/*.{rs,py}"))) and not one(spark, F.lit("a/b/x.rs").rlike(P.glob_pattern("a/*.rs")))
     assert one(spark, P.is_acceptable(F.lit("src/a.rs"))) and not one(spark, P.is_acceptable(F.lit("/src/a.rs")))
-    assert one(spark, P.cluster_key(F.lit("feat(core): x"), F.lit("see AB-12"))) == "AB-12"
+    assert one(spark, P.cluster_key(F.lit("feat(core): x"), F.lit("see AB-12"))) == "ticket:AB-12"
     assert one(spark, S.epoch_ms(F.lit("1970-01-01T00:00:01.123999Z"))) == 1123 and one(spark, S.epoch_ms(F.lit("?"))) == 0
 
 
@@ -196,3 +196,43 @@ def test_trails_follow_every_rename(spark):
     changes = spark.createDataFrame(moves, f"seq long, op string, from_path string, to_path string, hunks {D.HUNKS}").coalesce(1)
     anchors = spark.createDataFrame([(1, "p0", 0)], "anchor_id long, path string, seq long").coalesce(1)
     assert [r.seq for r in D.trails(anchors, changes).orderBy("seq").collect()] == [*range(1, 68)]
+
+
+def test_ancestors_of_deep_and_merged_histories(spark):
+    from weftline.operators import catalog as C
+
+    chain = [(i, i - 1 if i else None) for i in range(2000)]
+    parents = spark.createDataFrame(chain, "commit_id long, parent long")
+    assert C.ancestors(parents, 1999).count() == 2000 and C.ancestors(parents, 5000).count() == 0
+    # forty merges of two ways each: 2**40 paths
+    merged = [row for i in range(40) for row in ((3 * i + 3, 3 * i + 1), (3 * i + 3, 3 * i + 2), (3 * i + 1, 3 * i), (3 * i + 2, 3 * i))]
+    parents = spark.createDataFrame(merged, "commit_id long, parent long")
+    assert sorted(r.commit_id for r in C.ancestors(parents, 120).collect()) == [*range(121)]
+
+
+def test_reference_tokens_and_hunk_keys(spark):
+    from weftline.operators import advice as A
+
+    told = lambda p: one(spark, A.reference_tokens(F.lit(p)))
+    assert told("plugins/runtime/.claude-plugin/plugin.json") == ["plugin", "runtime", "plugins"]
+    assert told("src/auth/token.rs") == ["token.rs", "token", "auth"]
+    key = lambda h, n: one(spark, P.hunk_key(F.lit("a.md"), F.lit(h).cast("string"), F.lit(n)))
+    assert key("## 4.1 Foo", 3) == "a.md#4.1 Foo" and key(None, 250) == "a.md#L201-L300" and key("# * ", 1) == "a.md#L1-L100"
+    names = ["add", "a-b/c", "A", "pre-commit", "add/x"]
+    assert [one(spark, P.is_set_name(F.lit(n))) for n in names] == [False, True, False, False, True]
+
+
+def test_status_lines(spark):
+    from weftline.operators import layers as Y
+
+    lines = [("M  a.txt",), (" D b.txt",), ("RM new.txt\0old.txt",), ("UU c.txt",), ("?? d.txt",), ("## main",)]
+    got = {tuple(r) for r in Y.parsed_status(spark.createDataFrame(lines, "line string")).collect()}
+    assert got == {("index", "modified", "a.txt", "a.txt", False), ("worktree", "deleted", "b.txt", "b.txt", False), ("index", "renamed", "old.txt", "new.txt", False), ("worktree", "modified", "new.txt", "new.txt", False), ("worktree", "modified", "c.txt", "c.txt", True)}
+
+
+def test_words_only_where_nothing_is_a_fix(spark):
+    rows = [(i, i, "Tighten the parser, with care", False) for i in range(21)]
+    schema = "commit_id long, ts long, subject string, is_fix boolean"
+    assert [r.word for r in M.fix_words(spark.createDataFrame(rows, schema)).collect()] == ["care", "parser", "tighten"]
+    assert M.fix_words(spark.createDataFrame([*rows, (99, 1, "x", True)], schema)).count() == 0
+    assert M.fix_words(spark.createDataFrame(rows[:20], schema)).count() == 0

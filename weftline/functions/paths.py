@@ -17,7 +17,12 @@ LOCKFILES = ("yarn.lock", "package-lock.json", "Cargo.lock", "pnpm-lock.yaml", "
 NESTED_LOCKFILES = ("yarn.lock", "package-lock.json", "Cargo.lock", "pnpm-lock.yaml", "go.sum")
 #: Files that suggestions never name. Fixed patterns.
 REJECTED_ANYWHERE = r"(^|/)(yarn-validate-output\.log|\.last-flush)(/|$)"
-REJECTED_NAMES = (r"^analyze-v[0-9]+\.mjs$", "^mesh-suggestions")
+REJECTED_NAME = r"^analyze-v[0-9]+\.mjs$"
+#: Names that a set can't have. Fixed values.
+RESERVED_NAMES = ("add", "remove", "commit", "why", "restore", "revert", "delete", "move", "stale", "fetch", "push", "doctor", "log", "config", "list", "help", "pre-commit", "advice", "rewrite", "hooks")
+#: Names of files and folders that say nothing of what refers to them. Fixed values.
+GENERIC_NAMES = ("plugin.json", "package.json", "index.ts", "index.js", "index.tsx", "mod.rs", "main.rs", "main.go", "lib.rs", "init.py", "__init__.py", "README.md", "CHANGELOG.md", "Cargo.toml", "tsconfig.json", "hooks.json", "SKILL.md")
+GENERIC_FOLDERS = ("src", "lib", "test", "tests", "dist", "node_modules", ".claude-plugin", "hooks", "skills", "agents", "commands")
 #: Commit messages, in the common subset of regular expressions. Fixed patterns.
 DEPENDENCY_UPDATE = r"(?i)\b(bump|upgrade|update)\b.*\b(deps?|dependenc|version|packages?)\b|^chore\(deps\)|dependabot|renovate"
 FIX = r"(?i)\b(fix(es|ed|ing)?|bug|regression|hotfix|patch|revert|restore|tighten|close[sd]?\s+(the\s+)?\S+\s+loophole|closes?\s+#\d+)\b"
@@ -58,8 +63,8 @@ def is_lockfile(path: Column) -> Column:
     return path.isin(*LOCKFILES) | path.rlike(f"/({nested})$")
 
 
-def is_acceptable(path: Column) -> Column:
-    """A relative path of a file that a suggestion may name."""
+def is_acceptable(path: Column, report: str = "suggestions") -> Column:
+    """A relative path of a file that a suggestion may name; report: stem of the files that hold suggestions themselves."""
     base = basename(path)
     extended = base.rlike(r"\.[A-Za-z0-9]{1,8}$")
     return (
@@ -69,7 +74,8 @@ def is_acceptable(path: Column) -> Column:
         & path.rlike("[/.]")
         & ~path.rlike(REJECTED_ANYWHERE)
         & (extended | (F.size(F.split(path, "/")) > 2))
-        & ~base.rlike("|".join(REJECTED_NAMES))
+        & ~base.rlike(REJECTED_NAME)
+        & ~base.rlike(rf"^{re.escape(report)}(-v[0-9]+)?\.(mjs|md)$")
     )
 
 
@@ -142,8 +148,8 @@ def glob_pattern(glob: str) -> str:
 
 
 def is_set_name(name: Column) -> Column:
-    """Lower-case segments of letters, digits and dashes, none ending in .lock, without dots in a row."""
-    return name.rlike(r"^[a-z0-9][a-z0-9-]*(/[a-z0-9][a-z0-9-]*)*$")
+    """Lower-case segments of letters, digits and dashes, each beginning with a letter or digit; not a reserved name."""
+    return ~name.isin(*RESERVED_NAMES) & name.rlike(r"^[a-z0-9][a-z0-9-]*(/[a-z0-9][a-z0-9-]*)*$")
 
 
 def flat_name(name: Column) -> Column:
@@ -155,15 +161,18 @@ def full_name(flat: Column) -> Column:
 
 
 def cluster_key(subject: Column, body: Column) -> Column:
-    """A ticket of the subject, else of the body, else the subject's scope; null if there is none."""
-    ticket = lambda c: F.nullif(F.regexp_extract(c, TICKET, 1), F.lit(""))
-    return F.coalesce(ticket(subject), ticket(body), F.nullif(F.regexp_extract(subject, SCOPE, 1), F.lit("")))
+    """ticket:<ticket> of the subject, else of the body, else scope:<scope> of the subject; null if there is none."""
+    found = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    ticket = F.coalesce(found(subject, TICKET), found(body, TICKET))
+    return F.coalesce(F.concat(F.lit("ticket:"), ticket), F.concat(F.lit("scope:"), F.lower(found(subject, SCOPE))))
 
 
 def hunk_key(path: Column, heading: Column, start: Column) -> Column:
-    """Where a hunk is: its heading's first 60 characters, or a bucket of 100 lines."""
-    clean = F.substr(F.trim(F.regexp_replace(heading, r"\s+", " ")), F.lit(1), F.lit(60))
-    return F.concat(path, F.lit("@"), F.when(F.coalesce(clean, F.lit("")) != "", clean).otherwise(F.concat(F.lit("L"), (F.floor((start - 1) / 100) * 100 + 1).cast("string"))))
+    """Where a hunk is: the first 60 characters of its heading without leading marks, or a bucket of 100 lines."""
+    clean = F.regexp_replace(F.substr(F.regexp_replace(heading, r"^[#\s>*-]+", ""), F.lit(1), F.lit(60)), r"^\s+|\s+$", "")
+    first = F.floor((start - 1) / 100) * 100 + 1
+    bucket = F.concat(F.lit("L"), first.cast("string"), F.lit("-L"), (first + 99).cast("string"))
+    return F.concat(path, F.lit("#"), F.when(F.coalesce(clean, F.lit("")) != "", clean).otherwise(bucket))
 
 
 def csv_field(text: Column) -> Column:

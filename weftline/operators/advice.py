@@ -45,20 +45,28 @@ def touched_paths(touches: DataFrame) -> DataFrame:
 
 
 def reference_tokens(path: Column) -> Column:
-    """What a text that refers to a file would hold: its path, and its name without ending if that has five letters or more."""
-    stem = F.regexp_replace(paths.basename(path), r"\.[^.]*$", "")
-    return F.filter(F.array(path, F.when(F.length(stem) >= 5, stem)), lambda t: t.isNotNull())
+    """What a text that refers to a file would hold, three tokens at most: its name, the name without ending, its folders from
+    the innermost; generic names, and all but the whole name under four characters, say nothing."""
+    base = paths.basename(path)
+    stem = F.regexp_replace(base, r"\.[^.]+$", "")
+    own = F.array(F.when(~base.isin(*paths.GENERIC_NAMES), base), F.when((F.length(stem) >= 4) & ~stem.isin(*paths.GENERIC_NAMES), stem))
+    folders = F.reverse(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1))
+    telling = F.filter(folders, lambda f: (F.length(f) >= 4) & ~f.isin(*paths.GENERIC_FOLDERS))
+    return F.slice(F.array_distinct(F.concat(F.array_compact(own), telling)), 1, 3)
 
 
 def structural_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """pairs (a, b) with structural: whether either file's text (path, text) holds a token of the other's path."""
+    """pairs (a, b) with structural: whether either file's text (path, text) holds a token of the other's path.
+
+    Files that are both at the top are never structural.
+    """
     side = lambda x: files.select(F.col("path").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
 
     def holds(text: str, path: str) -> Column:
         return F.exists(reference_tokens(F.col(path)), lambda t: F.coalesce(F.contains(F.col(text), t), F.lit(False)))
 
-    return both.withColumn("structural", holds("text_a", "b") | holds("text_b", "a")).drop("text_a", "text_b")
+    return both.withColumn("structural", (F.contains(F.col("a"), F.lit("/")) | F.contains(F.col("b"), F.lit("/"))) & (holds("text_a", "b") | holds("text_b", "a"))).drop("text_a", "text_b")
 
 
 def self_referring(members: DataFrame, files: DataFrame) -> DataFrame:
@@ -119,7 +127,7 @@ def tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def capped_clusters(pairs: DataFrame, most: int = 8) -> DataFrame:
-    """node, cluster from ranked pairs (rank, a, b): two clusters merge if together they have at most `most` nodes.
+    """node, cluster from ranked pairs (rank, a, b): two clusters merge if together they have at most `most` nodes. Nodes left alone are in none.
 
     The outcome depends on the order of all pairs, so the ranked list, a top slice, is one group in Python.
     """
@@ -140,7 +148,8 @@ def capped_clusters(pairs: DataFrame, most: int = 8) -> DataFrame:
             x, y = sorted((find(r.a), find(r.b)))
             if x != y and size[x] + size[y] <= most:
                 root[y], size[x] = x, size[x] + size[y]
-        return pd.DataFrame({"node": [*root], "cluster": [find(x) for x in root]})
+        named = [x for x in root if size[find(x)] > 1]
+        return pd.DataFrame({"node": named, "cluster": [find(x) for x in named]})
 
     rows = pairs.select(F.col("rank").cast("long").alias("rank"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
     return rows.groupBy().applyInPandas(run, "node string, cluster string")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, ranges
+from ..plans.stages import stage
 
 
 def at_version(rows: DataFrame, version: int | None = None, *, name: str = "set_name") -> DataFrame:
@@ -122,14 +123,23 @@ def affected_sets(anchors: DataFrame, dirty: DataFrame) -> DataFrame:
     return anchors.join(dirty.select("path").distinct(), "path", "left_semi").select("set_name").distinct()
 
 
-def ancestors(parents: DataFrame, start: str, *, limit: int = 1000) -> DataFrame:
-    """commit_id of every ancestor of start, itself included; parents: commit_id, parent. A recursive query of at most `limit` levels."""
-    spark = parents.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(commit_id) MAX RECURSION LEVEL {limit} AS (
-          SELECT DISTINCT commit_id FROM {{parents}} WHERE commit_id = {{start}}
-          UNION ALL SELECT p.parent FROM up JOIN {{parents}} p ON p.commit_id = up.commit_id WHERE p.parent IS NOT NULL)
-        SELECT DISTINCT commit_id FROM up""",
-        parents=parents,
-        start=start,
-    )
+def ancestors(parents: DataFrame, start: int | str) -> DataFrame:
+    """commit_id of every ancestor of start, itself included; parents: commit_id, parent. An unknown start has none.
+
+    Steps are doubled: round k knows the ancestors fewer than 2**k parents away and the pairs that many apart, so rounds
+    follow the logarithm of the depth, and each commit is kept once however many ways lead to it. When a round finds no
+    commit, there is none further away.
+    """
+    kind = parents.schema["commit_id"].dataType
+    found = stage(parents.where(F.col("commit_id") == F.lit(start)).select("commit_id").distinct())
+    steps = parents.where("parent IS NOT NULL").select("commit_id", F.col("parent").cast(kind).alias("parent")).distinct()
+    known = found.count()
+    while known:
+        steps = stage(steps)
+        found = stage(found.union(found.join(steps, "commit_id").select(F.col("parent").alias("commit_id"))).distinct())
+        if (now := found.count()) == known:
+            break
+        known = now
+        further = steps.select(F.col("commit_id").alias("parent"), F.col("parent").alias("next"))
+        steps = steps.join(further, "parent").select("commit_id", F.col("next").alias("parent")).distinct()
+    return found

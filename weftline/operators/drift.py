@@ -88,23 +88,37 @@ def findings(resolved: DataFrame) -> DataFrame:
 
 
 def locus(anchors: DataFrame, events: DataFrame) -> DataFrame:
-    """anchor_id, kind, commit_id of the first change that made an anchor drift; events: anchor_id, seq, commit_id, op, slice_changed."""
+    """anchor_id, kind, commit_id of the first change that made an anchor drift, null where none did and for whole files.
+
+    anchors: anchor_id and, if some are whole files, whole; events: anchor_id, seq, commit_id, op, slice_changed.
+    """
+    if "whole" in anchors.columns:
+        events = events.join(anchors.where("whole").select("anchor_id"), "anchor_id", "left_anti")
     hit = events.where("op IN ('deleted', 'renamed') OR (op = 'modified' AND slice_changed)")
     first = hit.groupBy("anchor_id").agg(F.min_by(F.struct("op", "commit_id"), "seq").alias("f"))
     kind = F.when(F.col("f.op") == "modified", "changed").otherwise("orphaned")
-    return anchors.select("anchor_id").join(first, "anchor_id", "left").select("anchor_id", F.when(F.col("f").isNull(), "unreachable").otherwise(kind).alias("kind"), F.col("f.commit_id").alias("commit_id"))
+    return anchors.select("anchor_id").join(first, "anchor_id", "left").select("anchor_id", F.when(F.col("f").isNotNull(), kind).alias("kind"), F.col("f.commit_id").alias("commit_id"))
+
+
+#: What is said of content that can't be read, by its reason. Fixed values.
+UNAVAILABLE = {"LfsNotFetched": "LFS not fetched", "LfsNotInstalled": "LFS not installed", "PromisorMissing": "promisor missing", "SparseExcluded": "sparse excluded", "FilterFailed": "filter failed", "IoError": "I/O error"}
 
 
-def label(status: Column, source: Column, kind: Column, commit: Column, there: Column) -> Column:
-    """What is said of a drift."""
+def label(status: Column, source: Column, kind: Column, commit: Column, there: Column, reason: Column | None = None) -> Column:
+    """What is said of a drift; reason: why content is unavailable."""
     short = F.substr(commit.cast("string"), F.lit(1), F.lit(8))
     place = F.when(source == "W", "the working tree").when(source == "I", "the index")
     changed = F.when(place.isNotNull(), F.concat(F.when(there, "changed in ").otherwise("deleted in "), place)).when((source == "H") & kind.isin("changed", "orphaned"), F.concat(kind, F.lit(" in "), short)).otherwise("changed")
     orphaned = F.when(kind.isin("changed", "orphaned"), F.concat(F.lit("orphaned in "), short)).otherwise("orphaned")
-    plain = {"Moved": "moved", "MergeConflict": "merge conflict", "Submodule": "submodule", "ContentUnavailable": "content unavailable"}
+    plain = {"Moved": "moved", "MergeConflict": "merge conflict", "Submodule": "submodule", }
+    said = F.lit(None).cast("string")
+    for k, v in UNAVAILABLE.items():
+        said = F.when(F.lit(None).cast("string") if reason is None else reason == k, v).otherwise(said)
+    unavailable = F.concat(F.lit("content unavailable"), F.coalesce(F.concat(F.lit(" ("), said, F.lit(")")), F.lit("")))
     out = F.when(status == "Changed", changed).when(status == "Orphaned", orphaned)
     for k, v in plain.items():
         out = out.when(status == k, v)
+    out = out.when(status == "ContentUnavailable", unavailable)
     return out.otherwise("")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 
 def usable_files(files: DataFrame, *, most: int = 40, sweep_values: int = 8, sweep_spread: float = 0.2) -> DataFrame:
     """commit_files of commits with 2 to `most` files that aren't sweeps.
@@ -176,7 +178,7 @@ def _ranks(rows: DataFrame, column: str, out: str, *by: str) -> DataFrame:
 
 
 def churn_correlation(churn: DataFrame, candidates: DataFrame, *, weeks: int = 6, least: float = 0.6, lag: int = 4, overlap: int = 4) -> DataFrame:
-    """a, b, lag, method, r: the strongest of Pearson and Spearman at no lag, and Pearson over lags of -lag to lag places.
+    """a, b, lag, method, r: the strongest of Pearson and Spearman over lags of -lag to lag places.
 
     Places count the weeks in which either file changed. Spearman must be strictly stronger to replace Pearson, and a
     lag to replace none; of equal lags the smaller in size, then the negative one. Pairs need `weeks` weeks and |r| of
@@ -190,8 +192,9 @@ def churn_correlation(churn: DataFrame, candidates: DataFrame, *, weeks: int = 6
     spearman = ranked.groupBy("a", "b").agg(_r("rx", "ry").alias("r")).select("a", "b", F.lit(0).alias("lag"), F.lit(1).alias("order"), "r")
     shifts = rows.select("a", "b", "x", F.explode(F.sequence(F.lit(-lag), F.lit(lag))).alias("lag"), "place").withColumn("place", F.col("place") + F.col("lag"))
     shifted = shifts.where("lag <> 0").join(rows.select("a", "b", "place", "y"), ["a", "b", "place"])
-    lagged = shifted.groupBy("a", "b", "lag").agg(_r("x", "y").alias("r"), F.count("*").alias("n")).where(F.col("n") >= overlap)
-    lagged = lagged.select("a", "b", "lag", (F.abs("lag") * 2 + (F.col("lag") > 0).cast("int")).alias("order"), "r")
+    by = ("a", "b", "lag")
+    lagged = _ranks(_ranks(shifted, "x", "rx", *by), "y", "ry", *by).groupBy(*by).agg(_r("x", "y").alias("rp"), _r("rx", "ry").alias("rs"), F.count("*").alias("n")).where(F.col("n") >= overlap)
+    lagged = lagged.select(*by, (F.abs("lag") * 2 + (F.col("lag") > 0).cast("int")).alias("order"), F.when(F.abs("rs") > F.abs("rp"), F.col("rs")).otherwise(F.col("rp")).alias("r"))
     every = plain.union(spearman).union(lagged).withColumn("r", F.round("r", 9))
     best = every.groupBy("a", "b").agg(F.max_by(F.struct("lag", "order", "r"), F.struct(F.abs("r"), -F.col("order"))).alias("m"))
     method = F.when(F.col("m.lag") != 0, "lagged").when(F.col("m.order") == 1, "spearman").otherwise("pearson")
@@ -206,16 +209,39 @@ def subject_clusters(files: DataFrame, keyed: DataFrame, *, least: int = 2, top:
     return grouped.where(F.size("files") >= 2)
 
 
-def token_clusters(messages: DataFrame, *, length: int = 4, least: int = 3) -> DataFrame:
-    """token, commits: messages (commit_id, text) by their rarest usable word, the first in the text on ties.
+#: Words that say nothing of a commit. Fixed values.
+STOPWORDS = ("this", "that", "with", "from", "into", "when", "then", "also", "just", "some", "more", "less", "been", "have", "will", "fix", "add", "use", "set", "get", "make", "made", "new")
+
+
+def message_words(text: Column, letters: str = "a-z0-9_") -> Column:
+    """The lower-case words of four characters or more that aren't stop words, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"[{letters}]{{4,}}"), F.lit(0)), lambda w: ~w.isin(*STOPWORDS))
 
-    Words have at least `length` letters and occur in 2 messages up to a quarter of all.
+
+def rarest_words(messages: DataFrame) -> DataFrame:
+    """commit_id, token: each message (commit_id, text) with its rarest usable word, the first in the text on ties.
+
+    Usable words occur in 2 messages up to a quarter of all.
     """
     total = messages.agg(F.count("*").alias("total"))
-    words = messages.select("commit_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{length},}}"), F.lit(0))).alias("place", "token"))
+    words = messages.select("commit_id", F.posexplode(message_words(F.col("text"))).alias("place", "token"))
     df = words.groupBy("token").agg(F.countDistinct("commit_id").alias("df")).crossJoin(F.broadcast(total)).where((F.col("df") >= 2) & (F.col("df") * 4 <= F.col("total")))
-    best = words.join(df, "token").groupBy("commit_id").agg(F.min_by("token", F.struct("df", "place")).alias("token"))
-    return best.groupBy("token").agg(F.count("*").alias("commits")).where(F.col("commits") >= least)
+    return words.join(df, "token").groupBy("commit_id").agg(F.min_by("token", F.struct("df", "place")).alias("token"))
+
+
+def token_clusters(messages: DataFrame, *, least: int = 3) -> DataFrame:
+    """token, commits: messages (commit_id, text) by their rarest word, of `least` commits or more."""
+    return rarest_words(messages).groupBy("token").agg(F.count("*").alias("commits")).where(F.col("commits") >= least)
+
+
+def message_keys(messages: DataFrame, *, least: int = 3) -> DataFrame:
+    """commit_id, key: a ticket or scope in the message (commit_id, subject, body), or, where fewer than `least` commits
+    have one, its rarest word."""
+    keyed = messages.select("commit_id", paths.cluster_key(F.col("subject"), F.col("body")).alias("key")).where("key IS NOT NULL")
+    enough = keyed.agg((F.count("*") >= least).alias("enough"))
+    words = rarest_words(messages.select("commit_id", F.col("subject").alias("text"))).select("commit_id", F.col("token").alias("key"))
+    pick = lambda rows, yes: rows.crossJoin(F.broadcast(enough)).where(F.col("enough") == F.lit(yes)).select("commit_id", "key")
+    return pick(keyed, True).union(pick(words, False))
 
 
 def defect_edges(changes: DataFrame, *, least: int = 2) -> DataFrame:
@@ -292,8 +318,12 @@ def reviewer_overlap(reviews: DataFrame, *, jaccard: float = 0.5, shared: int =
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("jaccard") >= jaccard).select("a", "b", "shared", "jaccard")
 
 
-def fix_words(commits: DataFrame, *, first: int = 200, top: int = 8) -> DataFrame:
-    """word, n: the commonest words of the newest fixes' subjects, to suggest a pattern for fixes."""
-    newest = commits.orderBy(F.desc("ts"), F.desc("commit_id")).limit(first)
-    words = newest.select(F.explode(F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+def fix_words(commits: DataFrame, *, first: int = 200, top: int = 8, more_than: int = 20) -> DataFrame:
+    """word, n: the commonest words of the newest usable commits' subjects, to suggest a pattern for fixes.
+
+    Only where no commit is a fix and there are more than `more_than` of them; else there are no rows.
+    """
+    all_ = commits.agg(((F.count("*") > more_than) & (F.coalesce(F.sum(F.col("is_fix").cast("int")), F.lit(0)) == 0)).alias("asked"))
+    newest = commits.orderBy(F.desc("ts"), F.desc("commit_id")).limit(first).crossJoin(F.broadcast(all_)).where("asked")
+    words = newest.select(F.explode(message_words(F.col("subject"), "a-z")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)

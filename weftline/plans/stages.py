@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that spark.checkpoint.dir names (a local one where it is unset, as in tests)."""
+    """The same rows from a checkpoint in the folder that spark.checkpoint.dir names. Only a local master may leave it unset."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="weftline-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

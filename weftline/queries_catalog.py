@@ -128,12 +128,12 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_overlay(now.select("set_name", "anchor_id"), hit, new)
 
 
-@query("WITH RECURSIVE p AS (SELECT o_orderkey AS commit_id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0), up AS (SELECT 4000::bigint AS commit_id UNION SELECT parent FROM up JOIN p USING (commit_id) WHERE parent > 0) SELECT commit_id FROM up")
+@query("WITH RECURSIVE p AS (SELECT o_orderkey AS commit_id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0), up AS (SELECT max(o_orderkey) AS commit_id FROM orders UNION SELECT parent FROM up JOIN p USING (commit_id) WHERE parent > 0) SELECT commit_id FROM up")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit's parent is half its number, rounded down."""
     orders = views(spark, sf_dir, "orders")[0].where("o_orderkey > 0")
     parents = orders.select(F.col("o_orderkey").alias("commit_id"), F.expr("nullif(o_orderkey div 2, 0)").alias("parent"))
-    return C.ancestors(parents, 4000)
+    return C.ancestors(parents, orders.agg(F.max("o_orderkey")).first()[0])
 
 
 # ranges and texts
@@ -302,7 +302,7 @@ def drift_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.findings(rows).select("anchor_id", "status", "source")
 
 
-@query("WITH e AS (SELECT l_orderkey AS anchor_id, l_linenumber * 100000000 + l_partkey AS seq, l_partkey AS commit_id, l_partkey % 5 AS k, l_suppkey % 2 = 0 AS c FROM lineitem), h AS (SELECT * FROM e WHERE k IN (0, 1) OR (k = 2 AND c)) SELECT o.anchor_id, coalesce(arg_min(CASE WHEN k = 2 THEN 'changed' ELSE 'orphaned' END, seq), 'unreachable') AS kind, arg_min(commit_id, seq) AS commit_id FROM (SELECT DISTINCT anchor_id FROM e) o LEFT JOIN h USING (anchor_id) GROUP BY 1")
+@query("WITH e AS (SELECT l_orderkey AS anchor_id, l_linenumber * 100000000 + l_partkey AS seq, l_partkey AS commit_id, l_partkey % 5 AS k, l_suppkey % 2 = 0 AS c FROM lineitem), h AS (SELECT * FROM e WHERE k IN (0, 1) OR (k = 2 AND c)) SELECT o.anchor_id, arg_min(CASE WHEN k = 2 THEN 'changed' ELSE 'orphaned' END, seq) AS kind, arg_min(commit_id, seq) AS commit_id FROM (SELECT DISTINCT anchor_id FROM e) o LEFT JOIN h USING (anchor_id) GROUP BY 1")
 def drift_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views(spark, sf_dir, "lineitem")[0].selectExpr("l_orderkey AS anchor_id", "l_linenumber * 100000000 + l_partkey AS seq", "l_partkey AS commit_id", "CASE l_partkey % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'renamed' WHEN 2 THEN 'modified' ELSE 'added' END AS op", "l_suppkey % 2 = 0 AS slice_changed")
     return D.locus(e.select("anchor_id").distinct(), e)

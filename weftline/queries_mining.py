@@ -124,10 +124,11 @@ def weekly_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.weekly_churn(files, commits)
 
 
-#: Pairs whose churn is compared: the twelve first files.
-_CORR = """, k AS (SELECT file, floor(epoch(ts) / 604800) AS week, sum(churn) AS churn FROM commit_files JOIN commits USING (commit_id) WHERE file <= 12 GROUP BY 1, 2),
-    cand AS (SELECT x.file AS a, y.file AS b FROM (SELECT DISTINCT file FROM k) x JOIN (SELECT DISTINCT file FROM k) y ON x.file < y.file),
-    al AS (SELECT a, b, week, sum(CASE WHEN k.file = a THEN churn ELSE 0 END) AS x, sum(CASE WHEN k.file = b THEN churn ELSE 0 END) AS y FROM cand JOIN k ON k.file = a OR k.file = b GROUP BY 1, 2, 3),
+#: Pairs whose churn is compared: those that changed together six times or more.
+_CORR = """, k AS (SELECT file, floor(epoch(ts) / 604800) AS week, sum(churn) AS churn FROM commit_files JOIN commits USING (commit_id) GROUP BY 1, 2),
+    cand AS (SELECT x.file AS a, y.file AS b FROM commit_files x JOIN commit_files y ON x.commit_id = y.commit_id AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 6),
+    sides AS (SELECT a, b, week, churn AS x, 0 AS y FROM cand JOIN k ON k.file = a UNION ALL SELECT a, b, week, 0, churn FROM cand JOIN k ON k.file = b),
+    al AS (SELECT a, b, week, sum(x) AS x, sum(y) AS y FROM sides GROUP BY 1, 2, 3),
     pl AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY week) AS place, count(*) OVER (PARTITION BY a, b) AS weeks FROM al)"""
 
 
@@ -135,19 +136,20 @@ _CORR = """, k AS (SELECT file, floor(epoch(ts) / 604800) AS week, sum(churn) AS
     ctes("commits", "commit_files")[:-1]
     + _CORR
     + """, rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM pl WHERE weeks >= 6),
+    ls AS (SELECT p.a, p.b, l, p.x, q.y FROM pl p, (SELECT unnest([-4, -3, -2, -1, 1, 2, 3, 4]) AS l) s, pl q WHERE p.weeks >= 6 AND q.a = p.a AND q.b = p.b AND q.place = p.place + l),
+    lr AS (SELECT *, rank() OVER (PARTITION BY a, b, l ORDER BY x) + (count(*) OVER (PARTITION BY a, b, l, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b, l ORDER BY y) + (count(*) OVER (PARTITION BY a, b, l, y) - 1) / 2 AS ry FROM ls),
     every AS (SELECT a, b, 0 AS lag, 0 AS o, corr(x, y) AS r FROM pl WHERE weeks >= 6 GROUP BY 1, 2
       UNION ALL SELECT a, b, 0, 1, corr(rx, ry) FROM rk GROUP BY 1, 2
-      UNION ALL SELECT p.a, p.b, l, abs(l) * 2 + (l > 0)::int, corr(p.x, q.y) FROM pl p, (SELECT unnest([-4, -3, -2, -1, 1, 2, 3, 4]) AS l) s, pl q
-        WHERE p.weeks >= 6 AND q.a = p.a AND q.b = p.b AND q.place = p.place + l GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+      UNION ALL SELECT a, b, l, abs(l) * 2 + (l > 0)::int, CASE WHEN abs(coalesce(corr(rx, ry), 0)) > abs(coalesce(corr(x, y), 0)) THEN corr(rx, ry) ELSE corr(x, y) END FROM lr GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
     best AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY abs(round(r, 9)) DESC, o) AS i FROM every)
     SELECT a, b, CAST(lag AS int) AS lag, CASE WHEN lag <> 0 THEN 'lagged' WHEN o = 1 THEN 'spearman' ELSE 'pearson' END AS method, round(r, 6) AS r FROM best WHERE i = 1 AND abs(r) >= 0.05"""
 )
 def churn_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """|r| of 0.05, as the stand-in files change independently; candidates are the twelve first files."""
+    """|r| of 0.05, as the stand-in files change independently; candidates are pairs that changed together six times."""
     commits, files = views(spark, sf_dir, "commits", "commit_files")
-    churn = M.weekly_churn(files.where("file <= 12"), commits)
-    names = churn.select("file").distinct()
-    found = names.select(F.col("file").alias("a")).join(names.select(F.col("file").alias("b")), F.col("a") < F.col("b"))
+    churn = M.weekly_churn(files, commits)
+    other = files.select("commit_id", F.col("file").alias("b"))
+    found = files.select("commit_id", F.col("file").alias("a")).join(other, "commit_id").where("a < b").groupBy("a", "b").count().where("count >= 6").select("a", "b")
     return _rounded(M.churn_correlation(churn, found, least=0.05), "r")
 
 
@@ -164,7 +166,8 @@ def subject_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{4,}'), 1) AS i FROM documents),
+    """WITH w0 AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{4,}')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9_]{4,}'), 1) AS i FROM documents),
+    w AS (SELECT * FROM w0 WHERE token NOT IN ('this','that','with','from','into','when','then','also','just','some','more','less','been','have','will','make','made')),
     d AS (SELECT token, count(DISTINCT doc_id) AS df FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) * 4 <= (SELECT count(*) FROM documents)),
     b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, i) AS p FROM w JOIN d USING (token))
     SELECT token, count(*) AS commits FROM b WHERE p = 1 GROUP BY 1 HAVING count(*) >= 3"""
@@ -228,24 +231,25 @@ def explain_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ctes("commits", "commit_files")
-    + """, r AS (SELECT DISTINCT file, author % 40 AS reviewer FROM commit_files JOIN commits USING (commit_id) WHERE commit_id % 10 = 1), n AS (SELECT file, count(*) AS n FROM r GROUP BY 1),
+    + """, r AS (SELECT DISTINCT file, author AS reviewer FROM commit_files JOIN commits USING (commit_id)), n AS (SELECT file, count(*) AS n FROM r GROUP BY 1),
     p AS (SELECT x.file AS a, y.file AS b, count(*) AS shared FROM r x JOIN r y ON x.reviewer = y.reviewer AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM p JOIN n na ON na.file = a JOIN n nb ON nb.file = b WHERE shared / (na.n + nb.n - shared) >= 0.5"""
+    SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM p JOIN n na ON na.file = a JOIN n nb ON nb.file = b WHERE shared / (na.n + nb.n - shared) >= 0.2"""
 )
 def reviewer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the commits stand for reviewed ones, as all of them would make every file have every reviewer."""
+    """Authors stand for reviewers."""
     commits, files = views(spark, sf_dir, "commits", "commit_files")
-    reviews = files.join(commits.where("commit_id % 10 = 1"), "commit_id").select("file", (F.col("author") % 40).alias("reviewer"))
-    return _rounded(M.reviewer_overlap(reviews), "jaccard")
+    reviews = files.join(commits, "commit_id").select("file", F.col("author").alias("reviewer"))
+    return _rounded(M.reviewer_overlap(reviews, jaccard=0.2), "jaccard")
 
 
-@query(ctes("commits") + ", s AS (SELECT * FROM commits WHERE is_fix ORDER BY ts DESC, commit_id DESC LIMIT 200), w AS (SELECT unnest(regexp_extract_all(lower(subject), '[a-z]{3,}')) AS word FROM s) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query(ctes("commits") + ", s AS (SELECT * FROM commits ORDER BY ts DESC, commit_id DESC LIMIT 200), w AS (SELECT unnest(regexp_extract_all(lower(subject), '[a-z]{4,}')) AS word FROM s) SELECT word, count(*) AS n FROM w WHERE word NOT IN ('this','that','with','from','into','when','then','also','just','some','more','less','been','have','will','make','made') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def fix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.fix_words(views(spark, sf_dir, "commits")[0].where("is_fix"))
+    """As if no commit were told to be a fix."""
+    return M.fix_words(views(spark, sf_dir, "commits")[0].withColumn("is_fix", F.lit(False)))
 
 
-@query(ctes("commit_files") + "SELECT commit_id, count(*) AS n FROM commit_files WHERE file % 3 = 0 GROUP BY 1 HAVING count(*) >= 2")
+@query(ctes("commit_files") + "SELECT commit_id, count(*) AS n FROM commit_files GROUP BY 1 HAVING count(*) >= 2")
 def coordinated_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third file stands for a renamed one."""
-    files = views(spark, sf_dir, "commit_files")[0].where("file % 3 = 0")
+    """Every file of a commit stands for a renamed one."""
+    files = views(spark, sf_dir, "commit_files")[0]
     return M.coordinated_moves(files.select("commit_id", F.col("file").alias("from_path"), (F.col("file") + 1).alias("to_path")))
