@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, text_of
+from .common import begin, done, text_of
 
 #: White space as the tokenizers' regular expressions have it.
 SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -186,6 +186,12 @@ def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("bpe", codec.cache_clear)
+        try:
+            yield from encoded(batches)
+        finally:
+            done()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):

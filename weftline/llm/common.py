@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -98,14 +103,37 @@ class Scratch:
 
 
 _caches: dict[str, Callable[[], None]] = {}
+#: Tasks under way in this worker, when the last one ended, and how many seconds later the caches go.
+_work = {"tasks": 0, "ended": 0.0, "watched": False}
+IDLE = 4.0
 
 
 def begin(operator: str, clear: Callable[[], None] | None = None) -> None:
     """Called in a Python worker where an operator's task begins: what other operators keep in this worker is cleared.
 
-    Workers are reused from task to task and stage to stage, so a cache would else stay beside all that follows.
+    Workers are reused from task to task and stage to stage, so a cache would else stay beside all that follows. An
+    operator with a cache calls done() where the task ends; some seconds after the last one the cache goes too.
     """
     for other in [o for o in _caches if o != operator]:
         _caches.pop(other)()
     if clear:
         _caches[operator] = clear
+        _work["tasks"] += 1
+        if not _work["watched"]:
+            _work["watched"] = True
+            threading.Thread(target=_watch, daemon=True).start()
+
+
+def done() -> None:
+    _work["tasks"], _work["ended"] = max(0, _work["tasks"] - 1), time.monotonic()
+
+
+def _watch() -> None:
+    while True:
+        time.sleep(1)
+        if _caches and not _work["tasks"] and time.monotonic() - _work["ended"] > IDLE:
+            for operator in [*_caches]:
+                _caches.pop(operator)()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # the C library gives free memory back, where it can
+                ctypes.CDLL(None).malloc_trim(0)

@@ -94,7 +94,7 @@ def _repeated(given: DataFrame, least_words: int, own: Scratch) -> DataFrame:
     lines = lines.groupBy("doc", "text_hash", "at").agg(F.first("line").alias("line"), F.first("begins").alias("begins"), F.first("ends").alias("ends"))
     lines = own.keep(lines)
     here = Window.partitionBy("doc", "text_hash").orderBy("at")
-    active = lines.join(_ranked(lines, ["line"], "r0", own), "line").drop("line")
+    active = lines.join(_ranked(lines, ["line"], "r0", own).hint("merge"), "line").drop("line")
     longest = active.agg(F.greatest(F.max("begins"), F.max("ends"))).first()[0] or 0
     k, level = 1, 0
     while 2 * k <= longest:
@@ -102,7 +102,7 @@ def _repeated(given: DataFrame, least_words: int, own: Scratch) -> DataFrame:
         shifted = active.select("doc", "text_hash", (F.col("at") - k).alias("at"), F.col(f"r{level}").alias("next"))
         active = own.keep(active.join(shifted, ["doc", "text_hash", "at"], "left"))
         pairs = _ranked(active.where("next is not null"), [f"r{level}", "next"], f"r{level + 1}", own)
-        active = active.join(pairs, [f"r{level}", "next"], "left").drop("next")
+        active = active.join(pairs.hint("merge"), [f"r{level}", "next"], "left").drop("next")
         k, level = 2 * k, level + 1
     active = own.keep(active)
 
@@ -174,7 +174,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     spelled = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     keyed = docs.drop("deleted_lines").mapInArrow(hashes, spelled + ", __hash bigint")
     gone = gone.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__gone"), F.col("deleted").alias("__deleted"))
-    joined = keyed.join(gone, (_id(docs, key) == F.col("__doc")) & (F.col("__hash") == F.col("__gone")), "left")
+    # by a shuffle at every size: the table grows with the corpus
+    joined = keyed.join(gone.hint("merge"), (_id(docs, key) == F.col("__doc")) & (F.col("__hash") == F.col("__gone")), "left")
     return joined.select(*names, "__deleted").mapInArrow(apply, spelled + ", deleted_lines bigint")
 
 

@@ -252,13 +252,13 @@ def _rarest(rows: DataFrame, twofold: DataFrame) -> DataFrame:
     keep all, as their levels can't be told apart.
     """
     several = rows.groupBy("sign").agg(F.count("*").alias("count")).where("count > 1")
-    rows = rows.join(several, "sign").join(twofold.withColumn("all", F.lit(True)), "doc", "left")
+    rows = rows.join(several.hint("merge"), "sign").join(twofold.withColumn("all", F.lit(True)), "doc", "left")
     bit = F.col("sign").bitwiseAND(F.lit(1))
     place = F.row_number().over(Window.partitionBy("doc", bit).orderBy(F.desc("count"), F.desc("sign")))
     rows = rows.withColumn("place", place).where(F.coalesce("all", F.lit(False)) | (F.col("place") > F.when(bit == 0, F.col("more0")).otherwise(F.col("more1"))))
     rows = rows.select("sign", "doc", "n")
     left = rows.groupBy("sign").agg(F.count("*").alias("count"), F.max("n").alias("widest")).where("count > 1")
-    return rows.join(left, "sign")
+    return rows.join(left.hint("merge"), "sign")
 
 
 def _parts(count: Column, widest: Column, block: int, rules: Overlap) -> Column:
@@ -282,7 +282,7 @@ def _likely(entries: DataFrame, sets: DataFrame, rules: Overlap, own: Scratch, h
     everywhere = best.select(F.col("h.doc").alias("doc"), F.col("sign").alias("b0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("b1"), F.lit(True).alias("hub"))
     rows = dealt.union(everywhere).groupBy("doc", "b0", "b1").agg(F.max("hub").alias("hub"))
     rows = rows.select("doc", "b0", "b1", F.lit(0).cast("long").alias("b2"), F.col("doc").alias("root"), F.lit(True).alias("asks"), "hub")
-    return own.keep(_searched(rows.join(sets, "doc"), rules))
+    return own.keep(_searched(rows.join(sets.hint("merge"), "doc"), rules))
 
 
 def _sized(rows: DataFrame, rules: Overlap) -> DataFrame:
@@ -326,7 +326,7 @@ def _remaining(entries: DataFrame, sets: DataFrame, links: DataFrame, rules: Ove
     held = rows.select("doc", "root", F.col("group").alias("b0"), deal("p").alias("b1"), each("q").alias("b2"), F.lit(False).alias("asks"))
     asked = rows.where("root <> main").select("doc", "root", F.col("group").alias("b0"), each("p").alias("b1"), deal("q").alias("b2"), F.lit(True).alias("asks"))
     blocks = held.union(asked).groupBy("doc", "root", "b0", "b1", "b2").agg(F.max("asks").alias("asks"))
-    return own.keep(_searched(blocks.withColumn("hub", F.lit(False)).join(sets, "doc"), rules))
+    return own.keep(_searched(blocks.withColumn("hub", F.lit(False)).join(sets.hint("merge"), "doc"), rules))
 
 
 def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: Overlap | None = None) -> DataFrame:
@@ -337,7 +337,9 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     id count as one document. Extra columns are ignored; an empty table gives no rows.
 
     Sets that link have a signature in common (see signatures), so the inverted lists are searched in blocks of
-    documents with a common signature, every link by DivideSkip. The result is a table in the shared folder.
+    documents with a common signature, every link by DivideSkip. Tables that grow with the corpus are met by shuffles at
+    every size (the merge hints), so plans are the same for small inputs and large ones. The result is a table in the
+    shared folder.
     """
     rules = rules or Overlap()
     given = docs.select(F.col(key).alias("doc"), text_of(text).alias("text"))
@@ -359,7 +361,7 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         own.drop(profile)
         # now that the signatures of one set alone are gone, the copies go, and each signature gets its count
         each = sizes.groupBy("doc").agg(*[F.max(c).alias(c) for c in ("n", "more0", "more1")])
-        firsts = own.keep(met.distinct().join(gone, "doc", "left_anti").join(each, "doc"))
+        firsts = own.keep(met.distinct().join(gone.hint("merge"), "doc", "left_anti").join(each.hint("merge"), "doc"))
         own.drop(met)
         entries = own.keep(_rarest(firsts, twofold))
         own.drop(firsts)

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import begin, cut, text_of
+from .common import begin, cut, done, text_of
 
 #: Runs kept with their ids on each of two sides, at most twice as many, and the longest run that is kept, in characters:
-#: at some 200 bytes a run, a Python worker keeps 320 MB at most.
-CACHE, LONGEST = 400_000, 64
+#: at some 200 bytes a run, a Python worker keeps 480 MB at most, until no task has used it for some seconds.
+CACHE, LONGEST = 600_000, 64
 #: Marks that make a pre-token of their own after a word. Fixed values.
 MARKS = ".,!?;:*$%&#|"
 #: Two white-space characters in a row, or one at either end: there a text can't be cut at its single spaces.
@@ -138,6 +138,12 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int = 2048, *, end: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("packing", encoder.cache_clear)
+        try:
+            yield from encoded(batches)
+        finally:
+            done()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = encoder(path), np.array([end], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 128):
