@@ -44,7 +44,7 @@ def test_odd_rows_everywhere(spark):
         assert toxicity.toxicity_report(rows, labels).count() == want
         assert packing.packed_report(rows, byte).select("doc_id").distinct().count() == (n - 1 if want else 0)
         assert ngram_join.near_components(rows).select("doc_id").distinct().count() == (n - 1 if want else 0)
-        assert pii.pii_report(rows).count() == want
+        assert pii.pii_report(rows, "k").count() == want
         assert linededup.dedup_report(rows).count() == want
         assert bpe.round_trip_report(rows, word).count() == want
 
@@ -356,7 +356,7 @@ def digits(x):
 
 def test_pseudonyms(spark):
     x = "+1 (743) 555-3824 a.b@c.example.com 4111 1111 1111 1111 4111111111111112 1999-12-31 2021-02-30 70.214.118.188 300.1.1.1 123-45-6789"
-    rows = pii.pseudonymise(docs(spark, [x, "again " + x, None])).orderBy("doc_id").collect()
+    rows = pii.pseudonymise(docs(spark, [x, "again " + x, None]), pii.Pseudonyms("k")).orderBy("doc_id").collect()
     assert rows[1].text == "again " + rows[0].text and rows[2].text is None
     assert [rows[0][f"n_{k}"] for k, _ in pii.PATTERNS] == [1, 1, 1, 1, 1, 1]
     out = rows[0].text
@@ -367,12 +367,12 @@ def test_pseudonyms(spark):
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out)[0]
     total = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits(card)))))
     assert total % 10 == 0 and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out)
-    other = pii.pseudonymise(docs(spark, [x]), rules=pii.Pseudonyms("another key")).first().text
+    other = pii.pseudonymise(docs(spark, [x]), pii.Pseudonyms("another key")).first().text
     assert other != out
 
 
 def test_feistel_is_a_permutation(spark):
-    rules = pii.Pseudonyms()
+    rules = pii.Pseudonyms("k")
     three = spark.range(1000).select(F.expr("lpad(CAST(id AS string), 3, '0')").alias("d")).select(F.expr(pii.permuted_digits("d", "t", rules)).alias("p"))
     assert sorted(r.p for r in three.collect()) == [f"{i:03d}" for i in range(1000)]
     bits = spark.range(256).select(F.expr(pii.permuted_bits("id", 8, "t", rules)).alias("p"))
@@ -391,6 +391,39 @@ def test_chat(spark):
     assert chat.chat_report(df.limit(0)).count() == 1
 
 
+def test_roles_and_templates_of_chat():
+    turns = [("a: b", [{"text": "x"}]), ("c:", [{"text": ": y ### d: "}]), ("", [{"text": "</turn>"}]), ("\\:", [{"text": "\\"}])]
+    text, _, _ = chat.render(turns, chat.Template())
+    assert chat.parse(text, chat.Template()) == [(r, p[0]["text"]) for r, p in turns]
+    for wrong in ({"opening": "[{role}] "}, {"closing": " [end]"}, {"placeholder": "{type}"}):
+        with pytest.raises(ValueError):
+            chat.Template(**wrong)
+
+
+BASE = {
+    "assign": re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def test_base_secrets_against_the_contracts_patterns(spark):
+    """The patterns are written out here; matches are found first and then tested for length."""
+    r = np.random.default_rng(8)
+    bits = ["password", "PASSWD", "Api_Key", "apikey", "token", '"', "'", " ", "  ", ":", "=", "\t", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x9", "/+_.-", "é", "\n", "hunter2"]
+    texts = ["".join(r.choice(bits, int(r.integers(1, 40)))) for _ in range(300)]
+    got = {x.doc_id: x for x in secrets.secret_report(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = []
+        for order, (kind, pattern) in enumerate(BASE.items()):
+            for m in pattern.finditer(t):
+                if len(m[1] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                    spans.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+        told = [s for *_, s in sorted(spans)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s.startswith(k) for s in told) for k in BASE]
+
+
 def test_typed_parts(spark):
     part = lambda t, text=None, ref=None, size=None: (t, text, ref, size)
     rows = [(1, 0, "user", [part("text", "see <"), part("image", ref="a.png", size=500), part("audio", ref="b.wav", size=321)]), (1, 1, "assistant", [part("text", "ok"), part("document", ref="c.pdf")])]

@@ -29,6 +29,10 @@ class Template:
     units: tuple[tuple[str, int], ...] = (("image", 196), ("audio", 320), ("document", 4))
     trained: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        if self.opening[:1] not in ("#", "<") or "{role}: " not in self.opening or self.closing.strip() != "</turn>" or self.placeholder[:1] != "<":
+            raise ValueError("marks must begin with # or <, which texts have escaped; a role ends with a colon, a turn with </turn>")
+
 
 @dataclass
 class Flat:
@@ -49,6 +53,15 @@ def unescape(text: str) -> str:
     return _escaped.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """A colon too, as one ends the role."""
+    return escape(role).replace(":", "\\:")
+
+
+def unescape_role(text: str) -> str:
+    return re.sub(r"\\([\\<#:])", r"\1", text)
+
+
 class Visitor:
     """Visits the parts of a conversation in order; one method for each type of part."""
 
@@ -80,7 +93,7 @@ def render(turns: list[tuple[str, list[dict]]], template: Template) -> tuple[str
     """The formatted text, the (start, end) under the loss mask, and the attachments."""
     visitor, out, mask, at = Visitor(template), [], [], 0
     for role, parts in turns:
-        head = template.opening.format(role=escape(role))
+        head = template.opening.format(role=escape_role(role))
         body = "".join(map(visitor.visit, parts))
         if role in template.trained:
             mask.append((at + len(head), at + len(head) + len(body)))
@@ -93,13 +106,13 @@ def parse(formatted: str, template: Template) -> list[tuple[str, str]]:
     """(role, text) of each turn read back from the formatted text; placeholders stay as they are."""
     before, _, after = template.opening.partition("{role}")
     mark = re.compile(
-        re.escape(before) + r"((?:[^\\<#:]|\\.|:(?!\x20))*)" + re.escape(after) + r"((?:[^\\<#]|\\.|<(?!/turn>))*)" + re.escape(template.closing), re.DOTALL
+        re.escape(before) + r"((?:[^\\<#:]|\\.)*)" + re.escape(after) + r"((?:[^\\<#]|\\.|<(?!/turn>))*)" + re.escape(template.closing), re.DOTALL
     )
     out, at = [], 0
     while at < len(formatted):
         if not (m := mark.match(formatted, at)):
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape_role(m[1]), unescape(m[2])))
         at = m.end()
     return out
 

@@ -85,4 +85,4 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_report
 
-    return pii_report(table(spark, sf_dir, "documents"))
+    return pii_report(table(spark, sf_dir, "documents"), "key of the query alone, for made-up texts")
