@@ -62,7 +62,7 @@ class Encoder:
 
     def many(self, runs: list[str]) -> list[bytes]:
         """Ids of runs without line feeds, none with white space at its end."""
-        ids = np.array(self.tokenizer.encode("\n".join(runs), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(runs)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0])
         if len(self.feed) != 4 or len(ends) != len(runs) - 1:
             return self.raw(runs)
