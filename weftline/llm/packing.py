@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import base64
-import re
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -12,34 +11,36 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import begin, cut, done, text_of
 
-#: Runs kept with their ids on each of two sides, at most twice as many, and the longest run that is kept, in characters:
+#: Runs kept with their ids in a generation, two of which are held, and the longest run that is kept, in characters:
 #: at some 200 bytes a run, a Python worker keeps 480 MB at most, until no task has used it for some seconds.
-CACHE, LONGEST = 600_000, 64
+CACHE, LONGEST = 1_200_000, 64
+#: Texts of a batch that are cut into runs together: as many as have this many bytes, or one.
+PART = 4 << 20
 #: Marks that make a pre-token of their own after a word. Fixed values.
 MARKS = ".,!?;:*$%&#|"
-#: Two white-space characters in a row, or one at either end: there a text can't be cut at its single spaces.
-_runs = re.compile(r"\s\s|^\s|\s$")
-#: Separators that Python takes for white space and the tokenizer doesn't.
-_odd = re.compile(r"[\x1c-\x1f]")
-
-
-def _single_gaps(text: str) -> bool:
-    """Whether all white space is single spaces and line feeds inside the text, told without looking at each place."""
-    words, gaps = text.split(), text.count(" ") + text.count("\n")
-    return len(words) - 1 == gaps and sum(map(len, words)) + gaps == len(text)
+#: White space of Unicode, and separators that only some take for white space.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Two white-space characters in a row, or one at either end, or a separator: there a text can't be cut at single spaces.
+_UNEVEN = rf"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|[\x1c-\x1f]"
+#: Beyond this character a letter may be newer than the tokenizer's tables.
+_SETTLED = "\u0530"
 
 
 class Encoder:
     """Ids of a byte-level BPE file by the tokenizers library, with the ids of recent space-separated runs kept.
 
     Where a text has no two white-space characters in a row and none at its ends, its single spaces and line feeds
-    are ends of pre-tokens, so what stands between is encoded by itself; other texts are encoded whole. New runs go to
-    the library many at a time, a line feed between, whose id no run holds.
+    are ends of pre-tokens, so what stands between is encoded by itself; other texts are encoded whole. Texts are cut
+    and their ids joined in Arrow: a piece is a run after a space, or a line feed and the run after it. New words go
+    to the library's model, other new runs to its whole pipeline, many at a time, a line feed between, whose id no run
+    holds.
     """
 
     def __init__(self, path: str):
@@ -51,10 +52,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.space = self.letters[0x20]
         self.feed = self.raw(["\n"])[0]
-        # ids of runs at the start of a line, and of runs after a space with it
-        self.known: list[dict[str, bytes]] = [{}, {}]
-        self.older: list[dict[str, bytes]] = [{}, {}]
+        # ids of pieces; those of a run after a space begin with the space
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -69,58 +73,74 @@ class Encoder:
         code, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
         return [code[4 * a + 4 : 4 * z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
-    def learn(self, side: int, runs: set[str]) -> list[str]:
-        """Puts all the runs among the known ones; gives those that are too long to be kept."""
-        if len(self.known[side]) >= CACHE:
-            self.older[side], self.known[side] = self.known[side], {}
-        known, older, missing, marked = self.known[side], self.older[side], [], []
-        for r in runs.difference(known):
-            if r in older:
-                known[r] = older[r]
-                continue
-            word = r.rstrip(MARKS)
-            if word != r and word.isalpha():
-                marked.append((r, word))
-                if word in known:
+    def word(self, word: str) -> bytes:
+        """Ids of a piece of letters, one pre-token but for the line feed before it."""
+        head = word[0] == "\n"
+        letters = word[1:] if head else word
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters if head else self.space + letters)]).tobytes()
+        return self.feed + ids if head else ids
+
+    def codes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        if len(self.known) >= CACHE:
+            self.older, self.known = self.known, {}
+        known, older, marks = self.known, self.older, self.marks
+        out = [*map(known.get, pieces)]
+        rest: list[int] = []
+        for i in [i for i, code in enumerate(out) if code is None]:
+            piece = pieces[i]
+            code = older.get(piece)
+            if code is None:
+                word = piece.rstrip(MARKS)
+                letters = word[1:] if word[:1] == "\n" else word
+                if not letters.isalpha() or not (letters.isascii() or max(letters) < _SETTLED):
+                    rest.append(i)
                     continue
-                if word in older:
-                    known[word] = older[word]
-                    continue
-                r = word
-            missing.append(r)
-        missing = [*dict.fromkeys(missing)]
-        for at in range(0, len(missing), 1000):
-            part = missing[at : at + 1000]
-            known.update(zip(part, self.many([" " + r for r in part] if side else part), strict=True))
-        marks = {r[len(word) :] for r, word in marked}.difference(self.marks)
-        if marks:
-            self.marks.update(zip(marks, self.raw([*marks]), strict=True))
-        for r, word in marked:
-            known[r] = known[word] + self.marks[r[len(word) :]]
-        if len(self.marks) > 10_000:
-            self.marks.clear()
-        return [r for r in {*missing, *(r for r, _ in marked)} if len(r) > LONGEST]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        plain = (_single_gaps(t) or not _runs.search(t) for t in texts)
-        cuts = [[x.split(" ") for x in t.split("\n")] if t and ok and not _odd.search(t) else None for t, ok in zip(texts, plain, strict=True)]
-        heads, tails = set(), set()
-        for lines in cuts:
-            for x in lines or ():
-                heads.add(x[0])
-                tails.update(x[1:])
-        long = [self.learn(0, heads), self.learn(1, tails)]
-        head, tail = self.known[0].__getitem__, self.known[1].__getitem__
-        out = []
-        for t, lines in zip(texts, cuts, strict=True):
-            if lines is None:
-                out.append(self.raw([t])[0] if t else b"")
-            else:
-                out.append(self.feed.join([b"".join([head(x[0]), *map(tail, x[1:])]) for x in lines]))
-        for side, runs in enumerate(long):
-            for r in runs:
-                del self.known[side][r]
+                code = known.get(word) or older.get(word) or self.word(word)
+                if word != piece:
+                    if len(word) <= LONGEST:
+                        known[word] = code
+                    mark = piece[len(word) :]
+                    if mark not in marks:
+                        if len(marks) >= 10_000:
+                            marks.clear()
+                        marks[mark] = self.raw([mark])[0]
+                    code += marks[mark]
+            out[i] = code
+            if len(piece) <= LONGEST:
+                known[piece] = code
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            heads = [pieces[i][0] == "\n" for i in part]
+            for i, head, code in zip(part, heads, self.many([pieces[i][1:] if h else " " + pieces[i] for i, h in zip(part, heads, strict=True)]), strict=True):
+                out[i] = self.feed + code if head else code
+                if len(pieces[i]) <= LONGEST:
+                    known[pieces[i]] = out[i]
+        return out
+
+    def batch(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, null being empty."""
+        given = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        given = pc.fill_null(given, "")
+        uneven = pc.match_substring_regex(given, _UNEVEN).to_numpy(zero_copy_only=False)
+        filled = pc.binary_length(given).to_numpy(zero_copy_only=False) > 0
+        out = [b""] * len(given)
+        for i in np.flatnonzero(filled & uneven).tolist():
+            out[i] = self.raw([given[i].as_py()])[0]
+        rows = np.flatnonzero(filled & ~uneven)
+        if len(rows):
+            # "a b\nc" becomes "\na", "b", "\nc"
+            lines = pc.replace_substring(given.take(pa.array(rows)), "\n", " \n")
+            cuts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
+            pieces = cuts.values.dictionary_encode()
+            joined = pa.array(self.codes(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+            ids = memoryview(joined.buffers()[2])
+            ends = np.frombuffer(joined.buffers()[1], np.int64)[cuts.offsets.to_numpy()].tolist()
+            lead = len(self.feed)
+            for i, a, z in zip(rows.tolist(), ends[:-1], ends[1:], strict=True):
+                out[i] = bytes(ids[a + lead : z])
         return out
 
 
@@ -146,15 +166,17 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int = 2048, *, end: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = encoder(path), np.array([end], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(size // PART)) + 1).tolist(), b.num_rows]
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                part = b.slice(at, to - at)
                 rows: list[int] = []
                 pieces, starts, lengths, codes = [], [], [], []
-                for row, ids in enumerate(own.batch([t or "" for t in part.column(1).to_pylist()])):
+                for row, ids in enumerate(own.batch(part.column(1))):
                     ids += last
                     n = len(ids) // 4
-                    edges = [0, *range(n % limit or limit, n + 1, limit)]
-                    for piece, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    cuts = [0, *range(n % limit or limit, n + 1, limit)]
+                    for piece, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         rows.append(row)
                         pieces.append(piece)
                         starts.append(a)
