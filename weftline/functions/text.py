@@ -23,8 +23,7 @@ def identifiers(text: Column) -> Column:
 
 def trigrams(tokens: Column) -> Column:
     """Distinct runs of three characters of the tokens joined by spaces."""
-    s = F.array_join(tokens, " ")
-    return F.when(F.length(s) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3)))))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(tokens, " "), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

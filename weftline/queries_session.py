@@ -110,20 +110,19 @@ def session_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("sid", "place", F.to_json("participants").alias("participants"), "size", "composite", "band", "viability", "density", "edit_hits")
 
 
-_TOK = """, tok AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(array_to_string(string_split(text, chr(10))[1:5], chr(10)), '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda t: NOT list_contains(""" + str(T.KEYWORDS).replace('"', "'") + """, t)))) AS ids FROM documents)"""
+_TOK = """, tok AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda t: NOT list_contains(""" + str(T.KEYWORDS).replace('"', "'") + """, t)))) AS ids FROM documents)"""
 
 
 @query("WITH z AS (SELECT 1)" + _TOK + " SELECT doc_id, array_to_string(ids, ' ') AS identifiers FROM tok")
 def range_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers of the first five lines of each document."""
+    """Identifiers of each whole document."""
     docs = views(spark, sf_dir, "documents")[0]
-    part = F.array_join(T.line_slice(T.lines_raw(F.col("text")), F.lit(1), F.lit(5)), "\n")
-    return docs.select("doc_id", F.array_join(T.identifiers(part), " ").alias("identifiers"))
+    return docs.select("doc_id", F.array_join(T.identifiers(F.col("text")), " ").alias("identifiers"))
 
 
 def _documents_as_ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = views(spark, sf_dir, "documents")[0]
-    canon = docs.select(F.col("source").alias("sid"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("start"), F.lit(5).cast("bigint").alias("end"))
+    canon = docs.select(F.col("source").alias("sid"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("start"), F.size(T.lines_raw(F.col("text"))).cast("bigint").alias("end"))
     tokens = S.range_tokens(canon, docs.select(F.col("doc_id").cast("string").alias("path"), "text"))
     return tokens, S.inverse_frequency(tokens)
 
@@ -147,15 +146,20 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT *, CASE WHEN length(s) < 3 THEN [] ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, CAST(i AS int), 3))) END AS tri FROM d),
     n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT source, unnest(ids) AS token FROM d),
     f AS (SELECT source, token, ln((any_value(n.n) + 1) / (1 + count(*))) AS idf FROM e JOIN n USING (source) GROUP BY 1, 2),
-    p AS (SELECT a.source, a.doc_id AS lo, b.doc_id AS hi, a.ids AS x, b.ids AS y, a.tri AS t, b.tri AS u FROM g a JOIN g b ON a.source = b.source AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 40),
+    r AS (SELECT source, token FROM e GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 3), o AS (SELECT source, doc_id, unnest(ids) AS token FROM d), h AS (SELECT * FROM o JOIN r USING (source, token)),
+    q AS (SELECT DISTINCT a.source, a.doc_id AS lo, b.doc_id AS hi FROM h a JOIN h b ON a.source = b.source AND a.token = b.token AND a.doc_id < b.doc_id),
+    p AS (SELECT q.source, lo, hi, a.ids AS x, b.ids AS y, a.tri AS t, b.tri AS u FROM q JOIN g a ON a.doc_id = lo JOIN g b ON b.doc_id = hi),
     w AS (SELECT source, lo, hi, least(sum(idf) / 6, 1) AS s FROM (SELECT source, lo, hi, unnest(list_filter(list_intersect(x, y), lambda k: length(k) >= 4)) AS token FROM p) JOIN f USING (source, token) GROUP BY 1, 2, 3),
     j AS (SELECT source, lo, hi, CASE WHEN len(t) = 0 OR len(u) = 0 THEN 0 ELSE len(list_intersect(t, u)) / (len(t) + len(u) - len(list_intersect(t, u))) END AS tri FROM p)
     SELECT source AS sid, lo, hi, round(greatest(coalesce(s, 0), tri), 6) AS cohesion, CAST(round(tri, 6) AS double) AS trigram FROM j LEFT JOIN w USING (source, lo, hi)"""
 )
 def pair_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source at most 40 ids apart stand for pairs of ranges."""
+    """Documents of a source with an identifier that two or three of its documents hold stand for pairs of ranges."""
     tokens, idf = _documents_as_ranges(spark, sf_dir)
-    a, b = (tokens.select("sid", F.col("id").alias(x)) for x in ("lo", "hi"))
-    pairs = a.join(b, "sid").where("hi > lo AND hi <= lo + 40")
+    held = tokens.select("sid", "id", F.explode("identifiers").alias("token"))
+    rare = held.groupBy("sid", "token").count().where("count BETWEEN 2 AND 3").drop("count")
+    own = held.join(rare, ["sid", "token"])
+    a, b = (own.withColumnRenamed("id", x) for x in ("lo", "hi"))
+    pairs = a.join(b, ["sid", "token"]).where("hi > lo").select("sid", "lo", "hi").distinct()
     found = S.pair_cohesion(pairs, tokens, idf)
     return found.select("sid", "lo", "hi", F.round("cohesion", 6).alias("cohesion"), F.round("trigram", 6).alias("trigram"))
