@@ -86,3 +86,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"), "key of the query alone, for made-up texts")
+
+
+@query
+def op13_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maintenance import maintenance_report
+
+    return maintenance_report(table(spark, sf_dir, "documents"))
