@@ -93,3 +93,10 @@ def op13_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maintenance import maintenance_report
 
     return maintenance_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie_report
+
+    return trie_report(table(spark, sf_dir, "conversations"))
