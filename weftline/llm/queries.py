@@ -100,3 +100,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import trie_report
 
     return trie_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_main
+
+    return extract_main(table(spark, sf_dir, "pages"))
