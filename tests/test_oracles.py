@@ -1,4 +1,4 @@
-"""Every query of the library against its oracle, on the smallest tables."""
+"""Every query of the library against its oracle, on the two smaller sets of tables."""
 
 import math
 from pathlib import Path
@@ -8,16 +8,19 @@ import pytest
 
 from weftline import queries as core
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata")
+SIZES = ("sf0.001", "sf0.01")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 
 @pytest.fixture(scope="module")
 def duck():
-    c = duckdb.connect()
-    for f in DATA.glob("*.parquet"):
-        c.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    return c
+    found = {}
+    for size in SIZES:
+        found[size] = duckdb.connect()
+        for f in (DATA / size).glob("*.parquet"):
+            found[size].sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return found
 
 
 def plain(v):
@@ -26,10 +29,11 @@ def plain(v):
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
+@pytest.mark.parametrize("size", SIZES)
 @pytest.mark.parametrize("name", sorted(core.ORACLES))
-def test_matches_oracle(spark, duck, name):
-    df = core.QUERIES[name](spark, str(DATA))
-    told = duck.sql(core.ORACLES[name])
+def test_matches_oracle(spark, duck, name, size):
+    df = core.QUERIES[name](spark, str(DATA / size))
+    told = duck[size].sql(core.ORACLES[name])
     columns = sorted(df.columns)
     assert columns == sorted(told.columns)
     place = [told.columns.index(c) for c in columns]

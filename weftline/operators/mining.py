@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,50 +159,81 @@ def weekly_churn(files: DataFrame, commits: DataFrame) -> DataFrame:
     return files.join(commits.select("commit_id", "ts"), "commit_id").groupBy("file", week).agg(F.sum("churn").alias("churn"))
 
 
-def _r(x: str, y: str) -> Column:
-    """Pearson's r of two columns of a group; 0 where either doesn't vary."""
-    n, sx, sy = F.count("*"), F.sum(x), F.sum(y)
-    up = n * F.sum(F.col(x) * F.col(y)) - sx * sy
-    down = F.sqrt(F.greatest(F.lit(0.0), n * F.sum(F.col(x) * F.col(x)) - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * F.sum(F.col(y) * F.col(y)) - sy * sy))
-    return F.when(down > 1e-9, up / F.nullif(down, F.lit(0.0))).otherwise(0.0)
+def _pearson(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson's r of each row of x with the same row of y; 0 where either doesn't vary."""
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    down = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+    return np.divide((x * y).sum(axis=1), down, out=np.zeros(len(x)), where=down > 1e-9)
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks in each row: equal values share the mean of their places."""
+    order = np.argsort(x, axis=1)
+    ordered, place = np.take_along_axis(x, order, axis=1), np.arange(x.shape[1])
+    same = ordered[:, 1:] == ordered[:, :-1]
+    edge = np.ones((len(x), 1), dtype=bool)
+    first = np.maximum.accumulate(np.where(np.hstack([edge, ~same]), place, 0), axis=1)
+    last = np.minimum.accumulate(np.where(np.hstack([~same, edge]), place, x.shape[1] - 1)[:, ::-1], axis=1)[:, ::-1]
+    ranks = np.empty(x.shape)
+    np.put_along_axis(ranks, order, (first + last) / 2, axis=1)
+    return ranks
 
 
-def aligned_weeks(churn: DataFrame, candidates: DataFrame) -> DataFrame:
-    """a, b, place, x, y: churn of both files of each candidate pair over the weeks in which either changed, 0 where one didn't."""
-    side = lambda own, x, y: candidates.join(churn.select(F.col("file").alias(own), "week", F.col("churn")), own).select("a", "b", "week", x, y)
-    both = side("a", F.col("churn").alias("x"), F.lit(0.0).alias("y")).union(side("b", F.lit(0.0).alias("x"), F.col("churn").alias("y")))
-    weeks = both.groupBy("a", "b", "week").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return weeks.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("week")))
+def _strongest(x: np.ndarray, y: np.ndarray, lag: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lag, whether by ranks, and r of each row's strongest view: no lag by values, no lag by ranks, then lags upward."""
+    n = x.shape[1]
+    views = [(0, False, _pearson(x, y)), (0, True, _pearson(_ranks(x), _ranks(y)))]
+    for by in range(-lag, lag + 1):
+        if by and n - abs(by) >= overlap:
+            xs, ys = (x[:, : n - by], y[:, by:]) if by > 0 else (x[:, -by:], y[:, : n + by])
+            views += [(by, False, _pearson(xs, ys)), (by, True, _pearson(_ranks(xs), _ranks(ys)))]
+    r = np.stack([v[2] for v in views])
+    best = np.argmax(np.abs(r).round(9), axis=0)  # the first of equals
+    return np.array([v[0] for v in views])[best], np.array([v[1] for v in views])[best], r[best, np.arange(len(x))]
 
 
-def _ranks(rows: DataFrame, column: str, out: str, *by: str) -> DataFrame:
-    """Average ranks: equal values share the mean of their places."""
-    tie = F.count("*").over(Window.partitionBy(*by, column))
-    return rows.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(column)) + (tie - 1) / 2)
+#: Pairs whose series one step of a task holds as arrays.
+AT_ONCE = 500
 
 
 def churn_correlation(churn: DataFrame, candidates: DataFrame, *, weeks: int = 6, least: float = 0.6, lag: int = 4, overlap: int = 4) -> DataFrame:
-    """a, b, lag, method, r: the strongest of Pearson and Spearman over lags of -lag to lag places.
+    """a, b, lag, method, r: the strongest of Pearson and Spearman over lags of -lag to lag weeks.
 
-    Places count the weeks in which either file changed. Spearman must be strictly stronger to replace Pearson, and a
-    lag to replace none; of equal lags the smaller in size, then the negative one. Pairs need `weeks` weeks and |r| of
-    at least `least`, lagged series `overlap` places.
+    Series hold the weeks in which either file changed, 0 where one didn't. Of equal |r| (to nine places) the view without
+    a lag comes first, Pearson before Spearman, then the most negative lag; method is the view's, r isn't rounded. Pairs
+    need `weeks` weeks and |r| of at least `least`, lagged series `overlap` weeks.
+    A file's weeks are one row, as many as the history has; pairs of series are compared in Arrow batches.
     """
-    rows = aligned_weeks(churn, candidates)
-    n = rows.groupBy("a", "b").agg(F.count("*").alias("weeks")).where(F.col("weeks") >= weeks)
-    rows = rows.join(n, ["a", "b"])
-    plain = rows.groupBy("a", "b").agg(_r("x", "y").alias("r")).select("a", "b", F.lit(0).alias("lag"), F.lit(0).alias("order"), "r")
-    ranked = _ranks(_ranks(rows, "x", "rx", "a", "b"), "y", "ry", "a", "b")
-    spearman = ranked.groupBy("a", "b").agg(_r("rx", "ry").alias("r")).select("a", "b", F.lit(0).alias("lag"), F.lit(1).alias("order"), "r")
-    shifts = rows.select("a", "b", "x", F.explode(F.sequence(F.lit(-lag), F.lit(lag))).alias("lag"), "place").withColumn("place", F.col("place") + F.col("lag"))
-    shifted = shifts.where("lag <> 0").join(rows.select("a", "b", "place", "y"), ["a", "b", "place"])
-    by = ("a", "b", "lag")
-    lagged = _ranks(_ranks(shifted, "x", "rx", *by), "y", "ry", *by).groupBy(*by).agg(_r("x", "y").alias("rp"), _r("rx", "ry").alias("rs"), F.count("*").alias("n")).where(F.col("n") >= overlap)
-    lagged = lagged.select(*by, (F.abs("lag") * 2 + (F.col("lag") > 0).cast("int")).alias("order"), F.when(F.abs("rs") > F.abs("rp"), F.col("rs")).otherwise(F.col("rp")).alias("r"))
-    every = plain.union(spearman).union(lagged).withColumn("r", F.round("r", 9))
-    best = every.groupBy("a", "b").agg(F.max_by(F.struct("lag", "order", "r"), F.struct(F.abs("r"), -F.col("order"))).alias("m"))
-    method = F.when(F.col("m.lag") != 0, "lagged").when(F.col("m.order") == 1, "spearman").otherwise("pearson")
-    return best.select("a", "b", F.col("m.lag").alias("lag"), method.alias("method"), F.col("m.r").alias("r")).where(F.abs("r") >= least)
+    kinds = f"a {churn.schema['file'].dataType.simpleString()}, b {churn.schema['file'].dataType.simpleString()}, lag int, method string, r double"
+    series = churn.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(F.col("week").cast("long").alias("week"), F.col("churn").cast("double").alias("churn")))).alias("s"))
+    side = lambda of: series.select(F.col("file").alias(of), F.col("s.week").alias(f"week_{of}"), F.col("s.churn").alias(f"churn_{of}"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = batch.slice(at, AT_ONCE)
+                arrays = [[np.asarray(v) for v in rows[c].to_pylist()] for c in ("week_a", "churn_a", "week_b", "churn_b")]
+                by_length: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+                for i, (wa, ca, wb, cb) in enumerate(zip(*arrays, strict=True)):
+                    both = np.union1d(wa, wb)
+                    x, y = np.zeros(len(both)), np.zeros(len(both))
+                    x[np.searchsorted(both, wa)], y[np.searchsorted(both, wb)] = ca, cb
+                    by_length.setdefault(len(both), []).append((i, x, y))
+                kept: list[tuple[int, int, bool, float]] = []
+                for n, group in by_length.items():
+                    if n >= weeks:
+                        lags, ranked, r = _strongest(np.stack([g[1] for g in group]), np.stack([g[2] for g in group]), lag, overlap)
+                        kept += [(g[0], int(k), bool(s), float(v)) for g, k, s, v in zip(group, lags, ranked, r, strict=True) if abs(v) >= least]
+                of = pa.array([k[0] for k in kept], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rows["a"].take(of), rows["b"].take(of), pa.array([k[1] for k in kept], pa.int32()), pa.array(["spearman" if k[2] else "pearson" for k in kept], pa.string()), pa.array([k[3] for k in kept], pa.float64())],
+                    names=["a", "b", "lag", "method", "r"],
+                )
+
+    pairs_ = candidates.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    # few bytes, much work: partitions that small would be put together
+    pairs_ = pairs_.repartition(int(churn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pairs_.select("a", "b", "week_a", "churn_a", "week_b", "churn_b").mapInArrow(compared, kinds)
 
 
 def subject_clusters(files: DataFrame, keyed: DataFrame, *, least: int = 2, top: int = 8) -> DataFrame:

@@ -200,12 +200,12 @@ def range_read_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", R.overlaps(s, s + F.col("l_linenumber"), F.col("l_linenumber") == 1, q, q).alias("met"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'src/a.rs#' || trim(p_name[:60]) ELSE 'src/a.rs#L' || ((p_partkey - 1) // 100 * 100 + 1) || '-L' || ((p_partkey - 1) // 100 * 100 + 100) END AS key FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'src/a.rs#' || trim(p_name[:60]) ELSE 'src/a.rs#L' || (p_partkey // 100 * 100 + 1) || '-L' || (p_partkey // 100 * 100 + 100) END AS key FROM part")
 def hunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names stand for headings of every third size."""
+    """Names stand for headings of every third size, keys from 0 for lines from 1."""
     part = views(spark, sf_dir, "part")[0]
     heading = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("## * "), F.col("p_name")))
-    return part.select("p_partkey", P.hunk_key(F.lit("src/a.rs"), heading, F.col("p_partkey")).alias("key"))
+    return part.select("p_partkey", P.hunk_key(F.lit("src/a.rs"), heading, F.col("p_partkey") + 1).alias("key"))
 
 
 @query("SELECT o_orderkey AS commit_id, CASE WHEN o_custkey % 3 = 0 THEN 'ticket:AB-' || o_custkey WHEN o_custkey % 3 = 1 THEN 'ticket:XY-' || o_orderkey % 10 ELSE 'scope:core' || o_orderkey % 5 END AS key FROM orders")

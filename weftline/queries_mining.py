@@ -138,11 +138,11 @@ _CORR = """, k AS (SELECT file, floor(epoch(ts) / 604800) AS week, sum(churn) AS
     + """, rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM pl WHERE weeks >= 6),
     ls AS (SELECT p.a, p.b, l, p.x, q.y FROM pl p, (SELECT unnest([-4, -3, -2, -1, 1, 2, 3, 4]) AS l) s, pl q WHERE p.weeks >= 6 AND q.a = p.a AND q.b = p.b AND q.place = p.place + l),
     lr AS (SELECT *, rank() OVER (PARTITION BY a, b, l ORDER BY x) + (count(*) OVER (PARTITION BY a, b, l, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b, l ORDER BY y) + (count(*) OVER (PARTITION BY a, b, l, y) - 1) / 2 AS ry FROM ls),
-    every AS (SELECT a, b, 0 AS lag, 0 AS o, corr(x, y) AS r FROM pl WHERE weeks >= 6 GROUP BY 1, 2
-      UNION ALL SELECT a, b, 0, 1, corr(rx, ry) FROM rk GROUP BY 1, 2
-      UNION ALL SELECT a, b, l, abs(l) * 2 + (l > 0)::int, CASE WHEN abs(coalesce(corr(rx, ry), 0)) > abs(coalesce(corr(x, y), 0)) THEN corr(rx, ry) ELSE corr(x, y) END FROM lr GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
-    best AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY abs(round(r, 9)) DESC, o) AS i FROM every)
-    SELECT a, b, CAST(lag AS int) AS lag, CASE WHEN lag <> 0 THEN 'lagged' WHEN o = 1 THEN 'spearman' ELSE 'pearson' END AS method, round(r, 6) AS r FROM best WHERE i = 1 AND abs(r) >= 0.05"""
+    views AS (SELECT a, b, 0 AS lag, corr(x, y) AS rp FROM pl WHERE weeks >= 6 GROUP BY 1, 2 UNION ALL SELECT a, b, l, corr(x, y) FROM lr GROUP BY 1, 2, 3 HAVING count(*) >= 4),
+    ranked AS (SELECT a, b, 0 AS lag, corr(rx, ry) AS rs FROM rk GROUP BY 1, 2 UNION ALL SELECT a, b, l, corr(rx, ry) FROM lr GROUP BY 1, 2, 3 HAVING count(*) >= 4),
+    every AS (SELECT a, b, lag, 'pearson' AS method, rp AS r, lag * 2 + 20 * (lag <> 0)::int AS o FROM views UNION ALL SELECT a, b, lag, 'spearman', rs, lag * 2 + 1 + 20 * (lag <> 0)::int FROM ranked),
+    best AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(abs(coalesce(r, 0)), 9) DESC, o) AS i FROM every WHERE NOT isnan(coalesce(r, 0)))
+    SELECT a, b, CAST(lag AS int) AS lag, method, round(r, 6) AS r FROM best WHERE i = 1 AND abs(r) >= 0.05"""
 )
 def churn_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """|r| of 0.05, as the stand-in files change independently; candidates are pairs that changed together six times."""
