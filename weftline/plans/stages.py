@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that spark.checkpoint.dir names. Only a local master may leave it unset."""
+def _shared_folder(df: DataFrame) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local master may leave it unset."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(folder)
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="weftline-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder."""
+    _shared_folder(df)
     return df.checkpoint(eager=True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, for rounds of joins of a result with itself.
+
+    A checkpoint carries on what is known of its columns, which grows with every round until planning takes longer than the
+    work; a table begins anew.
+    """
+    path = f"{_shared_folder(df).rstrip('/')}/held-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
