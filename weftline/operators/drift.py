@@ -137,18 +137,49 @@ def within_budget(changes: DataFrame, budget: int = 1000) -> DataFrame:
     return rows.select("seq", F.explode(each).alias("c")).select("seq", "c.*")
 
 
+def likely_copies(added: DataFrame, pool: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of an added and a pool document (doc, line, n) that may reach a Jaccard index of `least`.
+
+    The n equal lines of a document are n different tokens, so the index of multisets is that of sets. Tokens go from rare
+    to common; documents that reach it have a token in common among the first size - ceil(least * size) + 1 of both, and
+    sizes within a factor of least. Common lines are last, so they pair only what has few others.
+    """
+    tokens = lambda df: df.select("doc", "line", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    both = tokens(added).withColumn("ours", F.lit(True)).union(tokens(pool).withColumn("ours", F.lit(False)))
+    common = both.groupBy("line", "copy").agg(F.count("*").alias("docs"))
+    # a token of one side only can't be shared, but holds its place in the order
+    ranked = both.join(common, ["line", "copy"])
+    own = Window.partitionBy("ours", "doc")
+    ranked = ranked.withColumn("size", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("docs", "line", "copy")))
+    first = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    left = first.where("ours").select(F.col("doc").alias("a"), "line", "copy", F.col("size").alias("size_a"))
+    right = first.where("NOT ours").select(F.col("doc").alias("b"), "line", "copy", F.col("size").alias("size_b"))
+    near = (F.col("size_b") >= F.col("size_a") * least - 1e-9) & (F.col("size_a") >= F.col("size_b") * least - 1e-9)
+    return left.join(right, ["line", "copy"]).where(near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+
+
 def copy_sources(added: DataFrame, pool: DataFrame, *, least: float = 0.5) -> DataFrame:
     """path, source, similarity: for each added file (path, line) the most similar of the pool (source, place, line).
 
-    Similarity is the Jaccard index of line multisets; of equals the first in the pool's order wins. Only files that
-    share a line are compared.
+    Similarity is the Jaccard index of line multisets; of equals the first in the pool's order wins. Of pool files with the
+    same lines only the first two are compared, the second for the case that the first is the added file itself.
     """
-    shared = added.select("path", "line").distinct().join(pool.select("source", "line").distinct(), "line").where("path <> source").select(F.col("path").alias("a"), F.col("source").alias("b")).distinct()
-    lines = added.select(F.col("path").alias("doc"), "line").union(pool.join(added.select("path").distinct(), F.col("source") == F.col("path"), "left_anti").select("source", "line"))
-    found = text.multiset_jaccard(lines, shared).where(F.col("similarity") >= least)
-    placed = found.join(pool.select(F.col("source").alias("b"), "place").distinct(), "b")
-    best = placed.groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("place"))).alias("m"))
-    return best.select(F.col("a").alias("path"), F.col("m.b").alias("source"), F.col("m.similarity").alias("similarity"))
+    counted = lambda df, of: df.groupBy(F.col(of).alias("doc"), "line").agg(F.count("*").alias("n"))
+    ours, theirs = stage(counted(added, "path")), stage(counted(pool, "source"))
+    line = F.struct(F.xxhash64("line").alias("h"), "n")
+    alike = theirs.groupBy("doc").agg(F.sha2(F.array_sort(F.collect_list(line)).cast("string"), 256).alias("content"))
+    placed = stage(alike.join(pool.select(F.col("source").alias("doc"), "place").distinct(), "doc"))
+    least_of = lambda df: df.groupBy("content").agg(F.min(F.struct("place", "doc")).alias("f")).select("f.doc", "f.place")
+    head = least_of(placed)
+    second = least_of(placed.join(head, ["doc", "place"], "left_anti"))
+    kept = stage(head.union(second))
+    pairs = likely_copies(ours, theirs.join(kept, "doc", "left_semi"), least)
+    apart = lambda df, of: df.select(F.concat(F.lit(of), F.col("doc").cast("string")).alias("doc"), "line", "n")
+    named = stage(pairs.select(F.concat(F.lit("+"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("-"), F.col("b").cast("string")).alias("b"), F.col("a").alias("path"), F.col("b").alias("source")))
+    each = apart(ours, "+").union(apart(theirs, "-")).select("doc", "line", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
+    found = text.multiset_jaccard(each, named.select("a", "b")).where(F.col("similarity") >= least).join(named, ["a", "b"])
+    best = found.join(kept.select(F.col("doc").alias("source"), "place"), "source").groupBy("path").agg(F.max_by(F.struct("source", "similarity"), F.struct("similarity", -F.col("place"))).alias("m"))
+    return best.select("path", F.col("m.source").alias("source"), F.col("m.similarity").alias("similarity"))
 
 
 def acknowledged(resolved: DataFrame, staged: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .publish import Catalog
+
 EXTENT = ["set_name", "path", "start", "end", "whole"]
 DEFAULTS = {"copy_detection": "same-commit", "ignore_whitespace": "false", "follow_moves": "false"}
 
@@ -118,9 +120,8 @@ def reverted(rows: DataFrame, name: str, version: int) -> DataFrame:
 
 
 def save(rows: DataFrame, path: str, expected: int) -> int:
-    """Writes a new version of a catalog table if its newest one is still `expected`, and gives the new number.
+    """Publishes a new version of a catalog table if its newest one is still `expected`, and gives the new number.
 
-    Versions are folders, and Spark refuses to write one that exists, so of two writers one fails and can load and try again.
+    Of two writers at once one gets VersionTaken, and can load and try again; Catalog.update does that.
     """
-    rows.write.mode("errorifexists").parquet(f"{path}/v={expected + 1:08d}")
-    return expected + 1
+    return Catalog(rows.sparkSession, path).publish(rows, expected)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import content as C
 from .operators import diff
+from .operators.publish import prepared_adds as prepared
 from .queries import query
 from .standins import views
 
@@ -73,3 +74,15 @@ def content_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = last.where("path LIKE 'de/%'").select(F.lit("worktree").alias("layer"), "path", F.lit(None).cast("string").alias("to_path"), F.lit(None).cast("string").alias("text"))
     found = C.resolve(anchors, versions, changes, index.union(tree).where("text IS NOT NULL OR to_path IS NULL"))
     return found.select("anchor_id", "now_path", "now_start", "now_end", "status", F.concat_ws("", "sources").alias("sources"), "kind", "locus_seq")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_FILE} || '/' || doc_id AS path, 1 + doc_id % 6 AS s, 1 + doc_id % 6 + doc_id % 4 - (doc_id % 11 = 0)::int * 5 AS e, doc_id % 7 = 0 AS whole, text, {_LINES} AS lines FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
+    r AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'no such file' WHEN whole THEN NULL WHEN NOT (s >= 1 AND s <= e) THEN 'not a range' WHEN e > len(lines) THEN 'beyond the end' END AS refused FROM t)
+    SELECT doc_id, CASE WHEN refused IS NULL THEN sha256(CASE WHEN whole THEN text ELSE array_to_string(list_slice(lines, s, e), chr(10)) END) END AS content_sha, refused FROM r"""
+)
+def prepared_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An add for each document, of a file that every ninth lacks."""
+    d = views(spark, sf_dir, "documents")[0].selectExpr("doc_id", f"concat({_FILE}, '/', doc_id) AS path", "1 + doc_id % 6 AS start", "1 + doc_id % 6 + doc_id % 4 - CASE WHEN doc_id % 11 = 0 THEN 5 ELSE 0 END AS end", "doc_id % 7 = 0 AS whole", "coalesce(text, '') AS text")
+    found = prepared(d.select(F.col("doc_id").alias("set_name"), "path", "start", "end", "whole"), d.where("doc_id % 9 <> 0").select("path", "text"))
+    return found.select(F.col("set_name").alias("doc_id"), "content_sha", "refused")
