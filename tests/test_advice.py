@@ -1,5 +1,8 @@
 """What sessions are told."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import advice as A
@@ -32,3 +35,18 @@ def test_structural_and_surfaced(spark):
     deleted = spark.createDataFrame([("gone",)], "path string")
     assert [(r.sid, r.key) for r in A.surfaced(shown, seen, deleted, files).collect()] == [("s", "0,1")]
     assert spark.range(1).select(A.fingerprint(F.lit(1), F.lit(None)).alias("f")).first().f != spark.range(1).select(A.fingerprint(F.lit(None), F.lit(1)).alias("f")).first().f
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_capped_clusters_as_one_pass(spark, most):
+    r = random.Random(most)
+    rows = [(r.randrange(25), *(f"n{r.randrange(40)}" for _ in "ab")) for _ in range(160)]
+    rows += [(50 + i, f"m{i}", f"m{i + 1}") for i in range(12)]
+    of = {x: {x} for row in rows for x in row[1:]}
+    for _, a, b in sorted(rows):
+        if of[a] is not of[b] and len(of[a]) + len(of[b]) <= most:
+            both = of[a] | of[b]
+            for x in both:
+                of[x] = both
+    want = {x: min(c) for x, c in of.items() if len(c) > 1}
+    assert {x.node: x.cluster for x in A.capped_clusters(spark.createDataFrame(rows, "rank int, a string, b string"), most).collect()} == want

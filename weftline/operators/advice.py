@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, ranges
+from ..plans.stages import held
 
 
 def touched_sets(touches: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -127,29 +127,31 @@ def tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def capped_clusters(pairs: DataFrame, most: int = 8) -> DataFrame:
-    """node, cluster from ranked pairs (rank, a, b): two clusters merge if together they have at most `most` nodes. Nodes left alone are in none.
+    """node, cluster (its least node) from ranked pairs (rank, a, b): two clusters merge if together they have at most `most`
+    nodes. Nodes left alone are in none.
 
-    The outcome depends on the order of all pairs, so the ranked list, a top slice, is one group in Python.
+    The result is that of one pass in order of rank, then a and b, but every round decides all pairs that come first at both
+    of their clusters: nothing earlier can touch these any more. Clusters only grow, so a pair that would be too large leaves
+    at once, and of pairs between the same clusters only the first counts. A path of ever later pairs takes a round for each.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[str, str] = {}
-        size: dict[str, int] = {}
-
-        def find(x: str) -> str:
-            root.setdefault(x, x)
-            size.setdefault(x, 1)
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for r in pdf.sort_values(["rank", "a", "b"]).itertuples():
-            x, y = sorted((find(r.a), find(r.b)))
-            if x != y and size[x] + size[y] <= most:
-                root[y], size[x] = x, size[x] + size[y]
-        named = [x for x in root if size[find(x)] > 1]
-        return pd.DataFrame({"node": named, "cluster": [find(x) for x in named]})
-
-    rows = pairs.select(F.col("rank").cast("long").alias("rank"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    return rows.groupBy().applyInPandas(run, "node string, cluster string")
+    named = pairs.select(F.struct(F.col("rank").cast("long").alias("rank"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).alias("order"))
+    edges = held(named.select("order", "order.a", "order.b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("order").alias("order")))
+    nodes = held(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("cluster")))
+    while True:
+        sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
+        side = lambda of: sizes.select(F.col("cluster").alias(of), F.col("n").alias(f"n_{of}"))
+        edges = held(edges.join(side("a"), "a").join(side("b"), "b").where(F.col("n_a") + F.col("n_b") <= most).select("a", "b", "order"))
+        if not edges.limit(1).count():
+            return nodes.join(sizes.where("n > 1").select("cluster"), "cluster", "left_semi").select("node", "cluster")
+        first = edges.select(F.col("a").alias("c"), "order").union(edges.select("b", "order")).groupBy("c").agg(F.min("order").alias("order"))
+        ends = edges.select("a", "b", "order").join(first.select(F.col("c").alias("a"), "order"), ["a", "order"]).join(first.select(F.col("c").alias("b"), "order"), ["b", "order"])
+        # a cluster is in one of these at most; it takes the lesser name
+        merged = held(ends.select(F.col("b").alias("old"), F.col("a").alias("new")))
+
+        def renamed(df: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
+            met = df.join(merged.select(F.col("old").alias(column), "new"), column, "left")
+            return met.withColumn(column, F.coalesce("new", column)).drop("new")
+
+        nodes = held(renamed(nodes, "cluster"))
+        moved = renamed(renamed(edges, "a"), "b").where("a <> b")
+        edges = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("order").alias("order"))
