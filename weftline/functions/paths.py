@@ -15,8 +15,8 @@ EXCLUDED_FOLDERS = ("node_modules/", "target/", "dist/", "build/", "coverage/",
 EXCLUDED_SUFFIXES = (".snap", ".lock", ".min.js", ".min.css", ".map")
 LOCKFILES = ("yarn.lock", "package-lock.json", "Cargo.lock", "pnpm-lock.yaml", "Gemfile.lock", "poetry.lock", "go.sum", "Pipfile.lock", "composer.lock")
 NESTED_LOCKFILES = ("yarn.lock", "package-lock.json", "Cargo.lock", "pnpm-lock.yaml", "go.sum")
-#: Files that suggestions never name. Fixed patterns.
-REJECTED_ANYWHERE = r"(^|/)(yarn-validate-output\.log|\.last-flush)(/|$)"
+#: Files that suggestions never name: these names anywhere in the path, and a pattern of names. Fixed values.
+REJECTED_ANYWHERE = ("yarn-validate-output.log", ".last-flush")
 REJECTED_NAME = r"^analyze-v[0-9]+\.mjs$"
 #: Names that a set can't have. Fixed values.
 RESERVED_NAMES = ("add", "remove", "commit", "why", "restore", "revert", "delete", "move", "stale", "fetch", "push", "doctor", "log", "config", "list", "help", "pre-commit", "advice", "rewrite", "hooks")
@@ -29,7 +29,16 @@ FIX = r"(?i)\b(fix(es|ed|ing)?|bug|regression|hotfix|patch|revert|restore|tighte
 TICKET = r"\b([A-Z][A-Z0-9]+-\d+)\b"
 SCOPE = r"^(?:feat|fix|chore|refactor|docs|test|perf|build)\(([^)]+)\)"
 #: Language families by extension. Fixed values.
-FAMILIES = {"ts/js": "ts tsx js jsx mjs cjs", "rust": "rs", "python": "py", "go": "go", "jvm": "java kt", "c/c++": "c h cc cpp hpp", "prose": "md txt rst", "config": "json yaml yml toml"}
+FAMILIES = {
+    "ts/js": ("ts", "tsx", "js", "jsx", "mjs", "cjs"),
+    "rust": ("rs",),
+    "python": ("py",),
+    "go": ("go",),
+    "jvm": ("java", "kt"),
+    "c/c++": ("c", "h", "cc", "cpp", "hpp"),
+    "prose": ("md", "txt", "rst"),
+    "config": ("json", "yaml", "yml", "toml"),
+}
 
 
 def basename(path: Column) -> Column:
@@ -72,13 +81,22 @@ def is_acceptable(path: Column, report: str = "suggestions") -> Column:
         & ~F.startswith(path, F.lit("/"))
         & ~F.endswith(path, F.lit("/"))
         & path.rlike("[/.]")
-        & ~path.rlike(REJECTED_ANYWHERE)
+        & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, REJECTED_ANYWHERE)))
         & (extended | (F.size(F.split(path, "/")) > 2))
         & ~base.rlike(REJECTED_NAME)
         & ~base.rlike(rf"^{re.escape(report)}(-v[0-9]+)?\.(mjs|md)$")
     )
 
 
+def is_dependency_update(message: Column) -> Column:
+    return F.coalesce(message.rlike(DEPENDENCY_UPDATE), F.lit(False))
+
+
+def is_fix(message: Column) -> Column:
+    """Whether a commit message tells of a mended fault."""
+    return F.coalesce(message.rlike(FIX), F.lit(False))
+
+
 def under(path: Column, prefixes: list[str]) -> Column:
     out = F.lit(False)
     for p in prefixes:
@@ -90,7 +108,7 @@ def family(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([a-zA-Z0-9]+)$", 1))
     out = F.when(ext == "", "?")
     for name, known in FAMILIES.items():
-        out = out.when(ext.isin(*known.split()), name)
+        out = out.when(ext.isin(*known), name)
     return out.otherwise(ext)
 
 

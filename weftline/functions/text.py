@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 #: Words that say nothing about what a range is about. Fixed values.
 KEYWORDS = (
-    "fn let mut pub use mod self Self super crate struct enum impl trait where as in if else match for while loop return break continue "
-    "true false None Some Ok Err Result Option String str usize isize u8 u16 u32 u64 i8 i16 i32 i64 bool Vec Box Arc Rc PathBuf Path "
-    "HashMap HashSet BTreeMap and or not await async dyn ref static const echo set done then esac case function var this new class export "
-    "import from default extends implements interface type void null undefined number string boolean object any http https com org www "
-    "TODO FIXME XXX NOTE the with when that into has have are was were been being"
-).split()
+    "fn", "let", "mut", "pub", "use", "mod", "self", "Self", "super", "crate", "struct", "enum", "impl", "trait", "where", "as", "in", "if", "else",
+    "match", "for", "while", "loop", "return", "break", "continue", "true", "false", "None", "Some", "Ok", "Err", "Result", "Option", "String",
+    "str", "usize", "isize", "u8", "u16", "u32", "u64", "i8", "i16", "i32", "i64", "bool", "Vec", "Box", "Arc", "Rc", "PathBuf", "Path", "HashMap",
+    "HashSet", "BTreeMap", "and", "or", "not", "await", "async", "dyn", "ref", "static", "const", "echo", "set", "done", "then", "esac", "case",
+    "function", "var", "this", "new", "class", "export", "import", "from", "default", "extends", "implements", "interface", "type", "void", "null",
+    "undefined", "number", "string", "boolean", "object", "any", "http", "https", "com", "org", "www", "TODO", "FIXME", "XXX", "NOTE", "the", "with",
+    "when", "that", "into", "has", "have", "are", "was", "were", "been", "being",
+)
 
 
 def identifiers(text: Column) -> Column:

@@ -106,8 +106,8 @@ def bad_rewrites(rewrites: DataFrame) -> DataFrame:
 
 def renamed(rows: DataFrame, old: str, new: str, *, name: str = "set_name") -> DataFrame:
     """The set under a new name; an error when run if the new name is taken."""
-    taken = F.max((F.col(name) == new).cast("int")).over(Window.partitionBy(F.when(F.col(name).isin(old, new), 0)))
-    checked = rows.withColumn("__taken", taken)
+    taken = rows.where(F.col(name) == new).limit(1).agg(F.count("*").alias("__taken"))
+    checked = rows.crossJoin(F.broadcast(taken))
     value = F.when((F.col(name) == old) & (F.col("__taken") == 1), F.raise_error(F.lit(f"set {new} exists")).cast("string")).when(F.col(name) == old, new).otherwise(F.col(name))
     return checked.withColumn(name, value).drop("__taken")
 

@@ -184,20 +184,34 @@ def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tree_changes(s.where("path % 3 <> 0"), after).select("path", "change", F.col("from_path").cast("bigint").alias("from_path"))
 
 
-@query("WITH p AS (SELECT p_partkey, concat('a/', replace(lower(p_name), ' ', '/'), '.rs') AS path FROM part) SELECT p_partkey, path NOT LIKE '%/src/%' AND len(path) > 0 AS ok FROM p")
+#: Paths that a suggestion may name (the first three) and that each break one rule, by a part's number.
+_NAMES = ("src/a.rs", "a/b/c", "notes.txt", "/abs/a.rs", "dir/sub/", "plain", "a/b", "logs/yarn-validate-output.log", "x/.last-flush/a.rs", "x/analyze-v12.mjs", "x/suggestions-v3.md", "")
+
+
+@query("SELECT p_partkey, p_partkey % 12 < 3 AS ok FROM part")
 def acceptable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = views(spark, sf_dir, "part")[0]
-    path = F.concat(F.lit("a/"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("/")), F.lit(".rs"))
+    path = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
     return part.select("p_partkey", P.is_acceptable(path).alias("ok"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey % 50 <= l_suppkey % 60 AND l_partkey % 50 + l_linenumber >= l_suppkey % 60 OR l_linenumber = 1 AS met FROM lineitem")
+#: Messages of commits: fixes, updates of dependencies, both, and neither (a fix is a word of its own).
+_MESSAGES = ("fix: broken range", "Hotfix for the parser", "closes #41", "closes the escape loophole", "bump serde version", "Upgrade all deps", "chore(deps): lock", "renovate run", "revert: bump packages", "prefix of names", "add a page", "update the text")
+
+
+@query("SELECT o_orderkey AS commit_id, o_orderkey % 12 IN (0, 1, 2, 3, 8) AS fix, o_orderkey % 12 IN (4, 5, 6, 7, 8) AS dependencies FROM orders")
+def commit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which commits mend faults and which only update dependencies, by their messages."""
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("o_orderkey") % len(_MESSAGES) + 1).cast("int"))
+    return views(spark, sf_dir, "orders")[0].select(F.col("o_orderkey").alias("commit_id"), P.is_fix(message).alias("fix"), P.is_dependency_update(message).alias("dependencies"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN l_orderkey % 5 = 0 ELSE l_orderkey % 5 <> 0 AND l_partkey % 50 <= l_suppkey % 60 + 2 AND l_partkey % 50 + l_linenumber >= l_suppkey % 60 END AS met FROM lineitem")
 def range_read_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point reads against ranges; first lines stand for whole files."""
+    """Reads of three lines, whole files in second lines, against anchors, whole files in every fifth order."""
     li = views(spark, sf_dir, "lineitem")[0]
-    s = F.col("l_partkey") % 50
-    q = F.col("l_suppkey") % 60
-    return li.select("l_orderkey", "l_linenumber", R.overlaps(s, s + F.col("l_linenumber"), F.col("l_linenumber") == 1, q, q).alias("met"))
+    s, q = F.col("l_partkey") % 50, F.when(F.col("l_linenumber") != 2, F.col("l_suppkey") % 60)
+    return li.select("l_orderkey", "l_linenumber", R.read_meets(s, s + F.col("l_linenumber"), F.col("l_orderkey") % 5 == 0, q, q + 2).alias("met"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'src/a.rs#' || trim(p_name[:60]) ELSE 'src/a.rs#L' || (p_partkey // 100 * 100 + 1) || '-L' || (p_partkey // 100 * 100 + 100) END AS key FROM part")

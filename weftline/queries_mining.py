@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import mining as M
 from .operators.advice import capped_clusters as clusters
+from .plans.stages import held
 from .queries import query
 from .standins import ctes, views
 
@@ -83,7 +84,7 @@ def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _usable(spark, sf_dir)
     total = files.select("commit_id").distinct().count()
-    found = M.rules(M.itemsets(files), total)
+    found = M.rules(held(M.itemsets(files)), total)  # the rules read the sets three times
     flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return _rounded(found.select(flat("lhs"), flat("rhs"), "n", "confidence", "lift", "leverage"), "confidence", "lift", "leverage")
 

@@ -110,7 +110,7 @@ def session_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("sid", "place", F.to_json("participants").alias("participants"), "size", "composite", "band", "viability", "density", "edit_hits")
 
 
-_TOK = """, tok AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda t: NOT list_contains(""" + str(T.KEYWORDS).replace('"', "'") + """, t)))) AS ids FROM documents)"""
+_TOK = """, tok AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda t: NOT list_contains(""" + str(list(T.KEYWORDS)).replace('"', "'") + """, t)))) AS ids FROM documents)"""
 
 
 @query("WITH z AS (SELECT 1)" + _TOK + " SELECT doc_id, array_to_string(ids, ' ') AS identifiers FROM tok")
