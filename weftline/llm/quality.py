@@ -112,14 +112,16 @@ def binomial_tail(k: str, n: str, alpha: float) -> str:
 
 
 def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: RiskRules) -> DataFrame:
-    """stratum, cutoff of each stratum that has a certified one; scored: doc_id, stratum, base_failed, junk_score.
+    """stratum, cutoff of each stratum that has a certified one; scored: doc_id, stratum, text_hash, base_failed, junk_score.
 
-    The labelled rows split by a hash of the id into a tuning and a holdout half. Only counts by stratum leave the
-    join; their rows are strata x cutoffs.
+    Copies aren't draws of their own: a text counts once in a stratum, as good if any of its labelled copies is. The
+    distinct texts split by a hash of the text into a tuning and a holdout half. Only counts by stratum leave that step;
+    their rows are strata x cutoffs.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").groupBy("__id").agg(F.max("quality").alias("quality"))
     both = scored.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("__id"))
-    hold = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 0
+    both = both.groupBy("stratum", "text_hash").agg(F.max("quality").alias("quality"), F.max("junk_score").alias("junk_score"))
+    hold = F.pmod(F.xxhash64("text_hash", F.lit("holdout")), F.lit(2)) == 0
     good = F.col("quality") == 1
     tally = [F.count_if(hold & good).alias("n"), F.count_if(~hold & good).alias("tune_good"), F.count_if(~hold & ~good).alias("tune_bad")]
     for i, c in enumerate(rules.grid):

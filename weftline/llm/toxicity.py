@@ -23,6 +23,7 @@ class Supervision:
     """terms: lexicon and pattern voters at most. precision and support: what a term needs, the share of its documents
     that are toxic and how many of those. sample: labelled rows that the label model and the classifier are fitted on,
     at most (documented bound; the terms are counted over all labelled rows). stems: word beginnings used as patterns.
+    rounds, lean, copied, correlated: of the label model. ridge: of the classifier.
     """
 
     terms: int = 600
@@ -31,6 +32,9 @@ class Supervision:
     sample: int = 20_000
     stems: tuple[int, ...] = (4, 5, 6)
     rounds: int = 25
+    lean: float = 2.0
+    copied: float = 0.95
+    correlated: float = 0.7
     ridge: float = 1.0
 
 
@@ -75,39 +79,50 @@ def lexicon(counts: DataFrame, rules: Supervision) -> list[str]:
     return [r["term"] for r in sure.orderBy(F.desc("toxic"), "clean", "term").limit(rules.terms).collect()]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int, trust: float = 0.97) -> np.ndarray:
-    """P(toxic) of each row. votes: rows x voters, 1 or 0 (no opinion); labels: the annotators' vote, 1 or 0.
+def correlations(v: np.ndarray, both: np.ndarray, classes: list[np.ndarray], least: float) -> np.ndarray:
+    """Voters' correlations within classes, those under `least` as 0. classes: the rows' shares of each; they sum to 1."""
+    spread = both.copy()  # the shares sum to 1, so only the means differ from class to class
+    for p in classes:
+        rate = _rates(v, p)
+        cross = np.outer(p @ v, rate)
+        spread += p.sum() * np.outer(rate, rate) - cross - cross.T
+    scale = np.sqrt(np.clip(np.diag(spread), 1e-9, None))
+    corr = np.clip(spread / scale[:, None] / scale[None, :], 0, 1)
+    np.fill_diagonal(corr, 0)
+    corr[corr < least] = 0
+    return corr
 
-    Expectation-maximisation of a mixture of two classes with a rate of votes for each voter and class. The annotators
-    are a voter of known accuracy `trust`, which ties the classes to their meaning; the others' accuracies are
-    estimated. Voters that agree beyond what the class explains (their correlation within classes) share their say:
-    each counts 1 / (1 + the sum of its positive correlations).
+
+def _rates(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.clip((p @ v + 0.05) / (p.sum() + 0.1), 1e-5, 1 - 1e-5)
+
+
+def label_model(votes: np.ndarray, prior: float, rules: Supervision) -> np.ndarray:
+    """P(toxic) of each row, from votes alone. votes: rows x voters, 1 or 0 (no opinion); prior: the share of toxic rows.
+
+    Expectation-maximisation of a mixture of two classes with a rate of votes for each voter and class; the label of a row
+    isn't an input. What ties the classes to their meaning is where the rounds begin: a vote leans to toxic by log odds of
+    rules.lean, for every voter alike. Correlated voters share their say: each counts 1 / (1 + the sum of its correlations).
+    Those of rules.copied or more over all rows count first, as good voters agree a lot but only copies nearly always; then
+    those of rules.correlated or more within the classes found, with which the rounds go on.
     """
     v = votes.astype(float)
     if not len(v):
         return np.zeros(0)
-    told = np.where(labels == 1, 1, -1) * math.log(trust / (1 - trust))
-    q = 1 / (1 + np.exp(-told))
-    both = v.T @ v  # the classes' shares of a row sum to 1, so only the means change from round to round
-    for _ in range(rounds):
-        prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-        rates, spread = [], both.copy()
-        for p in (q, 1 - q):
-            rate = np.clip((p @ v + 0.05) / (p.sum() + 0.1), 1e-5, 1 - 1e-5)
-            cross = np.outer(p @ v, rate)
-            spread += p.sum() * np.outer(rate, rate) - cross - cross.T
-            rates.append(rate)
-        scale = np.sqrt(np.clip(np.diag(spread), 1e-9, None))
-        corr = np.clip(spread / scale[:, None] / scale[None, :], 0, 1)
-        np.fill_diagonal(corr, 0)
-        corr[corr < 0.1] = 0
-        say = 1 / (1 + corr.sum(axis=1))
-        yes, no = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
-        odds = math.log(prior / (1 - prior)) + told + v @ (say * yes) + (1 - v) @ (say * no)
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
-            return new
-        q = new
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    base, both = math.log(prior / (1 - prior)), v.T @ v
+    q, classes = None, [np.ones(len(v))]
+    for _ in range(3):
+        say = 1 / (1 + correlations(v, both, classes, rules.copied if q is None else rules.correlated).sum(axis=1))
+        if q is None:
+            q = 1 / (1 + np.exp(-np.clip(base + rules.lean * (v @ say), -30, 30)))
+        for _ in range(rules.rounds):
+            rates = [_rates(v, p) for p in (q, 1 - q)]
+            yes, no = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
+            old, q = q, 1 / (1 + np.exp(-np.clip(base + v @ (say * yes) + (1 - v) @ (say * no), -30, 30)))
+            if np.abs(q - old).max() < 1e-6:
+                break
+        classes = [q, 1 - q]
     return q
 
 
@@ -135,19 +150,20 @@ def features(terms: set[str], size: int, place: dict[str, int]) -> tuple[list[in
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", rules: Supervision | None = None) -> DataFrame:
     """key, held_out, score (0 to 1) of each whole text; labels: key, toxic.
 
-    Labels are learned from rows that aren't held out. The lexicon comes from counts over all of those; the label
-    model and the classifier are fitted on at most rules.sample of them, chosen by a hash of the id. Only the text is an
-    input of a score. Null and empty texts are scored as texts without words. Without any toxic labelled row, all scores are 0.
-    Repeated rows are scored each; repeated labels count as toxic if any is.
+    Labels are learned from rows that aren't held out, and tell two things: which terms are voters, counted over all of those,
+    and the share of toxic rows. The label model has only the votes, and the classifier only its posteriors; both are fitted
+    on at most rules.sample rows, those of least hash of the id. Only the text is an input of a score. Null and empty texts
+    are scored as texts without words. Without any toxic labelled row, all scores are 0. Repeated rows are scored each, and
+    repeated labels count as toxic if any is. Rows with a null id are scored and not held out. Other columns aren't read. An
+    empty table gives no rows; texts of any length are read whole.
     """
     rules = rules or Supervision()
     known = labels.select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null AND key is not null").groupBy("key").agg(F.max(F.least("toxic", F.lit(1))).alias("toxic"))
     known = known.where(~held_out("key"))
     given = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    total = known.count()
-    share = 1.0 if total <= rules.sample else rules.sample / total
-    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(0.98 * share * 1_000_000)) if share < 1 else known
-    few = given.join(F.broadcast(chosen), "key").select("text", "toxic")  # rules.sample ids at most
+    chosen = known.orderBy(F.xxhash64("key"), "key").limit(rules.sample)
+    # rules.sample ids at most, and one text of each: of rows that repeat an id the least text
+    few = given.join(F.broadcast(chosen), "key").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     # the texts that aren't held out meet the labels by one shuffle at every size; the labels are hashed, so no text is sorted
     learned = given.where(~held_out("key")).join(known.hint("shuffle_hash"), "key")
     words = lexicon(count_terms(learned, rules), rules)
@@ -171,7 +187,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
         for i, r in enumerate(rows):
             x[i, r["hits"]] = 1
             x[i, -2:] = r["totals"]
-        posterior = label_model(x[:, : len(words)], np.array([r["toxic"] for r in rows]), rules.rounds)
+        posterior = label_model(x[:, : len(words)], sum(r["toxic"] for r in rows) / max(1, len(rows)), rules)
         weights, bias = linear_model(x, posterior, rules.ridge)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,5 +207,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The contract's columns: score_toxicity's, and predicted (int), 1 from the threshold on; odd rows are as there."""
     scored = score_toxicity(docs, labels)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
