@@ -94,8 +94,10 @@ def hunked(changes: DataFrame, contents: DataFrame) -> DataFrame:
 def _through(rows: DataFrame, layer: DataFrame, head: DataFrame, of: str) -> DataFrame:
     """rows with path_, lines_ and range_ of a layer, from those of the layer below (path, lines, s, e).
 
-    layer: path, to_path, lines of changed files; head: path, lines below. A change is compared with its file once.
+    layer: path, to_path, lines of changed files; head: path, lines below. A change is compared with its file once, if an
+    anchor lies there.
     """
+    layer = layer.join(rows.select(F.col("path_").alias("path")).distinct(), "path", "left_semi")
     changed = stage(diff.with_hunks(layer.join(head.select("path", F.col("lines").alias("old")), "path", "left").withColumnRenamed("lines", "new")))
     met = changed.select(F.col("path").alias("b_path"), F.lit(True).alias("hit"), "to_path", F.col("new").alias("to_lines"), "hunks")
     out = rows.join(met, F.col("path_") == F.col("b_path"), "left").drop("b_path")
@@ -121,41 +123,53 @@ def under(layer: DataFrame, below: DataFrame) -> DataFrame:
     return kept.unionByName(layer.where("to_path IS NOT NULL").select(F.col("to_path").alias("path"), "lines"))
 
 
-def resolve(anchors: DataFrame, versions: DataFrame, changes: DataFrame, layers: DataFrame, *, conflicted: DataFrame | None = None, ignore_space: bool = False) -> DataFrame:
-    """anchors with now_path, now_start, now_end, status, sources (layers that drift), kind and locus_seq.
+def followed(anchors: DataFrame, contents: DataFrame, changes: DataFrame) -> DataFrame:
+    """anchors with what the commits alone tell: then_lines as they were set, head_path, head_start, head_end, kind, locus_seq."""
+    carried = stage(drift.carried(anchors, drift.trails(anchors, hunked(changes, contents))))
+    rows = with_content(as_of(carried.withColumn("at", F.col("seq")), contents), contents, "path", "version", "anchored").drop("at", "version")
+    then = F.when(F.col("whole"), F.col("anchored")).otherwise(text.line_slice(F.col("anchored"), F.col("start"), F.col("end")))
+    rows = rows.select(*anchors.columns, then.alias("then_lines"), F.col("now_path").alias("head_path"), F.col("now_start").alias("head_start"), F.col("now_end").alias("head_end"))
+    return rows.join(stage(locus(anchors, contents, changes)).withColumnRenamed("seq", "locus_seq"), "anchor_id", "left")
 
-    Ranges are carried through the commits' hunks, then through the index' and the working tree's, all of them computed from
-    the contents. conflicted: paths with unmerged entries. An anchor whose range isn't whole but has no start is an error of
-    the caller's.
+
+def layered(rows: DataFrame, columns: list[str], head: DataFrame, layers: DataFrame, conflicted: DataFrame | None = None) -> DataFrame:
+    """The findings of followed anchors with the layers put over the last commit, and index_path, where the index has each.
+
+    columns: the anchors' own. head: path, lines. layers: layer, path, to_path, lines.
     """
-    contents = stage(digests(versions, ignore_space=ignore_space))
-    over = digests(layers, ignore_space=ignore_space)
-    index, worktree = (over.where(F.col("layer") == of).select("path", "to_path", "lines") for of in ("index", "worktree"))
-    head = stage(latest(contents))
+    index, worktree = (layers.where(F.col("layer") == of).select("path", "to_path", "lines") for of in ("index", "worktree"))
     indexed = stage(under(index, head))
     now = under(worktree, indexed)
 
-    carried = stage(drift.carried(anchors, drift.trails(anchors, hunked(changes, contents))))
-    rows = as_of(carried.withColumn("at", F.col("seq")), contents)
-    rows = with_content(rows, contents, "path", "version", "anchored").drop("at", "version")
-    then = F.when(F.col("whole"), F.col("anchored")).otherwise(text.line_slice(F.col("anchored"), F.col("start"), F.col("end")))
-    rows = rows.withColumn("then_lines", then).drop("anchored")
-    rows = rows.withColumnRenamed("now_path", "path_").withColumnRenamed("now_start", "s_").withColumnRenamed("now_end", "e_")
+    rows = rows.withColumn("path_", F.col("head_path")).withColumnRenamed("head_start", "s_").withColumnRenamed("head_end", "e_")
     rows = rows.join(head.select(F.col("path").alias("path_"), F.col("lines").alias("lines_")), "path_", "left")
     rows = rows.withColumn("path_", F.when(F.col("lines_").isNotNull(), F.col("path_")))
     at_head = F.when(F.col("whole"), F.col("lines_")).otherwise(text.line_slice(F.col("lines_"), F.col("s_"), F.col("e_")))
     rows = rows.withColumn("in_head", at_head)
-    rows = stage(_through(stage(rows), index, head, "in_index"))
+    rows = stage(_through(stage(rows), index, head, "in_index").withColumn("index_path", F.col("path_")))
     rows = stage(_through(rows, worktree, indexed, "in_worktree"))
 
     there = now.select("path", F.lit(True).alias("path_there"))
     rows = rows.join(there, "path", "left").withColumn("path_there", F.coalesce("path_there", F.lit(False)))
-    torn = (conflicted.select("path") if conflicted is not None else anchors.select("path").limit(0)).distinct().withColumn("conflicted", F.lit(True))
+    torn = (conflicted.select("path") if conflicted is not None else rows.select("path").limit(0)).distinct().withColumn("conflicted", F.lit(True))
     rows = rows.join(torn, "path", "left").withColumn("conflicted", F.coalesce("conflicted", F.lit(False)))
     sources = drift.layer_sources(F.col("in_head"), F.col("in_index"), F.col("in_worktree"), F.col("then_lines"), F.col("whole"))
     named = rows.select(
-        *anchors.columns, F.lit(True).alias("reachable"), "conflicted", F.lit(None).cast("string").alias("unavailable"), "path_there",
+        *columns, F.lit(True).alias("reachable"), "conflicted", F.lit(None).cast("string").alias("unavailable"), "path_there",
         F.col("path_").alias("now_path"), F.col("s_").alias("now_start"), F.col("e_").alias("now_end"), "then_lines", F.col("in_worktree").alias("now_lines"), sources.alias("sources"),
+        "kind", "locus_seq", "index_path",
     )
-    found = drift.classified(named).join(stage(locus(anchors, contents, changes)).withColumnRenamed("seq", "locus_seq"), "anchor_id", "left")
-    return found.select(*anchors.columns, "now_path", "now_start", "now_end", "status", "sources", "kind", "locus_seq")
+    return drift.classified(named).select(*columns, "now_path", "now_start", "now_end", "status", "sources", "kind", "locus_seq", "index_path")
+
+
+def resolve(anchors: DataFrame, versions: DataFrame, changes: DataFrame, layers: DataFrame, *, conflicted: DataFrame | None = None, ignore_space: bool = False) -> DataFrame:
+    """anchors with now_path, now_start, now_end, status, sources (layers that drift), kind and locus_seq.
+
+    Ranges are carried through the commits' hunks, then through the index' and the working tree's, all of them computed from
+    the contents. conflicted: paths with unmerged entries. An anchor whose range isn't whole but has no start is an error of
+    the caller's.
+    """
+    contents = stage(digests(versions, ignore_space=ignore_space))
+    rows = followed(anchors, contents, changes)
+    found = layered(rows, anchors.columns, stage(latest(contents)), digests(layers, ignore_space=ignore_space), conflicted)
+    return found.drop("index_path")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import content as C
-from .operators import diff
+from .operators import diff, incremental
 from .operators.publish import prepared_adds as prepared
 from .queries import query
 from .standins import views
@@ -64,18 +64,37 @@ def content_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.locus(anchors, C.digests(versions), changes)
 
 
-@query()
-def content_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status, drifting layers and locus of every anchor, from versions, the index (edited copies of English files) and the
-    working tree (German files gone); tested against a walk over every commit of made-up histories."""
-    anchors, versions, changes = _history(spark, sf_dir)
+def _layers(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index (edited copies of English files) and the working tree (German files gone)."""
     last = versions.groupBy("path").agg(F.max_by("text", "seq").alias("text"))
     index = last.where("path LIKE 'en/%'").select(F.lit("index").alias("layer"), "path", F.col("path").alias("to_path"), F.concat(F.lit("a new first line\n"), F.col("text")).alias("text"))
     tree = last.where("path LIKE 'de/%'").select(F.lit("worktree").alias("layer"), "path", F.lit(None).cast("string").alias("to_path"), F.lit(None).cast("string").alias("text"))
-    found = C.resolve(anchors, versions, changes, index.union(tree).where("text IS NOT NULL OR to_path IS NULL"))
+    there = "text IS NOT NULL OR to_path IS NULL"
+    return index.where(there), tree.where(there)
+
+
+def _told(found: DataFrame) -> DataFrame:
     return found.select("anchor_id", "now_path", "now_start", "now_end", "status", F.concat_ws("", "sources").alias("sources"), "kind", "locus_seq")
 
 
+@query()
+def content_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, drifting layers and locus of every anchor, from versions, the index and the working tree; tested against a walk
+    over every commit of made-up histories."""
+    anchors, versions, changes = _history(spark, sf_dir)
+    index, tree = _layers(versions)
+    return _told(C.resolve(anchors, versions, changes, index.union(tree)))
+
+
+@query()
+def incremental_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of content_drift, made from a baseline without the working tree; tested against those of content_drift."""
+    anchors, versions, changes = _history(spark, sf_dir)
+    index, tree = _layers(versions)
+    base = incremental.baseline(anchors, versions, changes, index, "last")
+    return _told(incremental.update(base, anchors, versions, changes, index.union(tree), "last").result())
+
+
 @query(
     f"""WITH t AS (SELECT doc_id, {_FILE} || '/' || doc_id AS path, 1 + doc_id % 6 AS s, 1 + doc_id % 6 + doc_id % 4 - (doc_id % 11 = 0)::int * 5 AS e, doc_id % 7 = 0 AS whole, text, {_LINES} AS lines FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
     r AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'no such file' WHEN whole THEN NULL WHEN NOT (s >= 1 AND s <= e) THEN 'not a range' WHEN e > len(lines) THEN 'beyond the end' END AS refused FROM t)
