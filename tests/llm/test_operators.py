@@ -410,6 +410,36 @@ def test_pseudonyms(spark):
     assert other != out
 
 
+def test_pseudonyms_leave_other_columns_and_unissued_numbers(spark):
+    given = docs(spark, ["123-45-6789 a", "000-12-3456 666-12-3456 912-12-3456 123-00-4567 123-45-0000", None])
+    for name in ("__t", "__text", "__found", "__GAPS", "__made", "__text_"):
+        given = given.withColumn(name, F.lit("keep"))
+    got = pii.pseudonymise(given, pii.Pseudonyms("k")).orderBy("doc_id").collect()
+    assert all(r[c] == "keep" for r in got for c in given.columns if c.startswith("__"))
+    assert [r.n_ssn for r in got] == [1, 0, 0] and got[1].text == "000-12-3456 666-12-3456 912-12-3456 123-00-4567 123-45-0000"
+    many = [f"{a:03d}-{g:02d}-{n:04d}" for a in (1, 123, 665, 899) for g in (1, 50, 99) for n in (1, 77, 9999)]
+    out = [r.text for r in pii.pseudonymise(docs(spark, many), pii.Pseudonyms("k")).collect()]
+    assert len({*out}) == len(many) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out)
+
+
+def plain_feistel(digits, kind, key, rounds=10):
+    """The network written out with big integers."""
+    n = len(digits)
+    left, right = n // 2, n - n // 2
+    a, b = int(digits[:left]), int(digits[left:])
+    for i in range(rounds):
+        word = hashlib.sha256("|".join((key, kind, str(n), str(i), str(b))).encode()).hexdigest()[:15]
+        m = 10 ** (left if i % 2 == 0 else right)
+        a, b = b, (a + int(word, 16)) % m
+    return f"{a:0{left}d}{b:0{right}d}"
+
+
+def test_feistel_against_a_plain_one(spark):
+    given = ["12", "907", "0012345678", "555123456789012", "98765432109876543"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(given)], "i int, d string").select("i", F.expr(pii.permuted_digits("d", "t", pii.Pseudonyms("k"))).alias("p")).orderBy("i").collect()
+    assert [r.p for r in rows] == [plain_feistel(d, "t", "k") for d in given]
+
+
 def test_feistel_is_a_permutation(spark):
     rules = pii.Pseudonyms("k")
     three = spark.range(1000).select(F.expr("lpad(CAST(id AS string), 3, '0')").alias("d")).select(F.expr(pii.permuted_digits("d", "t", rules)).alias("p"))
@@ -472,6 +502,30 @@ def test_typed_parts(spark):
     assert r.attachment_tokens == 6 and "<image:0><audio:1>" in r.formatted and "see \\<" in r.formatted
 
 
+def test_typed_parts_read_back(spark):
+    """Placeholders are told from texts that look like them, lie outside the loss mask, and unknown types are attachments."""
+    part = lambda t, text=None, ref=None: (t, text, ref, None)
+    rows = [
+        (1, 0, "user", [part("text", "<image:0>"), part("image", ref="a"), part("hologram", ref="h")]),
+        (1, 1, "assistant", [part(None, "one \\"), part("image", ref="b"), part("text", "<image:1> two"), part("audio", ref="c")]),
+        (1, 2, "assistant", [part("document", ref="d")]),
+        (2, 0, "assistant", None),
+        (2, 1, None, [part("text", None)]),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    made = chat.format_conversations(df, parts="parts")
+    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert [[tuple(p) for p in t.parts] for t in got[1].turns] == [
+        [("text", "<image:0>", None), ("image", None, 0), ("other", None, 1)],
+        [("text", "one \\", None), ("image", None, 2), ("text", "<image:1> two", None), ("audio", None, 3)],
+        [("document", None, 4)],
+    ]
+    assert got[1].loss_text == "one \\<image:1> two" and got[2].loss_text == ""
+    assert [(t.role, t.text) for t in got[2].turns] == [("assistant", ""), ("", "")]
+    kinds = {r.conv_id: [a.type for a in r.attachments] for r in made.collect()}
+    assert kinds == {1: ["image", "other", "image", "audio", "document"], 2: []}
+
+
 def brute_lines(texts, least=50):
     rows = [[x for x in (t or "").split("\n") if x.strip()] for t in texts]
     gone = []

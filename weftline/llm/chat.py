@@ -71,7 +71,8 @@ class Visitor:
 
     def visit(self, part: dict) -> str:
         kind = part.get("type") or "text"
-        return getattr(self, f"visit_{kind}", self.visit_other)(kind, part)
+        known = kind == "text" or kind in ("image", "audio", "document")
+        return getattr(self, f"visit_{kind}")(kind, part) if known else self.visit_other(kind, part)
 
     def visit_text(self, kind: str, part: dict) -> str:
         return escape(part.get("text") or "")
@@ -86,37 +87,66 @@ class Visitor:
     visit_image = visit_audio = visit_document = attach
 
     def visit_other(self, kind: str, part: dict) -> str:
-        raise ValueError(f"no such type of content part: {kind}")
+        """A type without a method is an attachment of the type `other`, which counts units of one."""
+        return self.attach("other", part)
 
 
 def render(turns: list[tuple[str, list[dict]]], template: Template) -> tuple[str, list[tuple[int, int]], list[dict]]:
-    """The formatted text, the (start, end) under the loss mask, and the attachments."""
+    """The formatted text, the (start, end) under the loss mask, and the attachments.
+
+    The mask covers texts alone: a turn with placeholders has a span for each piece between them. A turn without any has one
+    span, be it empty.
+    """
     visitor, out, mask, at = Visitor(template), [], [], 0
     for role, parts in turns:
         head = template.opening.format(role=escape_role(role))
-        body = "".join(map(visitor.visit, parts))
-        if role in template.trained:
-            mask.append((at + len(head), at + len(head) + len(body)))
-        out += [head, body, template.closing]
-        at += len(head) + len(body) + len(template.closing)
+        out.append(head)
+        at += len(head)
+        start = at
+        attached = False
+        for part in parts:
+            before = len(visitor.attachments)
+            body = visitor.visit(part)
+            if len(visitor.attachments) > before:
+                if role in template.trained and at > start:
+                    mask.append((start, at))
+                start, attached = at + len(body), True
+            out.append(body)
+            at += len(body)
+        if role in template.trained and (at > start or not attached):
+            mask.append((start, at))
+        out.append(template.closing)
+        at += len(template.closing)
     return "".join(out), mask, visitor.attachments
 
 
-def parse(formatted: str, template: Template) -> list[tuple[str, str]]:
-    """(role, text) of each turn read back from the formatted text; placeholders stay as they are."""
+def parse_parts(formatted: str, template: Template) -> list[tuple[str, list[tuple[str, str | None, int | None]]]]:
+    """(role, parts) of each turn read back; a part is (type, text, number): a text, or an attachment's number.
+
+    Texts have their first characters of marks escaped, so a bare one is a placeholder, whatever the texts look like. Texts
+    that followed one another are one part.
+    """
     before, _, after = template.opening.partition("{role}")
     mark = re.compile(
         re.escape(before) + r"((?:[^\\<#:]|\\.)*)" + re.escape(after) + r"((?:[^\\<#]|\\.|<(?!/turn>))*)" + re.escape(template.closing), re.DOTALL
     )
+    placeholder = re.escape(template.placeholder).replace(r"\{type\}", "(?P<type>[a-z]+)").replace(r"\{number\}", "(?P<number>[0-9]+)")
+    shown = re.compile(r"(?P<text>(?:[^\\<#]|\\.)+)|" + placeholder, re.DOTALL)
     out, at = [], 0
     while at < len(formatted):
         if not (m := mark.match(formatted, at)):
             raise ValueError(f"no turn at {at}")
-        out.append((unescape_role(m[1]), unescape(m[2])))
+        parts = [("text", unescape(p["text"]), None) if p["text"] is not None else (p["type"], None, int(p["number"])) for p in shown.finditer(m[2])]
+        out.append((unescape_role(m[1]), parts))
         at = m.end()
     return out
 
 
+def parse(formatted: str, template: Template) -> list[tuple[str, str]]:
+    """(role, text) of each turn read back from the formatted text; the text is that of its text parts."""
+    return [(role, "".join(t for _, t, _ in parts if t is not None)) for role, parts in parse_parts(formatted, template)]
+
+
 def format_conversations(
     rows: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, template: Template | None = None
 ) -> DataFrame:
@@ -125,7 +155,8 @@ def format_conversations(
     rows: one for each turn, with its text or, in the column `parts`, an array of (type, text, ref, size). Turns go
     by turn number, then role, then text; repeated rows are turns each; a null turn number goes first, a null role is
     empty, null texts and null parts are empty. A conversation becomes one text, so its turns meet in one task; other
-    conversations don't. Conversations with null id form one. An empty table gives no rows.
+    conversations don't. Conversations with null id form one. An empty table gives no rows. Parts of unknown types are
+    attachments of the type `other`; a null type is text. The loss mask leaves placeholders out.
     """
     template = template or Template()
     content = F.col(parts).cast(f"array<{PART}>") if parts else F.array(F.struct(F.lit("text").alias("type"), text_of(text).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("size")))
@@ -157,21 +188,26 @@ def format_conversations(
 
 
 def read_back(formatted: DataFrame, *, key: str = "conv_id", template: Template | None = None) -> DataFrame:
-    """key, `turns` (role, text) parsed from the column `formatted`, and `loss_text`: what lies under loss_spans, unescaped."""
+    """key, `turns` (role, text, parts) parsed from the column `formatted`, and `loss_text`: what lies under loss_spans, unescaped.
+
+    parts: type, text, number, in order; text: the text parts joined.
+    """
     template = template or Template()
     kind = formatted.schema[key].dataType.simpleString()
-    types = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    part = pa.struct([("type", pa.string()), ("text", pa.string()), ("number", pa.int32())])
+    types = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("parts", pa.list_(part))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             turns, loss = [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                turns.append([{"role": r, "text": t} for r, t in parse(text, template)])
+                read = parse_parts(text, template)
+                turns.append([{"role": r, "text": "".join(t for _, t, _ in ps if t is not None), "parts": [{"type": k, "text": t, "number": n} for k, t, n in ps]} for r, ps in read])
                 loss.append(unescape("".join(text[s["start"] : s["end"]] for s in spans)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(turns, types), pa.array(loss, pa.string())], names=["key", "turns", "loss_text"])
 
     given = formatted.select(F.col(key).alias("key"), "formatted", "loss_spans")
-    return given.mapInArrow(run, f"key {kind}, turns array<struct<role:string,text:string>>, loss_text string").withColumnRenamed("key", key)
+    return given.mapInArrow(run, f"key {kind}, turns array<struct<role:string,text:string,parts:array<struct<type:string,text:string,number:int>>>>, loss_text string").withColumnRenamed("key", key)
 
 
 #: The contract's conversation of control strings.

@@ -91,7 +91,11 @@ def replacement(value: str, rules: Pseudonyms) -> str:
     email = made("email", f"concat({local}, '@', {host}, '.example')")
     code = f"(length(d) - 10)"
     phone = _let("d", digits, made("phone", refilled(value, f"concat(substr(d, 1, {code}), {permuted_digits(f'substr(d, {code} + 1)', 'phone', rules)})")))
-    ssn = _let("d", digits, made("ssn", _let("p", permuted_digits("d", "ssn", rules), refilled(value, "p"))))
+    # an area of 000, 666 or from 900 on, a group of 00 and a serial of 0000 are never issued; what is walks the cycle of the
+    # permutation until it meets one that is issued, which nine in ten are
+    issued = lambda x: f"(NOT {x} RLIKE '^(000|666|9)' AND substr({x}, 4, 2) <> '00' AND substr({x}, 6) <> '0000')"
+    cycle = f"aggregate(sequence(1, 32), named_struct('x', d, 'ok', false), (w, j) -> CASE WHEN w.ok THEN w ELSE {_let('y', permuted_digits('w.x', 'ssn', rules), f"named_struct('x', y, 'ok', {issued('y')})")} END, w -> w.x)"
+    ssn = _let("d", digits, f"CASE WHEN {issued('d')} THEN {made('ssn', _let('p', cycle, refilled(value, 'p')))} ELSE {none} END")
 
     def date(spelled: str) -> str:
         day = f"datediff(to_date(try_to_timestamp({value}, '{spelled}')), DATE'1900-01-01')"
@@ -120,22 +124,32 @@ def pseudonymise(docs: DataFrame, rules: Pseudonyms, *, text: str = "text") -> D
 
     E-mail addresses get keyed names; phone numbers keep their country code and shape, national numbers and dates
     their shape; payment numbers must pass the Luhn check, addresses have bytes, dates must exist (with a slash, day
-    first) and lie in 1900 to 2099, and their pseudonyms do too. Equal values get equal pseudonyms; different ones of a
+    first) and lie in 1900 to 2099, social numbers must be ones that are issued, and their pseudonyms are such too. Equal values get equal pseudonyms; different ones of a
     format get different ones, but for e-mail addresses, whose 48 and 32 bits of a keyed hash only rarely meet.
-    What fails validation stays. A null text stays null with counts of 0, and repeated rows are alike. Rows stay in their
-    partitions: nothing is shuffled.
+    What fails validation stays. A null text stays null with counts of 0, and repeated rows are alike. Other columns stay
+    as they are, whatever their names, but for earlier n_<kind>. An empty table gives no rows; texts of any length are read
+    whole. Rows stay in their partitions: nothing is shuffled.
     """
     pattern = "|".join(p for _, p in PATTERNS)
     kinds = [k for k, _ in PATTERNS]
     kept = docs.drop(*[f"n_{k}" for k in kinds])
-    df = kept.withColumn("__t", F.col(text).cast("string"))
-    some = F.col("__t").rlike("[0-9@]")
-    df = df.withColumn("__found", F.when(some, F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__gaps", F.when(F.size("__found") > 0, F.split("__t", pattern, -1)))
-    df = df.withColumn("__made", F.expr(f"transform(__found, v -> {replacement('v', rules)})"))
-    whole = F.concat(F.col("__gaps")[0], F.array_join(F.expr("transform(__made, (m, i) -> concat(m.text, __gaps[i + 1]))"), ""))
-    columns = [F.when(F.size("__found") > 0, whole).otherwise(F.col("__t")).alias(c) if c == text else F.col(c) for c in kept.columns]
-    return df.select(*columns, *[F.size(F.filter("__made", _is(k))).cast("long").alias(f"n_{k}") for k in kinds])
+    whole, found, gaps, made = (fresh(kept, x) for x in ("text", "found", "gaps", "made"))
+    df = kept.withColumn(whole, F.col(text).cast("string"))
+    df = df.withColumn(found, F.when(F.col(whole).rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(whole, pattern, -1)))
+    df = df.withColumn(made, F.expr(f"transform({found}, v -> {replacement('v', rules)})"))
+    put = F.concat(F.col(gaps)[0], F.array_join(F.expr(f"transform({made}, (m, i) -> concat(m.text, {gaps}[i + 1]))"), ""))
+    columns = [F.when(F.size(found) > 0, put).otherwise(F.col(whole)).alias(c) if c == text else F.col(f"`{c}`") for c in kept.columns]
+    return df.select(*columns, *[F.size(F.filter(made, _is(k))).cast("long").alias(f"n_{k}") for k in kinds])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name of a step's own column that df hasn't, however written: columns' names don't tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
 
 
 def _is(kind: str):
