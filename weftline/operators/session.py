@@ -6,9 +6,11 @@ reads: sid, line_no, path, start, end, ts (text), ts_ms; touches: the same with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,36 +264,71 @@ def group_cohesion(members: DataFrame, tokens: DataFrame, idf: DataFrame, s: Set
 # graph
 
 
+def _dealt(edges: DataFrame) -> DataFrame:
+    """sid, v, later, inner: for each range v its neighbours later in the order, and the edges (a, b, early) among its neighbours.
+
+    Ranges are ordered by number of neighbours, then id, so a range of a session of m edges has at most sqrt(2 m) later
+    neighbours, however many it has in all. Each triangle is met once, from its first range: it is an edge among later
+    neighbours there, and at its second range one (early) between an earlier and a later neighbour.
+    """
+    ends = edges.select("sid", F.explode(F.array("lo", "hi")).alias("id")).groupBy("sid", "id").agg(F.count("*").alias("near"))
+    at = lambda end: ends.select("sid", F.col("id").alias(end), F.col("near").alias(f"{end}_near"))
+    both = edges.join(at("lo"), ["sid", "lo"]).join(at("hi"), ["sid", "hi"])
+    ahead = F.col("lo_near") <= F.col("hi_near")  # lo < hi, so a tie goes by id
+    arcs = stage(both.select("sid", F.when(ahead, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(ahead, F.col("hi")).otherwise(F.col("lo")).alias("b")))
+    wedges = arcs.join(arcs.withColumnRenamed("b", "c"), ["sid", "a"]).where("b <> c")
+    triangles = wedges.join(arcs.select("sid", F.col("a").alias("b"), F.col("b").alias("c")), ["sid", "b", "c"])
+    inner = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("a"), F.col("c").alias("b"), F.lit(False).alias("early")), F.struct(F.col("b").alias("v"), F.col("a").alias("a"), F.col("c").alias("b"), F.lit(True).alias("early"))))
+    shut = triangles.select("sid", inner.alias("t")).groupBy("sid", F.col("t.v").alias("v")).agg(F.collect_list(F.struct("t.a", "t.b", "t.early")).alias("inner"))
+    # a range without triangles is in no clique beyond its pairs
+    return shut.join(arcs.groupBy("sid", F.col("a").alias("v")).agg(F.collect_set("b").alias("later")), ["sid", "v"])
+
+
+def _first_in(v: int, later: list[int], inner: list[dict], most: int) -> list[list[int]]:
+    """The maximal cliques of 3 to `most` ranges whose first range is v: Bron-Kerbosch with a pivot among v's neighbours."""
+    near: dict[int, set[int]] = {u: set() for u in later}
+    early = set()
+    for e in inner:
+        near.setdefault(e["a"], set()).add(e["b"])
+        near[e["b"]].add(e["a"])
+        if e["early"]:
+            early.add(e["a"])
+    out, stack = [], [(frozenset([v]), set(later), early)]
+    while stack:
+        r, p, x = stack.pop()
+        if not p and not x:
+            if 3 <= len(r) <= most:
+                out.append(sorted(r))
+            continue
+        if not p or len(r) == most:  # nothing can be put in, or what is found is over the limit or not maximal
+            continue
+        pivot = max(sorted(p | x), key=lambda u: len(near[u] & p))
+        for u in sorted(p - near[pivot]):
+            stack.append((r | {u}, p & near[u], x & near[u]))
+            p, x = p - {u}, x | {u}
+    return out
+
+
 def cliques(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """sid, ids: maximal cliques of 2 to s.max_clique ranges of a session's edges, and every edge as a pair.
 
-    Larger cliques aren't listed, though their edges are. Bron-Kerbosch with a pivot, in Python, one session at a time.
+    Larger cliques aren't listed, though their edges are. A session is dealt out: each range is a problem of its own, with its
+    later neighbours and the triangles it is in, so one session of any size is the work of many tasks.
     """
-    most = s.max_clique
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        out: set[tuple[int, ...]] = set()
-        for a, b in zip(pdf.lo, pdf.hi, strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-            out.add((a, b))
-        stack = [(frozenset(), frozenset(near), frozenset())]
-        while stack:
-            r, p, x = stack.pop()
-            if not p and not x:
-                if 2 <= len(r) <= most:
-                    out.add(tuple(sorted(r)))
-                continue
-            pivot = max(sorted(p | x), key=lambda u: len(near[u] & p))
-            for v in sorted(p - near[pivot]):
-                stack.append((r | {v}, p & near[v], x & near[v]))
-                p, x = p - {v}, x | {v}
-        ids = sorted(out)
-        return pd.DataFrame({"sid": [pdf.sid.iloc[0]] * len(ids), "ids": [list(i) for i in ids]})
+    edges = stage(found.select("sid", "lo", "hi").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, ids = [], []
+            for i, r in enumerate(b.select(["v", "later", "inner"]).to_pylist()):
+                own = _first_in(r["v"], r["later"], r["inner"], s.max_clique)
+                rows += [i] * len(own)
+                ids += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, pa.list_(pa.int64()))], names=["sid", "ids"])
 
     kind = found.schema["sid"].dataType.simpleString()
-    return found.select("sid", "lo", "hi").groupBy("sid").applyInPandas(run, f"sid {kind}, ids array<bigint>")
+    pairs = edges.select("sid", F.array(F.col("lo").cast("long"), F.col("hi").cast("long")).alias("ids"))
+    return pairs.union(_dealt(edges).select("sid", "v", "later", "inner").mapInArrow(run, f"sid {kind}, ids array<bigint>"))
 
 
 def candidates(groups: DataFrame, found: DataFrame, canon: DataFrame, tokens: DataFrame | None = None, idf: DataFrame | None = None, *, history: bool = False, s: Settings = Settings()) -> DataFrame:
