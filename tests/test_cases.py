@@ -16,7 +16,6 @@ from weftline.operators import quality as Q
 from weftline.operators import session as S
 from weftline.operators import sinks as K
 from weftline.sources import logs as L
-from weftline.streaming import seen
 
 
 def one(spark, column):
@@ -178,19 +177,6 @@ def test_format_string_refuses_unknown_tokens(spark):
         K.formatted(spark.range(1), "%z")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [("s", "k1", "2024-01-01 00:00:00"), ("s", "k1", "2024-01-01 00:01:00"), ("s", "k2", "2024-01-01 00:02:00"), ("t", "k1", "2024-01-01 00:03:00")]
-    src = str(tmp_path / "log")
-    spark.createDataFrame(rows, "sid string, key string, at string").coalesce(1).write.json(src)
-    schema = "sid string, key string, at timestamp"
-    log = seen.session_log(spark, src, schema)
-    q = seen.unseen_stream(log).writeStream.format("memory").queryName("unseen").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination()
-    batch = {(r.sid, r.key, r["at"]) for r in seen.unseen_batch(spark.read.schema(schema).json(src)).collect()}
-    assert {(r.sid, r.key, r["at"]) for r in spark.table("unseen").collect()} == batch
-    assert seen.sessions(spark.read.schema(schema).json(src)).count() == 2
-
-
 def test_trails_follow_every_rename(spark):
     moves = [(i + 1, "renamed", f"p{i}", f"p{i + 1}", None) for i in range(66)] + [(67, "modified", "p66", "p66", None)]
     changes = spark.createDataFrame(moves, f"seq long, op string, from_path string, to_path string, hunks {D.HUNKS}").coalesce(1)
