@@ -30,12 +30,25 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def folder(df: DataFrame, name: str) -> str:
+    """A new folder's path beside the checkpoints."""
+    return f"{_shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def streamed(stream: DataFrame) -> DataFrame:
+    """What a stream gives of all that its source has by now, as a Parquet table in the shared folder."""
+    own = folder(stream, "streamed")
+    query = stream.writeStream.format("parquet").option("path", f"{own}/rows").option("checkpointLocation", f"{own}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{own}/rows")
+
+
 def held(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, for rounds of joins of a result with itself.
 
     A checkpoint carries on what is known of its columns, which grows with every round until planning takes longer than the
     work; a table begins anew.
     """
-    path = f"{_shared_folder(df).rstrip('/')}/held-{uuid.uuid4().hex}.parquet"
+    path = folder(df, "held") + ".parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return put
 
 
-from . import queries_catalog, queries_content, queries_graph, queries_layers, queries_mining, queries_session  # noqa: E402,F401  they register themselves
+from . import queries_catalog, queries_content, queries_graph, queries_layers, queries_mining, queries_session, queries_sources, queries_streaming  # noqa: E402,F401  they register themselves
