@@ -16,10 +16,14 @@ def usable_files(files: DataFrame, *, most: int = 40, sweep_values: int = 8, swe
     """commit_files of commits with 2 to `most` files that aren't sweeps.
 
     A sweep has at least sweep_values churn values whose deviation is under sweep_spread of their mean, as a mechanical
-    rewrite has. One aggregate by commit decides, and a semi join keeps the rows.
+    rewrite has. One aggregate by commit decides, and a semi join keeps the rows. Both sides are taken times the number of
+    values, from sums: of whole numbers these are exact, so a deviation of just that share is never under it, in whatever
+    order the rows come (a running variance is off by a last digit either way).
     """
-    stats = files.groupBy("commit_id").agg(F.count("*").alias("n"), F.stddev_pop("churn").alias("dev"), F.avg("churn").alias("mean"))
-    sweep = (F.col("n") >= sweep_values) & (F.col("mean") != 0) & (F.col("dev") < sweep_spread * F.col("mean"))
+    churn = F.col("churn").cast("double")
+    stats = files.groupBy("commit_id").agg(F.count("*").alias("n"), F.count("churn").alias("m"), F.sum(churn).alias("sum"), F.sum(churn * churn).alias("squares"))
+    dev = F.sqrt(F.greatest(F.col("m") * F.col("squares") - F.col("sum") * F.col("sum"), F.lit(0.0)))
+    sweep = F.coalesce((F.col("n") >= sweep_values) & (F.col("sum") != 0) & (dev < sweep_spread * F.col("sum")), F.lit(False))
     return files.join(stats.where(F.col("n").between(2, most) & ~sweep).select("commit_id"), "commit_id", "left_semi")
 
 
@@ -97,7 +101,7 @@ def rules(sets: DataFrame, total: int | Column, *, lift: float = 1.5) -> DataFra
     both = splits.join(known.select(F.col("items").alias("lhs"), F.col("m").alias("n_lhs")), "lhs").join(known.select(F.col("items").alias("rhs"), F.col("m").alias("n_rhs")), "rhs")
     whole = F.lit(total) if isinstance(total, int) else total
     out = both.withColumn("confidence", F.col("n") / F.col("n_lhs")).withColumn("lift", F.col("n") * whole / (F.col("n_lhs") * F.col("n_rhs")))
-    out = out.withColumn("leverage", F.col("n") / whole - F.col("n_lhs") / whole * F.col("n_rhs") / whole)
+    out = out.withColumn("leverage", F.col("n") / whole - (F.col("n_lhs") / whole) * (F.col("n_rhs") / whole))
     return out.where(F.col("lift") >= lift).select("lhs", "rhs", "n", "confidence", "lift", "leverage")
 
 
