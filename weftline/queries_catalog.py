@@ -190,10 +190,7 @@ _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line
 def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a line, with a line-multiset Jaccard of one half or more."""
     d = views(spark, sf_dir, "documents")[0]
-    lines = d.select(F.col("doc_id").alias("doc"), F.explode(T.lines_raw(F.col("text"))).alias("line"))
-    once = lines.distinct()
-    pairs = once.select(F.col("doc").alias("a"), "line").join(once.select(F.col("doc").alias("b"), "line"), "line").where("a < b").select("a", "b").distinct()
-    return T.multiset_jaccard(lines, pairs).where("similarity >= 0.5").withColumn("similarity", F.round("similarity", 6))
+    return D.similar_documents(d.select(F.col("doc_id").alias("doc"), T.lines_raw(F.col("text")).alias("lines"))).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
