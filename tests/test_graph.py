@@ -65,3 +65,19 @@ def test_long_chain(spark):
     assert [told[p] for p in pairs] == [True, False, True, False, True]
     base = a.merge_bases(spark.createDataFrame([(10_500, 10_600), (1999, 10_600)], "a long, b long")).collect()
     assert {(r["a"], r["b"]): r["base"] for r in base} == {(10_500, 10_600): 10_500, (1999, 10_600): 10_600}
+
+
+def test_side_branches_of_a_main_line(spark):
+    """What lies beside the main line is walked to where it left that line; what the line merged before isn't listed again."""
+    parents = {c: ([c - 1] if c else []) for c in range(300)}
+    for c in range(10, 300, 2):
+        parents[1000 + c] = [c - 7]
+        parents[c] = [c - 1, 1000 + c]
+    a = graph.Ancestry(spark.createDataFrame(rows(parents), KIND))
+    assert a.beside.count() == 145  # the old labels had a row for each branch that a commit reaches, over 20 000
+    known = {}
+    for c in sorted(parents, key=lambda x: x % 1000 - (x >= 1000) / 2):
+        known[c] = {c}.union(*(known[p] for p in parents[c]))
+    pairs = [(x, y) for x in [*range(3, 300, 29), *range(1010, 1300, 30)] for y in [7, 150, 299, 1150, 1298]]
+    told = {(r["ancestor"], r["commit_id"]): r["is_ancestor"] for r in a.is_ancestor(spark.createDataFrame(pairs, "ancestor long, commit_id long")).collect()}
+    assert told == {(x, y): x in known[y] for x, y in pairs}

@@ -57,18 +57,44 @@ def crossings(parents: DataFrame, chained: DataFrame) -> DataFrame:
 
 
 class Ancestry:
-    """Labels of a history: chains and the edges between them, each made once."""
+    """Labels of a history, each made once: chains, the edges between them, and where each commit meets the longest chain.
 
-    def __init__(self, parents: DataFrame):
-        self.labels = held(chains(parents))
-        self.crossed = held(crossings(parents, self.labels))
+    Of the longest chain, the main line, a commit tells the highest position it reaches (down) and the lowest that reaches it
+    (up). A path that touches the main line is then a comparison of two numbers. What is left are paths beside it; they are
+    walked, and end where branches are merged.
+    """
 
-    def reach(self, starts: DataFrame) -> DataFrame:
-        """commit_id, chain, pos: the highest commit of each chain that a start (commit_id) reaches, itself included.
+    def __init__(self, parents: DataFrame):
+        labels = held(chains(parents))
+        longest = labels.groupBy("chain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chain").limit(1).select("chain", F.lit(True).alias("main"))
+        marked = lambda df, of, to: df.join(F.broadcast(longest.withColumnsRenamed({"chain": of, "main": to})), of, "left").fillna(False, [to])
+        own = held(marked(labels, "chain", "main"))
+        crossed = held(marked(marked(crossings(parents, labels), "chain", "from_main"), "to_chain", "to_main"))
+        beside = own.where("NOT main").drop("main")
+        self.crossed = crossed.where("NOT from_main AND NOT to_main").select("chain", "pos", "to_chain", "to_pos")
+        self.beside = held(self._reach(beside))
+
+        into = crossed.where("NOT from_main AND to_main").groupBy("chain", "pos").agg(F.max("to_pos").alias("into"))
+        below = Window.partitionBy("chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        lowest = beside.join(into, ["chain", "pos"], "left").select("chain", "pos", F.max("into").over(below).alias("down"))
+        down = self.beside.join(lowest, ["chain", "pos"]).groupBy("commit_id").agg(F.max("down").alias("down"))
+        merged = crossed.where("from_main AND NOT to_main").groupBy(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).agg(F.min("pos").alias("by"))
+        merged = beside.join(merged, ["chain", "pos"]).select("commit_id", "by")
+        told = self.beside.join(merged, "commit_id").groupBy("chain", "pos").agg(F.min("by").alias("by"))
+        above = Window.partitionBy("chain").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+        up = beside.join(told, ["chain", "pos"], "left").select("commit_id", F.min("by").over(above).alias("up"))
+        rest = beside.join(down, "commit_id", "left").join(up, "commit_id", "left")
+        on = own.where("main").select("commit_id", "chain", "pos", F.col("pos").alias("down"), F.col("pos").alias("up"), "main")
+        #: commit_id, chain, pos, down (-1 for none), up (null for none), main
+        self.labels = held(on.union(rest.select("commit_id", "chain", "pos", F.coalesce("down", F.lit(-1)).alias("down"), "up", F.lit(False))))
+
+    def _reach(self, starts: DataFrame) -> DataFrame:
+        """commit_id, chain, pos: the highest commit of each chain that a start (commit_id, chain, pos) reaches beside the main
+        line, itself included.
 
         A round takes the edges between the positions known before and now, so that each edge is walked once for a start.
         """
-        known = held(starts.select("commit_id").distinct().join(self.labels, "commit_id").select("commit_id", "chain", "pos", F.lit(-1).cast("long").alias("was")))
+        known = held(starts.select("commit_id", "chain", "pos", F.lit(-1).cast("long").alias("was")))
         edges = self.crossed.select("chain", F.col("pos").alias("at"), "to_chain", "to_pos")
         while True:
             met = known.where("pos > was").join(edges, "chain").where("at > was AND at <= pos")
@@ -78,38 +104,61 @@ class Ancestry:
             if not known.where("pos > was").limit(1).count():
                 return known.select("commit_id", "chain", "pos")
 
+    def _named(self, name: str) -> DataFrame:
+        return self.labels.select(F.col("commit_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("chain", "pos", "down", "up")])
+
+    def _beside(self, name: str, pos: str) -> DataFrame:
+        return self.beside.select(F.col("commit_id").alias(name), "chain", F.col("pos").alias(pos))
+
     def is_ancestor(self, pairs: DataFrame) -> DataFrame:
         """pairs (ancestor, commit_id) with is_ancestor, true for equal ones too and null if either is unknown."""
-        above = self.labels.select(F.col("commit_id").alias("ancestor"), F.col("chain").alias("a_chain"), F.col("pos").alias("a_pos"))
-        asked = pairs.join(above, "ancestor", "left").join(self.labels.select("commit_id", F.lit(True).alias("known")), "commit_id", "left")
-        reached = self.reach(asked.where("a_pos IS NOT NULL"))
-        met = asked.join(reached.select("commit_id", F.col("chain").alias("a_chain"), F.col("pos").alias("r_pos")), ["commit_id", "a_chain"], "left")
-        told = F.when(F.col("a_pos").isNotNull() & F.col("known"), F.coalesce(F.col("r_pos") >= F.col("a_pos"), F.lit(False)))
+        asked = pairs.join(self._named("ancestor"), "ancestor", "left").join(self.labels.select("commit_id", F.col("down").alias("c_down")), "commit_id", "left")
+        met = asked.join(self._beside("commit_id", "r_pos").withColumnRenamed("chain", "ancestor_chain"), ["commit_id", "ancestor_chain"], "left")
+        by_main = F.coalesce(F.col("c_down") >= F.col("ancestor_up"), F.lit(False))
+        told = F.when(F.col("ancestor_pos").isNotNull() & F.col("c_down").isNotNull(), by_main | F.coalesce(F.col("r_pos") >= F.col("ancestor_pos"), F.lit(False)))
         return met.select(*pairs.columns, told.alias("is_ancestor"))
 
     def merge_bases(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with base: every best common ancestor, one from which no other common one descends; null if there's none.
 
-        Common ancestors are all below one position of each chain. The highest of a chain is best unless a child of it on
+        Common ancestors are all below one position of each chain. The main line's highest is one; what that one doesn't reach
+        is beside the main line for the commit that reaches less of it. The highest of a chain is best unless a child of it on
         another chain is common too, which the edges into it tell.
         """
-        reached = held(self.reach(pairs.select(F.col("a").alias("commit_id")).union(pairs.select("b"))))
-        side = lambda of: reached.select(F.col("commit_id").alias(of), "chain", F.col("pos").alias(f"pos_{of}"))
-        asked = pairs.select("a", "b").distinct()
-        both = held(asked.join(side("a"), "a").join(side("b"), ["b", "chain"]).select("a", "b", "chain", F.least("pos_a", "pos_b").alias("pos")))
+        downs = lambda of: self.labels.select(F.col("commit_id").alias(of), F.col("down").alias(f"down_{of}"))
+        asked = pairs.select("a", "b").distinct().join(downs("a"), "a").join(downs("b"), "b")
+        first = F.col("down_a") <= F.col("down_b")
+        asked = held(asked.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"), F.least("down_a", "down_b").alias("low"), F.greatest("down_a", "down_b").alias("high")))
+        ours = asked.join(self._beside("x", "pos_x"), "x")
+        # the highest of the chain that y reaches by the main line: of those merged by then the last
+        places = self.labels.where("NOT main AND up IS NOT NULL").select("chain", F.col("up").alias("at"), F.lit(0).alias("kind"), "pos")
+        questions = ours.select("chain", "high").distinct()
+        upto = Window.partitionBy("chain").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        by_main = places.union(questions.select("chain", "high", F.lit(1), F.lit(None).cast("long"))).withColumn("by_main", F.max("pos").over(upto)).where("kind = 1").select("chain", F.col("at").alias("high"), "by_main")
+        both = ours.join(by_main, ["chain", "high"], "left").join(self._beside("y", "pos_y"), ["y", "chain"], "left")
+        both = both.withColumn("pos", F.least("pos_x", F.greatest(F.coalesce("by_main", F.lit(-1)), F.coalesce("pos_y", F.lit(-1)))))
+        tops = both.join(self.labels.where("NOT main").select("chain", "pos", "up", "down", "commit_id"), ["chain", "pos"]).where("up IS NULL OR up > low")
+        tops = held(tops.select("a", "b", "chain", "pos", "low", "down", "commit_id"))
         into = self.crossed.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.col("chain").alias("of"), F.col("pos").alias("at"))
-        children = both.join(into, ["chain", "pos"]).join(both.select("a", "b", F.col("chain").alias("of"), F.col("pos").alias("top")), ["a", "b", "of"]).where("at <= top")
-        best = both.join(children.select("a", "b", "chain").distinct(), ["a", "b", "chain"], "left_anti")
-        return pairs.join(best.join(self.labels, ["chain", "pos"]).select("a", "b", F.col("commit_id").alias("base")), ["a", "b"], "left")
+        children = tops.join(into, ["chain", "pos"]).join(tops.select("a", "b", F.col("chain").alias("of"), F.col("pos").alias("top")), ["a", "b", "of"]).where("at <= top")
+        best = tops.join(children.select("a", "b", "chain").distinct(), ["a", "b", "chain"], "left_anti").select("a", "b", F.col("commit_id").alias("base"))
+        on_main = asked.where("low >= 0").join(tops.where("down >= low").select("a", "b").distinct(), ["a", "b"], "left_anti")
+        on_main = on_main.join(self.labels.where("main").select(F.col("pos").alias("low"), F.col("commit_id").alias("base")), "low").select("a", "b", "base")
+        return pairs.join(best.union(on_main), ["a", "b"], "left")
 
     def side_commits(self, merges: DataFrame) -> DataFrame:
         """commit_id, side: for merges (commit_id, first, second) the commits that only the second parent reaches."""
-        reached = held(self.reach(merges.select(F.col("first").alias("commit_id")).union(merges.select("second"))))
-        upper = merges.join(reached.select(F.col("commit_id").alias("second"), "chain", F.col("pos").alias("top")), "second")
-        lower = reached.select(F.col("commit_id").alias("first"), "chain", F.col("pos").alias("bottom"))
-        spans = upper.join(lower, ["first", "chain"], "left").withColumn("bottom", F.coalesce("bottom", F.lit(-1))).where("top > bottom")
-        each = spans.select("commit_id", "chain", F.explode(F.sequence(F.col("bottom") + 1, "top")).alias("pos"))
-        return each.join(self.labels.select(F.col("commit_id").alias("side"), "chain", "pos"), ["chain", "pos"]).select("commit_id", "side")
+        downs = lambda of: self.labels.select(F.col("commit_id").alias(of), F.col("down").alias(f"down_{of}"))
+        asked = held(merges.join(downs("first"), "first").join(downs("second"), "second"))
+        # what the main line brought in between the two: its own commits and those merged there
+        each = asked.where("down_second > down_first").select("commit_id", "first", F.explode(F.sequence(F.col("down_first") + 1, "down_second")).alias("up"))
+        by_main = each.join(self.labels.select(F.col("commit_id").alias("side"), "chain", "pos", "up"), "up").select("commit_id", "first", "side", "chain", "pos")
+        bottom = self._beside("first", "bottom")
+        spans = asked.join(self._beside("second", "top"), "second").join(bottom, ["first", "chain"], "left").withColumn("bottom", F.coalesce("bottom", F.lit(-1))).where("top > bottom")
+        own = spans.select("commit_id", "first", "down_first", "chain", F.explode(F.sequence(F.col("bottom") + 1, "top")).alias("pos"))
+        own = own.join(self.labels.select(F.col("commit_id").alias("side"), "chain", "pos", "up"), ["chain", "pos"]).where("up IS NULL OR up > down_first")
+        known = by_main.join(bottom, ["first", "chain"], "left").where("bottom IS NULL OR pos > bottom")
+        return known.select("commit_id", "side").union(own.select("commit_id", "side")).distinct()
 
 
 def set_since(anchors: DataFrame, ancestry: Ancestry, since: int | str) -> DataFrame:
