@@ -23,3 +23,33 @@ def test_two_renames_in_one_commit(spark):
     table = spark.createDataFrame([(*c, None) for c in changes], f"seq long, op string, from_path string, to_path string, hunks {drift.HUNKS}")
     met = sorted((r["seq"], r["path"], r["op"]) for r in drift.trails(anchors, table).collect())
     assert met == [(5, "a", "deleted"), (5, "a", "renamed"), (5, "a", "renamed"), (6, "b", "modified"), (7, "c", "modified")]
+
+
+def test_cohesion_of_saturated_pairs(spark):
+    """Rare identifiers that weigh enough settle a pair, the others are summed up, and both equal the plain sets."""
+    import math
+    import random
+
+    from weftline.functions import text as T
+    from weftline.operators import session
+
+    r = random.Random(4)
+    words = [f"name_{i}" for i in range(40)] + ["abc", "xyz"]
+    ids = {i: sorted({r.choice(words) for _ in range(12)} | {f"rare_{k}_{i // 2}" for k in range(i % 5)}) for i in range(30)}
+    ids[30] = []
+    tokens = spark.createDataFrame([("s", i, v) for i, v in ids.items()], "sid string, id long, identifiers array<string>")
+    tokens = tokens.withColumn("trigrams", T.trigrams(tokens["identifiers"]))
+    idf = session.inverse_frequency(tokens)
+    pairs = [(a, b) for a in ids for b in ids if a < b]
+    table = spark.createDataFrame([("s", *p) for p in pairs], "sid string, lo long, hi long")
+    found = {(x["lo"], x["hi"]): (round(x["cohesion"], 9), round(x["trigram"], 9)) for x in session.pair_cohesion(table, tokens, idf).collect()}
+    df = {t: sum(t in v for v in ids.values()) for v in ids.values() for t in v}
+    tri = {i: {" ".join(v)[k : k + 3] for k in range(len(" ".join(v)) - 2)} for i, v in ids.items()}
+    want = {}
+    for a, b in pairs:
+        w = min(1, sum(math.log((len(ids) + 1) / (1 + df[t])) for t in set(ids[a]) & set(ids[b]) if len(t) >= 4) / 6)
+        j = len(tri[a] & tri[b]) / len(tri[a] | tri[b]) if tri[a] and tri[b] else 0
+        want[a, b] = (round(max(w, j), 9), round(j, 9))
+    assert found == want
+    weights = tokens.selectExpr("sid", "id", "explode(identifiers) AS token").join(idf, ["sid", "token"])
+    assert 0 < session.saturated(table, weights).count() < len(pairs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import session as S
+from .plans.stages import held
 from .queries import query
 from .standins import ctes, views
 
@@ -123,7 +124,7 @@ def range_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _documents_as_ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = views(spark, sf_dir, "documents")[0]
     canon = docs.select(F.col("source").alias("sid"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("start"), F.size(T.lines_raw(F.col("text"))).cast("bigint").alias("end"))
-    tokens = S.range_tokens(canon, docs.select(F.col("doc_id").cast("string").alias("path"), "text"))
+    tokens = held(S.range_tokens(canon, docs.select(F.col("doc_id").cast("string").alias("path"), "text")))  # read several times, and slow to make
     return tokens, S.inverse_frequency(tokens)
 
 
@@ -156,9 +157,9 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source with an identifier that two or three of its documents hold stand for pairs of ranges."""
     tokens, idf = _documents_as_ranges(spark, sf_dir)
-    held = tokens.select("sid", "id", F.explode("identifiers").alias("token"))
-    rare = held.groupBy("sid", "token").count().where("count BETWEEN 2 AND 3").drop("count")
-    own = held.join(rare, ["sid", "token"])
+    each = tokens.select("sid", "id", F.explode("identifiers").alias("token"))
+    rare = each.groupBy("sid", "token").count().where("count BETWEEN 2 AND 3").drop("count")
+    own = each.join(rare, ["sid", "token"])
     a, b = (own.withColumnRenamed("id", x) for x in ("lo", "hi"))
     pairs = a.join(b, ["sid", "token"]).where("hi > lo").select("sid", "lo", "hi").distinct()
     found = S.pair_cohesion(pairs, tokens, idf)
