@@ -50,3 +50,21 @@ def test_capped_clusters_as_one_pass(spark, most):
                 of[x] = both
     want = {x: min(c) for x, c in of.items() if len(c) > 1}
     assert {x.node: x.cluster for x in A.capped_clusters(spark.createDataFrame(rows, "rank int, a string, b string"), most).collect()} == want
+
+
+def test_touched_sets_against_all_pairs(spark):
+    """Equal touches of many sessions, whole files and open ranges."""
+    import random
+
+    r = random.Random(2)
+    span = lambda: (None, None) if r.random() < 0.2 else (s := r.randrange(1, 20), s + r.randrange(5))
+    touches = [(r.choice("xyz"), i, r.choice("pq"), r.choice(["modified", "added"]), *span()) for i in range(120)]
+    anchors = [(r.choice("stu"), i, f"a{i}", r.choice("pq"), *((None, None, True) if i % 5 == 0 else (*(s := r.randrange(1, 20), s + 2), False))) for i in range(25)]
+    want = {}
+    for sid, no, path, kind, s, e in touches:
+        for name, at, anchor, p, a, b, whole in anchors:
+            if kind != "added" and path == p and (s is None or (not whole and a <= e and b >= s)):
+                want[sid, name] = min(want.get((sid, name), (no, at, anchor)), (no, at, anchor))
+    t = spark.createDataFrame(touches, "sid string, line_no long, path string, kind string, start long, end long")
+    a = spark.createDataFrame(anchors, "set_name string, anchor_no long, anchor_id string, path string, start long, end long, whole boolean")
+    assert {(x["sid"], x["set_name"]): (x["touch_no"], x["anchor_id"]) for x in A.touched_sets(t, a).collect()} == {k: (v[0], v[2]) for k, v in want.items()}

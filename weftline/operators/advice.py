@@ -14,10 +14,17 @@ def touched_sets(touches: DataFrame, anchors: DataFrame) -> DataFrame:
 
     touches: sid, line_no, path, kind, start, end; anchors: set_name, anchor_no, anchor_id, path, start, end, whole.
     """
-    t = touches.where("kind NOT IN ('added', 'deleted')").select("sid", F.col("line_no").alias("touch_no"), "path", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    met = t.join(anchors, "path").where(ranges.edit_meets(F.col("start"), F.col("end"), F.col("whole"), F.col("t_start"), F.col("t_end")))
-    first = met.groupBy("sid", "set_name").agg(F.min(F.struct("touch_no", "anchor_no", "anchor_id")).alias("m"))
-    return first.select("sid", "set_name", F.col("m.touch_no").alias("touch_no"), F.col("m.anchor_id").alias("anchor_id"))
+    own = touches.where("kind NOT IN ('added', 'deleted')").select("sid", "line_no", "path", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    # of a session's equal touches the first counts; what a range meets is found once, in whatever sessions it is touched
+    place = ["path", "t_start", "t_end"]
+    once = held(own.groupBy("sid", *place).agg(F.min("line_no").alias("touch_no")))
+    places = once.select(*place).distinct()
+    met = places.join(anchors, "path").where(ranges.edit_meets(F.col("start"), F.col("end"), F.col("whole"), F.col("t_start"), F.col("t_end")))
+    of = held(met.groupBy(*place, "set_name").agg(F.min(F.struct("anchor_no", "anchor_id")).alias("a")))
+    sets = of.select(F.col("path").alias("o_path"), F.col("t_start").alias("o_start"), F.col("t_end").alias("o_end"), "set_name", "a")
+    same = (F.col("path") == F.col("o_path")) & F.col("t_start").eqNullSafe(F.col("o_start")) & F.col("t_end").eqNullSafe(F.col("o_end"))
+    first = once.join(sets, same).groupBy("sid", "set_name").agg(F.min(F.struct("touch_no", "a")).alias("m"))
+    return first.select("sid", "set_name", F.col("m.touch_no").alias("touch_no"), F.col("m.a.anchor_id").alias("anchor_id"))
 
 
 def read_sets(reads: DataFrame, anchors: DataFrame, committed: DataFrame, seen: DataFrame) -> DataFrame:
