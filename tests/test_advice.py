@@ -68,3 +68,14 @@ def test_touched_sets_against_all_pairs(spark):
     t = spark.createDataFrame(touches, "sid string, line_no long, path string, kind string, start long, end long")
     a = spark.createDataFrame(anchors, "set_name string, anchor_no long, anchor_id string, path string, start long, end long, whole boolean")
     assert {(x["sid"], x["set_name"]): (x["touch_no"], x["anchor_id"]) for x in A.touched_sets(t, a).collect()} == {k: (v[0], v[2]) for k, v in want.items()}
+
+
+def test_overlapping_sets_carry_no_lists(spark):
+    """Sets are met by a digest of their paths: the join of anchors has no list in its rows."""
+    from weftline.operators import catalog
+
+    rows = [("a", "p", 1, 5), ("a", "q", 1, 2), ("b", "q", 2, 3), ("b", "p", 8, 9), ("c", "p", 1, 9), ("d", "q", 5, 6), ("d", "p", 20, 21)]
+    anchors = spark.createDataFrame([(*r, False) for r in rows], "set_name string, path string, start long, end long, whole boolean")
+    met = catalog.overlapping_sets(anchors)
+    assert [tuple(r) for r in met.collect()] == [("a", "b")]
+    assert "sha2" in met._jdf.queryExecution().optimizedPlan().toString()

@@ -87,8 +87,10 @@ def page(rows: DataFrame, offset: int, limit: int, *, name: str = "set_name") ->
 
 def overlapping_sets(anchors: DataFrame) -> DataFrame:
     """a, b: pairs of sets with the same list of paths and extents that meet."""
-    shape = anchors.groupBy("set_name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    own = anchors.join(shape, "set_name").select("set_name", "paths", "path", "start", "end", "whole")
+    # an anchor carries a digest of the list, which grows with its set; only sets whose list another has are compared
+    shape = anchors.groupBy("set_name").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("path"))), 256).alias("paths"))
+    shared = shape.groupBy("paths").agg(F.count("*").alias("n")).where("n > 1").select("paths")
+    own = anchors.join(shape.join(shared, "paths", "left_semi"), "set_name").select("set_name", "paths", "path", "start", "end", "whole")
     other = own.select(F.col("set_name").alias("b"), "paths", "path", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("whole").alias("w2"))
     met = own.join(other, ["paths", "path"]).where((F.col("set_name") < F.col("b")) & ranges.extents_meet(F.col("start"), F.col("end"), F.col("whole"), F.col("s2"), F.col("e2"), F.col("w2")))
     return met.select(F.col("set_name").alias("a"), "b").distinct()
