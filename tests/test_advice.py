@@ -52,6 +52,38 @@ def test_capped_clusters_as_one_pass(spark, most):
     assert {x.node: x.cluster for x in A.capped_clusters(spark.createDataFrame(rows, "rank int, a string, b string"), most).collect()} == want
 
 
+def _one_pass(rows, most):
+    of = {x: {x} for row in rows for x in row[1:]}
+    for _, a, b in sorted(rows):
+        if of[a] is not of[b] and len(of[a]) + len(of[b]) <= most:
+            both = of[a] | of[b]
+            for x in both:
+                of[x] = both
+    return {x: min(c) for x, c in of.items() if len(c) > 1}
+
+
+def test_capped_clusters_by_parts(spark, monkeypatch):
+    """Pairs cut into many parts, equal ranks and a hub among them."""
+    monkeypatch.setattr(A, "IN_ORDER", 60)
+    r = random.Random(4)
+    rows = [(r.randrange(3), *(f"n{r.randrange(50)}" for _ in "ab")) for _ in range(260)] + [(1, "hub", f"n{i}") for i in range(50)]
+    found = A.capped_clusters(spark.createDataFrame(rows, "rank int, a string, b string"), 6)
+    assert {x.node: x.cluster for x in found.collect()} == _one_pass(rows, 6)
+
+
+def test_capped_clusters_of_a_path(spark):
+    """A path of ever later pairs, each waiting for the one before, takes no round of jobs for each."""
+    rows = [(i, f"m{i:03}", f"m{i + 1:03}") for i in range(60)]
+    pairs = spark.createDataFrame(rows, "rank int, a string, b string")
+    spark.sparkContext.setJobGroup("path", "")
+    try:
+        found = A.capped_clusters(pairs, 7)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("path")) < 40
+    assert {x.node: x.cluster for x in found.collect()} == _one_pass(rows, 7)
+
+
 def test_touched_sets_against_all_pairs(spark):
     """Equal touches of many sessions, whole files and open ranges."""
     import random

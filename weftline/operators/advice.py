@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,32 +136,70 @@ def tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.join(used, "path", "left_anti").select("path", "change", F.lit(None).cast("string").alias("from_path")).unionByName(moves)
 
 
+#: Pairs that one pass of capped_clusters decides in order.
+IN_ORDER = 200_000
+
+
+def _decided(pairs: DataFrame, most: int) -> DataFrame:
+    """old, new: clusters and the lesser names they take from one pass over pairs (a, b, order, n_a, n_b) in order."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[str, str] = {}
+        size: dict[str, int] = {}
+
+        def top(x: str) -> str:
+            while (up := above.get(x, x)) != x:
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b, n_a, n_b in zip(*(batch[c].to_pylist() for c in ("a", "b", "n_a", "n_b")), strict=True):
+                low, high = sorted((top(a), top(b)))
+                n = size.get(low, n_a if low == a else n_b) + size.get(high, n_b if high == b else n_a)
+                if low != high and n <= most:
+                    above[high], size[low] = low, n
+        old = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(old, pa.string()), pa.array([top(x) for x in old], pa.string())], names=["old", "new"])
+
+    own = pairs.repartition(1).sortWithinPartitions("order").select("a", "b", "n_a", "n_b")
+    return own.mapInArrow(merged, "old string, new string")
+
+
+def _first_part(pairs: DataFrame, n: int) -> Column:
+    """Whether a pair's order is within about the first sixteenth of n pairs, or half of IN_ORDER; the bound is one row, from every kth pair by hash."""
+    every = max(1, n // 20_000)
+    some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(every)) == 0).orderBy("order").limit(max(1, max(n // 16, IN_ORDER // 2) // every))
+    bound = some.agg(F.max("order").alias("o")).first().o
+    return F.col("order") <= F.struct(F.lit(bound.rank).cast("long").alias("rank"), F.lit(bound.a).alias("a"), F.lit(bound.b).alias("b"))
+
+
 def capped_clusters(pairs: DataFrame, most: int = 8) -> DataFrame:
     """node, cluster (its least node) from ranked pairs (rank, a, b): two clusters merge if together they have at most `most`
     nodes. Nodes left alone are in none.
 
-    The result is that of one pass in order of rank, then a and b, but every round decides all pairs that come first at both
-    of their clusters: nothing earlier can touch these any more. Clusters only grow, so a pair that would be too large leaves
-    at once, and of pairs between the same clusters only the first counts. A path of ever later pairs takes a round for each.
+    The result is that of one pass in order of rank, then a and b. Clusters only grow, so a pair that would be too large leaves
+    for good, and of pairs between the same clusters only the first counts. Pairs are cut into parts by their order, earlier
+    ones the smaller, until a part has IN_ORDER pairs at most and one task goes through it; what follows is put in terms of
+    the clusters by then before it is cut again, and most of it has left by that time.
     """
     named = pairs.select(F.struct(F.col("rank").cast("long").alias("rank"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).alias("order"))
-    edges = held(named.select("order", "order.a", "order.b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("order").alias("order")))
+    once = lambda df: df.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("order").alias("order"))
+    edges = held(once(named.select("order", "order.a", "order.b").where("a <> b")))
     nodes = held(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("cluster")))
-    while True:
-        sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
-        side = lambda of: sizes.select(F.col("cluster").alias(of), F.col("n").alias(f"n_{of}"))
-        edges = held(edges.join(side("a"), "a").join(side("b"), "b").where(F.col("n_a") + F.col("n_b") <= most).select("a", "b", "order"))
-        if not edges.limit(1).count():
-            return nodes.join(sizes.where("n > 1").select("cluster"), "cluster", "left_semi").select("node", "cluster")
-        first = edges.select(F.col("a").alias("c"), "order").union(edges.select("b", "order")).groupBy("c").agg(F.min("order").alias("order"))
-        ends = edges.select("a", "b", "order").join(first.select(F.col("c").alias("a"), "order"), ["a", "order"]).join(first.select(F.col("c").alias("b"), "order"), ["b", "order"])
-        # a cluster is in one of these at most; it takes the lesser name
-        merged = held(ends.select(F.col("b").alias("old"), F.col("a").alias("new")))
-
-        def renamed(df: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
-            met = df.join(merged.select(F.col("old").alias(column), "new"), column, "left")
-            return met.withColumn(column, F.coalesce("new", column)).drop("new")
-
-        nodes = held(renamed(nodes, "cluster"))
-        moved = renamed(renamed(edges, "a"), "b").where("a <> b")
-        edges = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("order").alias("order"))
+    todo = [edges]
+    while todo:
+        now = nodes.join(nodes.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+        side = lambda of, now=now: now.select(F.col("node").alias(of), F.col("cluster").alias(f"to_{of}"), F.col("n").alias(f"n_{of}"))
+        met = todo.pop().join(side("a"), "a").join(side("b"), "b").where((F.col("to_a") != F.col("to_b")) & (F.col("n_a") + F.col("n_b") <= most))
+        least = F.col("to_a") < F.col("to_b")
+        pair = [F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")]
+        part = held(met.groupBy(*pair, F.when(least, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(least, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).agg(F.min("order").alias("order")))
+        n = part.count()
+        if n > IN_ORDER:
+            first = _first_part(part, n)
+            todo += [part.where(~first).select("a", "b", "order"), part.where(first).select("a", "b", "order")]
+        elif n:
+            new = _decided(part, most)
+            nodes = held(nodes.join(new.select(F.col("old").alias("cluster"), "new"), "cluster", "left").select("node", F.coalesce("new", "cluster").alias("cluster")))
+    shared = nodes.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    return nodes.join(shared.select("cluster"), "cluster", "left_semi").select("node", "cluster")
