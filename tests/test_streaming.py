@@ -106,6 +106,31 @@ def test_pending_touches_are_forgotten_one_by_one(spark, tmp_path):
     assert sorted(r.s for r in kept.selectExpr("user_map_key.start AS s").collect()) == [2, 3, 4]
 
 
+class Counted:
+    """A state store's handle that counts the calls a batch makes."""
+
+    def __init__(self):
+        self.calls, self.map = 0, {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls += 1
+            return {"getMapState": lambda: self, "iterator": lambda: iter([*self.map.items()]), "updateValue": lambda: self.map.update({a[0]: a[1]}), "removeKey": lambda: self.map.pop(a[0])}.get(name, lambda: None)()
+
+        return call
+
+
+def test_a_batch_reads_and_writes_its_touches_once():
+    """Calls of a store follow the touches that a batch leaves, not its rows."""
+    from pyspark.sql import Row
+
+    store, own = Counted(), seen._Pending(10**9)
+    own.init(store)
+    log = [Row(kind="edit", start=i % 3, end=9, us=i, line_no=i, flush=i % 50 == 49) for i in range(1001)]
+    told = list(own.handleInputRows(("s", "x"), iter(log), None))
+    assert len(told) == 60 and store.map == {("edit", 1000 % 3, 9): (1000,)} and store.calls < 10
+
+
 def test_session_windows(spark):
     log = spark.createDataFrame([("s", BEGIN), ("s", BEGIN + timedelta(minutes=10)), ("s", BEGIN + timedelta(hours=2))], "sid string, at timestamp")
     assert sorted(r.n for r in seen.sessions(log).collect()) == [1, 2]

@@ -5,10 +5,9 @@ State is kept for each entry and goes at its own time: EXPIRY_MS of event time a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,28 +49,27 @@ class _Unseen(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # a batch is folded to its stretches, which follow the time it covers and not its rows
         spans: dict[int, tuple[int, int]] = {}
-        for chunk in rows:
-            for stretch, own in chunk.groupby(chunk["us"] // self.expiry_us)["us"]:
-                low, high = spans.get(stretch, (own.min(), own.max()))
-                spans[stretch] = (min(low, own.min()), max(high, own.max()))
-        known = self.last.get()[0] if self.last.exists() else None
-        last, new = known, []
+        for r in rows:
+            low, high = spans.get(stretch := r.us // self.expiry_us, (r.us, r.us))
+            spans[stretch] = (min(low, r.us), max(high, r.us))
+        found = self.last.get()
+        known = last = found[0] if found else None
+        new = []
         for low, high in (spans[s] for s in sorted(spans)):
             if last is None or low - last >= self.expiry_us:
-                new.append(int(low))
-            last = int(high) if last is None else max(last, int(high))
+                new.append(low)
+            last = high if last is None else max(last, high)
         if last != known:
             if known is not None:
                 self.handle.deleteTimer(_timer(known + self.expiry_us))
             self.last.update((last,))
             self.handle.registerTimer(_timer(last + self.expiry_us))
-        if new:
-            yield pd.DataFrame({"sid": [key[0]] * len(new), "key": [key[1]] * len(new), "us": new})
+        return (Row(sid=key[0], key=key[1], us=us) for us in new)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
         return iter(())
 
@@ -85,7 +83,7 @@ def _timer(us: int) -> int:
 
 
 def _with_result(keyed, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return keyed.transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def unseen_stream(shown: DataFrame, *, expiry_ms: int = EXPIRY_MS) -> DataFrame:
@@ -125,35 +123,42 @@ class _Pending(StatefulProcessor):
         self.handle = handle
         self.touches = handle.getMapState("touches", "kind string, start bigint, end bigint", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["us", "line_no"], kind="stable")
-        out = []
-        for r in own.itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # the map is read once and written once, however many touches and flushes a batch has
+        kept = {tuple(touch): us for touch, (us,) in self.touches.iterator()}
+        pending, out = dict(kept), []
+        for r in sorted(rows, key=lambda r: (r.us, r.line_no is None, r.line_no or 0)):
             if not r.flush:
-                self.touches.updateValue(tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in (r.kind, r.start, r.end)), (int(r.us),))
+                pending[r.kind, r.start, r.end] = r.us
                 continue
-            out += [(*key, *touch, us, int(r.us)) for touch, (us,) in list(self.touches.iterator()) if r.us - us < self.expiry_us]
-            self.touches.clear()
-        self._wait()
-        if out:
-            found = pd.DataFrame(out, columns=["sid", "path", *_TOUCH, "touched", "flushed"])
-            yield found.astype({"start": "Int64", "end": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            out += [Row(sid=key[0], path=key[1], kind=kind, start=start, end=end, touched=us, flushed=r.us) for (kind, start, end), us in pending.items() if r.us - us < self.expiry_us]
+            pending.clear()
+        for touch in kept.keys() - pending.keys():
+            self.touches.removeKey(touch)
+        for touch, us in pending.items():
+            if kept.get(touch) != us:
+                self.touches.updateValue(touch, (us,))
+        self._wait(kept.values(), pending.values())
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        for touch, (us,) in list(self.touches.iterator()):
-            if _timer(us + self.expiry_us) <= now:
-                self.touches.removeKey(touch)
-        self._wait()
+        kept = {tuple(touch): us for touch, (us,) in self.touches.iterator()}
+        pending = {touch: us for touch, us in kept.items() if _timer(us + self.expiry_us) > now}
+        for touch in kept.keys() - pending.keys():
+            self.touches.removeKey(touch)
+        self._wait((), pending.values())  # the one that ran out goes by itself
         return iter(())
 
-    def _wait(self) -> None:
+    def _wait(self, before: Iterable[int], after: Iterable[int]) -> None:
         """One timer a path, for the touch that goes first."""
-        for told in list(self.handle.listTimers()):
-            self.handle.deleteTimer(told)
-        times = [us for _, (us,) in self.touches.iterator()]
-        if times:
-            self.handle.registerTimer(_timer(min(times) + self.expiry_us))
+        old, new = min(before, default=None), min(after, default=None)
+        if old == new:
+            return
+        if old is not None:
+            self.handle.deleteTimer(_timer(old + self.expiry_us))
+        if new is not None:
+            self.handle.registerTimer(_timer(new + self.expiry_us))
 
     def close(self) -> None:
         pass
