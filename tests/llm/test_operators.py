@@ -572,3 +572,11 @@ def test_bpe_is_the_librarys(spark):
         assert got[i].n_tokens == len(e.ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(own.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_keeps_one_code_of_a_word():
+    """A word of small letters is its own run: it is merged once, kept once, and looked up among its left symbol's pairs."""
+    codec = bpe.Codec(bpe.public_file("word_bpe_49k.json"))
+    assert codec.encode("ofononhaon") == codec.encode("Ofononhaon") == codec.encode("ofononhaon,")[:-1]
+    assert sorted(codec.codes.new) == [",", "Ofononhaon", "ofononhaon", "ofononhaon,"]
+    assert len(codec.ranks) > max(codec.vocab.values()) and all(type(r) is dict for r in codec.ranks)

@@ -9,6 +9,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,15 @@ def byte_letters() -> list[str]:
     return out
 
 
-def merge(symbols: list[int], ranks: dict[int, int], made: list[int], base: int) -> list[int]:
+def merge(symbols: list[int], ranks: list[dict[int, int]], made: list[int]) -> list[int]:
     """The symbols after all merges, lowest rank first and leftmost among equals.
 
-    ranks has a * base + b of each pair that merges; made, by rank, the symbol that it becomes. A priority queue holds
+    ranks has, by left symbol, the rank of each right one it merges with; made, by rank, what they become. A priority queue holds
     rank and left position of adjacent pairs of a doubly linked list; an entry is stale when its left symbol is gone or
     its pair has another rank by now.
     """
     n = len(symbols)
-    get = ranks.get
-    queue = [r << 32 | i for i in range(n - 1) if (r := get(symbols[i] * base + symbols[i + 1])) is not None]
+    queue = [r << 32 | i for i, (a, b) in enumerate(pairwise(symbols)) if (r := ranks[a].get(b)) is not None]
     if not queue:
         return symbols
     heapq.heapify(queue)
@@ -66,17 +66,17 @@ def merge(symbols: list[int], ranks: dict[int, int], made: list[int], base: int)
         i = entry & 0xFFFFFFFF
         j = after[i]
         a = symbols[i]
-        if a < 0 or j < 0 or get(a * base + symbols[j]) != entry >> 32:
+        if a < 0 or j < 0 or ranks[a].get(symbols[j]) != entry >> 32:
             continue
         a = symbols[i] = made[entry >> 32]
         symbols[j] = -1
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if (r := get(a * base + symbols[k])) is not None:
+            if (r := ranks[a].get(symbols[k])) is not None:
                 push(queue, r << 32 | i)
         h = before[i]
-        if h >= 0 and (r := get(symbols[h] * base + a)) is not None:
+        if h >= 0 and (r := ranks[symbols[h]].get(a)) is not None:
             push(queue, r << 32 | h)
     return [s for s in symbols if s >= 0]
 
@@ -117,8 +117,12 @@ class Codec:
         self.suffix = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.base = max(self.vocab.values()) + 1
-        self.ranks = {self.vocab[a] * self.base + self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        none: dict[int, int] = {}
+        self.ranks = [none] * (max(self.vocab.values()) + 1)
+        for i, (a, b) in enumerate(merges):
+            if self.ranks[self.vocab[a]] is none:
+                self.ranks[self.vocab[a]] = {}
+            self.ranks[self.vocab[a]][self.vocab[b]] = i
         self.made = [self.vocab[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
@@ -126,42 +130,41 @@ class Codec:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.inner = [self.vocab.get(x) for x in byte_letters()]
         self.last = [self.vocab.get(x + self.suffix) for x in byte_letters()]
-        self.words = Recent(CACHE)
-        self.runs = Recent(CACHE)
+        self.codes = Recent(2 * CACHE)  # of runs and of the words in them: a run of small letters is its own word
 
-    def word(self, word: str) -> list[int]:
-        if (found := self.words.new.get(word)) is None:
-            if (found := self.words.old.get(word)) is None:
+    def word(self, word: str) -> bytes:
+        if (found := self.codes.new.get(word)) is None:
+            if (found := self.codes.old.get(word)) is None:
                 code = word.encode("utf-8")
                 symbols = [*map(self.inner.__getitem__, code[:-1]), self.last[code[-1]]]
-                found = merge([x for x in symbols if x is not None], self.ranks, self.made, self.base)
-            self.words.add(word, found)
+                found = array("I", merge([x for x in symbols if x is not None], self.ranks, self.made)).tobytes()
+            self.codes.add(word, found)
         return found
 
     def run(self, text: str) -> bytes:
         """Little-endian ids of text without white space."""
-        if (found := self.runs.old.get(text)) is not None:
-            return self.runs.add(text, found)
-        ids: list[int] = []
+        if (found := self.codes.old.get(text)) is not None:
+            return self.codes.add(text, found)
+        if text.isascii() and text.isalpha():
+            low = text.lower()
+            return self.word(low) if low == text else self.codes.add(text, self.word(low))
+        out = []
         for part in self.at_special.split(text) if "<|" in text else (text,):
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
                 continue
             # each capital sigma becomes the plain small one, at a word's end too
             part = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")).lower()
-            if part.isascii() and part.isalpha():
-                ids += self.word(part)
-            else:
-                for word in self.pattern.findall(part):
-                    ids += self.word(word)
-        return self.runs.add(text, array("I", ids).tobytes())
+            out += map(self.word, self.pattern.findall(part))
+        return self.codes.add(text, b"".join(out))
 
     def encode_bytes(self, text: str) -> bytes:
         runs = text.split() if not _odd.search(text) else [r for r in _space_run.split(text) if r]
-        out = []
+        new, out = self.codes.new, []
         for r in runs:
-            if (found := self.runs.new.get(r)) is None:
+            if (found := new.get(r)) is None:
                 found = self.run(r)
+                new = self.codes.new
             out.append(found)
         return b"".join(out)
 
