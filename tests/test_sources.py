@@ -131,3 +131,16 @@ def test_changes_skip_row_groups_by_bloom_filter(spark, tmp_path):
     assert sorted(map(tuple, found.select("seq", "path").collect())) == sorted(map(tuple, changes.where(changes.path == path).collect()))
     assert rows_read(found) < n / 3
     assert X.changes_of(spark, table, path, since=12345).count() == changes.where((changes.path == path) & (changes.seq > 12345)).count()
+
+
+def test_hunk_marks_are_read_by_one_match(spark):
+    """Numbers and headings of odd marks, and no pattern for each number of a mark."""
+    marks = ["@@ -1 +2 @@", "@@ -3,0 +4,2 @@ fn a() { $1 }", "@@ x @@ -5,2 +6,0 @@\tend ", "@@ -7 +8,3 @@ tail\r"]
+    diff = "diff --git a/x.rs b/x.rs\n" + "\n".join(f"{m}\n+++\n-a\n--- b\n+c" for m in marks)
+    rows = spark.createDataFrame([("c", diff)], "commit_id string, diff string")
+    found = H.file_changes(rows)
+    r = found.first()
+    assert [tuple(h) for h in r.hunks] == [(2, 2, ""), (4, 5, "fn a() { $1 }"), (6, 6, "end"), (8, 10, "tail")]
+    assert [tuple(h) for h in r.deleted] == [(1, 1), (5, 6), (7, 7)] and r.churn == 8
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("@@ -(") <= 2

@@ -25,6 +25,7 @@ COMMON = (
 )
 
 _HUNK = r"@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@\s?(.*)$"
+_MARK = rf"^[\s\S]*?{_HUNK}[\s\S]*$"
 _DEFINED = rf"(?<![A-Za-z0-9_])(?:{'|'.join(DEFINING)})\s+([A-Za-z_][A-Za-z0-9_]{{2,}})"
 _NAMED = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{3,}"
 
@@ -77,12 +78,13 @@ def file_changes(commits: DataFrame) -> DataFrame:
         "commit_id",
         "place",
         "path",
-        F.filter("lines", lambda x: F.startswith(x, F.lit("@@")) & x.rlike(_HUNK)).alias("marks"),
-        F.transform(F.filter("lines", lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)")), lambda x: F.substr(x, F.lit(2))).alias("changed"),
+        # a mark's numbers and heading are read by one match
+        F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit("@@")) & x.rlike(_HUNK)), lambda x: F.split(F.regexp_replace(x, _MARK, f"$1{FIELD}$2{FIELD}$3{FIELD}$4{FIELD}$5"), FIELD, 5)).alias("marks"),
+        F.transform(F.filter("lines", lambda x: (F.startswith(x, F.lit("+")) | F.startswith(x, F.lit("-"))) & ~F.startswith(x, F.lit("+++")) & ~F.startswith(x, F.lit("---"))), lambda x: F.substr(x, F.lit(2))).alias("changed"),
     )
-    part = lambda x, k: F.regexp_extract(x, _HUNK, k).try_cast("bigint")
+    part = lambda x, k: F.get(x, F.lit(k - 1)).try_cast("bigint")
     count = lambda x, k: F.coalesce(part(x, k), F.lit(1))
-    put = lambda x: F.struct(part(x, 3).alias("start"), (part(x, 3) + F.greatest(count(x, 4), F.lit(1)) - 1).alias("end"), F.trim(F.regexp_extract(x, _HUNK, 5)).alias("heading"))
+    put = lambda x: F.struct(part(x, 3).alias("start"), (part(x, 3) + F.greatest(count(x, 4), F.lit(1)) - 1).alias("end"), F.trim(F.get(x, F.lit(4))).alias("heading"))
     gone = lambda x: F.struct(part(x, 1).alias("start"), (part(x, 1) + count(x, 2) - 1).alias("end"))
     return lines.select(
         "commit_id",
