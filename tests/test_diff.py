@@ -71,3 +71,13 @@ def test_columns(spark):
     assert all(r["made"] == r["new"] for r in found)
     assert [tuple(r["s"]) for r in found] == [(1, 1), (1, 0), (0, 0), (0, 0)]
     assert found[0]["patch"] == "@@ -1,3 +1,3 @@\n a\n-b\n c\n+d"
+
+
+def test_a_batch_is_compared_by_steps():
+    """However long a batch is, only some of its rows are Python objects at once."""
+    import pyarrow as pa
+
+    from weftline.operators import diff
+
+    steps = list(diff._steps(iter([pa.record_batch({"i": list(range(1000))}), pa.record_batch({"i": pa.array([], pa.int64())})])))
+    assert max(s.num_rows for s in steps) <= 64 and [i for s in steps for i in s["i"].to_pylist()] == list(range(1000))
