@@ -53,3 +53,14 @@ def test_cohesion_of_saturated_pairs(spark):
     assert found == want
     weights = tokens.selectExpr("sid", "id", "explode(identifiers) AS token").join(idf, ["sid", "token"])
     assert 0 < session.saturated(table, weights).count() < len(pairs)
+
+
+def test_tasks_of_series_follow_the_pairs(spark, monkeypatch):
+    """A task joins a bounded number of pairs with their series, however many pairs there are."""
+    from weftline.operators import mining
+
+    monkeypatch.setattr(mining, "PAIRS_A_TASK", 10)
+    churn = spark.createDataFrame([(f, w, float((f * w) % 7)) for f in range(20) for w in range(8)], "file long, week long, churn double")
+    pairs = spark.createDataFrame([(a, b) for a in range(20) for b in range(a + 1, 20)], "a long, b long")
+    found = mining.churn_correlation(churn, pairs, least=0.0)
+    assert found.rdd.getNumPartitions() >= 19 and found.count() == 190

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..plans.stages import held
 
 
 def usable_files(files: DataFrame, *, most: int = 40, sweep_values: int = 8, sweep_spread: float = 0.2) -> DataFrame:
@@ -198,6 +199,8 @@ def _strongest(x: np.ndarray, y: np.ndarray, lag: int, overlap: int) -> tuple[np
 
 #: Pairs whose series one step of a task holds as arrays.
 AT_ONCE = 500
+#: Pairs whose series one task sorts for a join.
+PAIRS_A_TASK = 20_000
 
 
 def churn_correlation(churn: DataFrame, candidates: DataFrame, *, weeks: int = 6, least: float = 0.6, lag: int = 4, overlap: int = 4) -> DataFrame:
@@ -234,9 +237,10 @@ def churn_correlation(churn: DataFrame, candidates: DataFrame, *, weeks: int = 6
                     names=["a", "b", "lag", "method", "r"],
                 )
 
-    pairs_ = candidates.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    # few bytes, much work: partitions that small would be put together
-    pairs_ = pairs_.repartition(int(churn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a pair carries two series, so tasks follow the number of pairs; few pairs are much work too and stay apart
+    asked = held(candidates.select("a", "b"))
+    parts = max(int(churn.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // PAIRS_A_TASK))
+    pairs_ = asked.repartition(parts, "a").join(side("a"), "a").repartition(parts, "b").join(side("b"), "b").repartition(parts)
     return pairs_.select("a", "b", "week_a", "churn_a", "week_b", "churn_b").mapInArrow(compared, kinds)
 
 
