@@ -8,11 +8,11 @@ text. Lines are compared by 64-bit hashes; texts never meet anchors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges, text
-from ..plans.stages import stage
+from ..plans.stages import spread, stage
 from . import diff, drift
 
 LINES = "array<bigint>"
@@ -37,25 +37,24 @@ def as_of(asked: DataFrame, versions: DataFrame) -> DataFrame:
     return found.where("__asks = 1").drop("__asks", "__own")
 
 
-def next_after(asked: DataFrame, events: DataFrame, *by: str) -> DataFrame:
-    """asked (by, since, ...) with `next`, the least seq of events (by, seq) beyond since; merged as in as_of, newest first."""
-    told = events.select(*by, F.col("seq").alias("since"), F.col("seq").cast("long").alias("__own"))
-    rows = asked.withColumn("__told", F.lit(0)).unionByName(told.withColumn("__told", F.lit(1)), allowMissingColumns=True)
-    # a question comes before an event of its own seq, so that what was last met is the next event
-    beyond = Window.partitionBy(*by).orderBy(F.desc("since"), "__told").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("next", F.last("__own", ignorenulls=True).over(beyond))
-    return found.where("__told = 0").drop("__told", "__own")
+def _places(contents: DataFrame) -> int:
+    """The number of lines of all versions."""
+    return contents.agg(F.coalesce(F.sum(F.greatest(F.size("lines"), F.lit(0))), F.lit(0))).head()[0]
 
 
-def line_changes(contents: DataFrame) -> DataFrame:
-    """path, line, seq: the places (1-based) whose line a version changed, made or took away, compared with the version before."""
+def line_changes(contents: DataFrame, rows: int) -> DataFrame:
+    """path, line, seq: the places (1-based) whose line a version changed, made or took away, compared with the version before.
+
+    rows: the number of lines of all versions. A place that a version made may be told twice.
+    """
     sizes = contents.select("path", "seq", F.coalesce(F.size("lines"), F.lit(0)).alias("n"))
     sizes = sizes.withColumn("n", F.greatest("n", F.lit(0)))
     older = sizes.withColumn("was", F.lag("n").over(Window.partitionBy("path").orderBy("seq"))).where("was <> n")
     ends = older.select("path", F.explode(F.sequence((F.least("n", "was") + 1).cast("long"), F.greatest("n", "was").cast("long"))).alias("line"), "seq")
     each = contents.select("path", "seq", F.posexplode("lines").alias("line", "hash")).withColumn("line", (F.col("line") + 1).cast("long"))
+    each = spread(each, rows, "path", "line")
     before = F.lag("hash").over(Window.partitionBy("path", "line").orderBy("seq"))
-    return each.withColumn("was", before).where("was <> hash").select("path", "line", "seq").union(ends).distinct()
+    return each.withColumn("was", before).where("was <> hash").select("path", "line", "seq").union(ends)
 
 
 def locus(anchors: DataFrame, contents: DataFrame, changes: DataFrame) -> DataFrame:
@@ -64,11 +63,12 @@ def locus(anchors: DataFrame, contents: DataFrame, changes: DataFrame) -> DataFr
 
     contents: path, seq, lines. An anchor asks for each of its lines when that place next changes.
     """
+    n = _places(contents)
     some = anchors.where("NOT whole").select("anchor_id", "path", F.col("seq").alias("since"), "start", "end")
     lines = some.where("start <= end").select("anchor_id", "path", "since", F.explode(F.sequence("start", "end")).alias("line"))
-    changed = next_after(lines, line_changes(contents), "path", "line").groupBy("anchor_id").agg(F.min("next").alias("changed"))
+    changed = drift.next_after(lines, line_changes(contents, n), "path", "line", rows=n).groupBy("anchor_id").agg(F.min("next").alias("changed"))
     moves = changes.where("op IN ('deleted', 'renamed')").select(F.col("from_path").alias("path"), "seq")
-    moved = next_after(some.select("anchor_id", "path", "since"), moves, "path").select("anchor_id", F.col("next").alias("moved"))
+    moved = drift.next_after(some.select("anchor_id", "path", "since"), moves, "path").select("anchor_id", F.col("next").alias("moved"))
     both = anchors.select("anchor_id").join(changed, "anchor_id", "left").join(moved, "anchor_id", "left")
     first = F.least("changed", "moved")
     kind = F.when(F.col("moved") == first, "orphaned").when(F.col("changed") == first, "changed")
@@ -91,6 +91,11 @@ def hunked(changes: DataFrame, contents: DataFrame) -> DataFrame:
     return stage(found.select("seq", "op", "from_path", "to_path", "hunks").union(rest))
 
 
+def _place(path: str) -> Column:
+    """A path to join on; an anchor without one has a key of its own, which no path equals, so those don't meet in one task."""
+    return F.coalesce(F.col(path), F.concat(F.lit("\0"), F.col("anchor_id").cast("string")))
+
+
 def _through(rows: DataFrame, layer: DataFrame, head: DataFrame, of: str) -> DataFrame:
     """rows with path_, lines_ and range_ of a layer, from those of the layer below (path, lines, s, e).
 
@@ -100,7 +105,7 @@ def _through(rows: DataFrame, layer: DataFrame, head: DataFrame, of: str) -> Dat
     layer = layer.join(rows.select(F.col("path_").alias("path")).distinct(), "path", "left_semi")
     changed = stage(diff.with_hunks(layer.join(head.select("path", F.col("lines").alias("old")), "path", "left").withColumnRenamed("lines", "new")))
     met = changed.select(F.col("path").alias("b_path"), F.lit(True).alias("hit"), "to_path", F.col("new").alias("to_lines"), "hunks")
-    out = rows.join(met, F.col("path_") == F.col("b_path"), "left").drop("b_path")
+    out = rows.join(met, _place("path_") == F.col("b_path"), "left").drop("b_path")
     hunks = F.coalesce("hunks", F.array().cast(drift.HUNKS))
     out = out.withColumn("hunks", hunks).withColumn("m", F.expr(ranges.moved_by("s_", "e_", "hunks")))
     moved = F.coalesce("hit", F.lit(False))
@@ -142,7 +147,7 @@ def layered(rows: DataFrame, columns: list[str], head: DataFrame, layers: DataFr
     now = under(worktree, indexed)
 
     rows = rows.withColumn("path_", F.col("head_path")).withColumnRenamed("head_start", "s_").withColumnRenamed("head_end", "e_")
-    rows = rows.join(head.select(F.col("path").alias("path_"), F.col("lines").alias("lines_")), "path_", "left")
+    rows = rows.join(head.select(F.col("path").alias("b_path"), F.col("lines").alias("lines_")), _place("path_") == F.col("b_path"), "left").drop("b_path")
     rows = rows.withColumn("path_", F.when(F.col("lines_").isNotNull(), F.col("path_")))
     at_head = F.when(F.col("whole"), F.col("lines_")).otherwise(text.line_slice(F.col("lines_"), F.col("s_"), F.col("e_")))
     rows = rows.withColumn("in_head", at_head)

@@ -30,6 +30,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that one task sorts or counts at a time.
+ROWS_A_TASK = 250_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by hash of `by` to tasks that get ROWS_A_TASK of its `rows` rows each, if keys are many.
+
+    Spark joins small shuffle partitions by their compressed bytes, which say little of what rows that compress well take
+    in memory; partitions of a given number it leaves alone.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *by)
+
+
 def folder(df: DataFrame, name: str) -> str:
     """A new folder's path beside the checkpoints."""
     return f"{_shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -66,7 +66,8 @@ def content_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layers(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index (edited copies of English files) and the working tree (German files gone)."""
-    last = versions.groupBy("path").agg(F.max_by("text", "seq").alias("text"))
+    newest = versions.where("path LIKE 'en/%' OR path LIKE 'de/%'").groupBy("path").agg(F.max("seq").alias("seq"))
+    last = versions.join(F.broadcast(newest), ["path", "seq"])  # a row for each language and source
     index = last.where("path LIKE 'en/%'").select(F.lit("index").alias("layer"), "path", F.col("path").alias("to_path"), F.concat(F.lit("a new first line\n"), F.col("text")).alias("text"))
     tree = last.where("path LIKE 'de/%'").select(F.lit("worktree").alias("layer"), "path", F.lit(None).cast("string").alias("to_path"), F.lit(None).cast("string").alias("text"))
     there = "text IS NOT NULL OR to_path IS NULL"
