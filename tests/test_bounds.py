@@ -56,3 +56,22 @@ def test_anchors_without_a_path_are_apart(spark):
     rows = spark.createDataFrame([(i, None if i < 50 else "a") for i in range(60)], "anchor_id long, path string")
     keys = Counter(x[0] for x in rows.select(content._place("path")).collect())
     assert keys.pop("a") == 10 and set(keys.values()) == {1} and len(keys) == 50
+
+
+def test_lagged_pairs_send_files_once(spark, monkeypatch):
+    """Equal to all pairs of commits over several blocks, and pairs are counted where their arrays are, without a shuffle of pairs."""
+    import datetime
+
+    from weftline.operators import mining
+
+    monkeypatch.setattr(mining, "POSITIONS_A_BLOCK", 4, raising=False)
+    r = random.Random(5)
+    first = datetime.datetime(2020, 1, 1)
+    commits = [(c, first + datetime.timedelta(hours=r.randrange(1500))) for c in range(60)]
+    files = [(c, f) for c in range(55) for f in r.sample(range(8), r.randrange(1, 4))]
+    found = mining.lagged_pairs(spark.createDataFrame(files, "commit_id long, file long"), spark.createDataFrame(commits, "commit_id long, ts timestamp"))
+    order = sorted((t, c) for c, t in commits if c < 55)
+    of = lambda c: [f for k, f in files if k == c]
+    want = Counter((a, b) for i, (t, c) in enumerate(order) for u, d in order[i + 1 : i + 6] if (u - t).total_seconds() <= 7 * 86400 for a in of(c) for b in of(d) if a != b)
+    assert {(x.earlier, x.later): x.n for x in found.collect()} == want
+    assert "Join" not in plan(found).split("Generate")[0]

@@ -106,20 +106,32 @@ def rules(sets: DataFrame, total: int | Column, *, lift: float = 1.5) -> DataFra
     return out.where(F.col("lift") >= lift).select("lhs", "rhs", "n", "confidence", "lift", "leverage")
 
 
+#: Positions of the history that one window goes over.
+POSITIONS_A_BLOCK = 1024
+
+
 def lagged_pairs(files: DataFrame, commits: DataFrame, *, window: int = 5, days: int = 7) -> DataFrame:
     """earlier, later, n: files of commits at most `window` positions and `days` days apart, the older one's first.
 
     Positions come from ranks within days, whose counts are few, added up over the days before: no task sorts all
-    commits. The pairs of commits join on blocks of `window` positions.
+    commits. A window over blocks of positions, each with the first `window` of the next, gives a commit the files of those
+    that follow. These travel as one array a file to the task of the earlier one, and pairs are made and counted there.
     """
-    placed = positions(commits.join(files.select("commit_id").distinct(), "commit_id", "left_semi"))
-    block = F.floor(F.col("position") / window)
-    left = placed.select(F.col("commit_id").alias("c1"), F.col("ts").alias("t1"), F.col("position").alias("p1"), F.explode(F.array(block, block + 1)).alias("block"))
-    right = placed.select(F.col("commit_id").alias("c2"), F.col("ts").alias("t2"), F.col("position").alias("p2"), block.alias("block"))
-    near = left.join(right, "block").where((F.col("p2") > F.col("p1")) & (F.col("p2") <= F.col("p1") + window) & (F.unix_timestamp("t2") - F.unix_timestamp("t1") <= days * 86400))
-    first = files.select(F.col("commit_id").alias("c1"), F.col("file").alias("earlier"))
-    second = files.select(F.col("commit_id").alias("c2"), F.col("file").alias("later"))
-    return near.join(first, "c1").join(second, "c2").where("earlier <> later").groupBy("earlier", "later").agg(F.count("*").alias("n"))
+    held_files = files.groupBy("commit_id").agg(F.collect_list("file").alias("files"))
+    placed = positions(commits.select("commit_id", "ts").join(held_files, "commit_id")).select("position", F.unix_timestamp("ts").alias("at"), "files")
+    block = F.floor(F.col("position") / POSITIONS_A_BLOCK)
+    before = F.floor((F.col("position") - window) / POSITIONS_A_BLOCK)
+    dealt = placed.withColumn("block", F.explode(F.sequence(F.greatest(before, F.lit(0)), block)))
+    behind = Window.partitionBy("block").orderBy("position").rowsBetween(1, window)
+    near = dealt.withColumn("next", F.collect_list(F.struct("at", "files")).over(behind)).where(F.col("block") == block)
+    soon = F.filter("next", lambda x: x["at"] - F.col("at") <= days * 86400)
+    sent = near.select(F.explode("files").alias("earlier"), F.flatten(F.transform(soon, lambda x: x["files"])).alias("later")).where(F.size("later") > 0)
+    return _counted_beside(sent, "earlier", "later").where("earlier <> later").groupBy("earlier", "later").agg(F.count("*").alias("n"))
+
+
+def _counted_beside(sent: DataFrame, key: str, others: str) -> DataFrame:
+    """A row for each element of the array `others`, all of a key in one task, so that counting (key, other) sends nothing more."""
+    return sent.repartition(key).withColumn(others, F.explode(others))
 
 
 def positions(commits: DataFrame) -> DataFrame:
