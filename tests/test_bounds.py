@@ -75,3 +75,21 @@ def test_lagged_pairs_send_files_once(spark, monkeypatch):
     want = Counter((a, b) for i, (t, c) in enumerate(order) for u, d in order[i + 1 : i + 6] if (u - t).total_seconds() <= 7 * 86400 for a in of(c) for b in of(d) if a != b)
     assert {(x.earlier, x.later): x.n for x in found.collect()} == want
     assert "Join" not in plan(found).split("Generate")[0]
+
+
+def test_reviewers_of_files_go_in_arrays(spark, monkeypatch):
+    """Equal to the plain sets with arrays of a few files, and no join makes the pairs that are counted."""
+    from weftline.operators import mining
+
+    monkeypatch.setattr(mining, "FILES_AN_ARRAY", 3, raising=False)
+    r = random.Random(6)
+    rows = [(f, p) for f in range(25) for p in {0, *r.sample(range(12), r.randrange(0, 6))}] + [(3, None), (None, 2)]
+    found = mining.reviewer_overlap(spark.createDataFrame(rows, "file long, reviewer long"), jaccard=0.3)
+    sets = {f: {p for k, p in rows if k == f} for f in range(25)}
+    want = {}
+    for a, b in itertools.combinations(range(25), 2):
+        both = len((sets[a] & sets[b]) - {None})
+        if both >= 2 and both / (len(sets[a]) + len(sets[b]) - both) >= 0.3:
+            want[a, b] = (both, round(both / (len(sets[a]) + len(sets[b]) - both), 9))
+    assert want and {(x.a, x.b): (x.shared, round(x.jaccard, 9)) for x in found.collect()} == want
+    assert "Generate explode" in plan(found)

@@ -364,13 +364,31 @@ def explain_pair(files: DataFrame, commits: DataFrame, a, b, *, limit: int = 50)
     return commits.join(touch(a), "commit_id", "left_semi").join(touch(b), "commit_id", "left_semi").orderBy(F.desc("ts"), F.desc("commit_id")).limit(limit)
 
 
+#: Files of a reviewer that one array holds.
+FILES_AN_ARRAY = 1000
+
+
 def reviewer_overlap(reviews: DataFrame, *, jaccard: float = 0.5, shared: int = 2) -> DataFrame:
-    """a, b, shared, jaccard of files with much the same reviewers; reviews: file, reviewer."""
+    """a, b, shared, jaccard of files with much the same reviewers; reviews: file, reviewer.
+
+    A reviewer's files go in order of their numbers of reviewers. Each sends those behind it, arrays of FILES_AN_ARRAY at
+    most, to its own task, where pairs are made and counted; so a file that many review is the rarer one of few pairs.
+    """
     once = reviews.select("file", "reviewer").distinct()
     n = once.groupBy("file").agg(F.count("*").alias("n"))
-    both = once.select(F.col("file").alias("a"), "reviewer").join(once.select(F.col("file").alias("b"), "reviewer"), "reviewer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
-    out = both.join(n.select(F.col("file").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("file").alias("b"), F.col("n").alias("n_b")), "b")
-    return out.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("jaccard") >= jaccard).select("a", "b", "shared", "jaccard")
+    placed = once.where("reviewer IS NOT NULL AND file IS NOT NULL").join(n, "file")
+    place = F.row_number().over(Window.partitionBy("reviewer").orderBy("n", "file")) - 1
+    placed = placed.withColumn("place", place).withColumn("part", F.floor(F.col("place") / FILES_AN_ARRAY))
+    parts = placed.groupBy("reviewer", F.col("part").alias("other_part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "file"))), lambda x: x["file"]).alias("others"))
+    met = placed.select("reviewer", "part", "place", F.col("file").alias("rare"), F.col("n").alias("n_rare")).join(parts, "reviewer").where("other_part >= part")
+    behind = F.when(F.col("part") == F.col("other_part"), F.slice("others", (F.col("place") % FILES_AN_ARRAY + 2).cast("int"), FILES_AN_ARRAY)).otherwise(F.col("others"))
+    sent = met.select("rare", "n_rare", behind.alias("other")).where(F.size("other") > 0)
+    both = _counted_beside(sent, "rare", "other").groupBy("rare", "other").agg(F.first("n_rare").alias("n_rare"), F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    # the other has as many reviewers at least, so what is below this bound can't reach the index
+    both = both.where(F.col("shared") * (1 + jaccard) >= 2 * jaccard * F.col("n_rare") - 1e-6)
+    out = both.join(n.select(F.col("file").alias("other"), F.col("n").alias("n_other")), "other")
+    out = out.withColumn("jaccard", F.col("shared") / (F.col("n_rare") + F.col("n_other") - F.col("shared"))).where(F.col("jaccard") >= jaccard)
+    return out.select(F.least("rare", "other").alias("a"), F.greatest("rare", "other").alias("b"), "shared", "jaccard")
 
 
 def fix_words(commits: DataFrame, *, first: int = 200, top: int = 8, more_than: int = 20) -> DataFrame:
