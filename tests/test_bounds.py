@@ -93,3 +93,63 @@ def test_reviewers_of_files_go_in_arrays(spark, monkeypatch):
             want[a, b] = (both, round(both / (len(sets[a]) + len(sets[b]) - both), 9))
     assert want and {(x.a, x.b): (x.shared, round(x.jaccard, 9)) for x in found.collect()} == want
     assert "Generate explode" in plan(found)
+
+
+def asked_of(anchors, targets):
+    """Targets' lines one by one: anchors (set, id, path, start, end, whole), targets (id, path, start, end)."""
+    meets = lambda a, t: a[0] is not None and a[2] == t[1] and (t[2] is None or a[5] or a[3] <= t[3] and a[4] >= t[2])
+    sets = {(t[0], a[0]) for t in targets for a in anchors if meets(a, t)}
+    line = lambda a: f"{a[0]}\t{a[2]}\t{'0-0' if a[5] else f'{a[3]}-{a[4]}'}"
+    lines = Counter()
+    for t in targets:
+        lines.update([(t[0], line(a)) for a in anchors if (t[0], a[0]) in sets] or [(t[0], "no sets")])
+    return sets, lines
+
+
+def test_lines_of_a_target_are_made_where_they_stay(spark, monkeypatch):
+    """Equal to one target after the other; nothing shuffles the lines, and those of one set are made by many tasks."""
+    from weftline.operators import catalog
+
+    monkeypatch.setattr(catalog, "TARGETS_A_PART", 3, raising=False)
+    monkeypatch.setattr(catalog, "LINES_A_PART", 4, raising=False)
+    r = random.Random(8)
+    anchors, targets = [], []
+    for i in range(90):
+        s, whole = r.randrange(1, 30), i % 7 == 0
+        anchors.append((r.choice(["big"] * 6 + ["a", "b", None]), i, r.choice("xyz"), None if whole else s, None if whole else s + r.randrange(4), whole))
+    anchors += anchors[:20] + [("alone", 200, "w", None, None, True), (None, 201, "v", 1, 2, False)]
+    for i in range(80):
+        s = None if i % 5 == 0 else r.randrange(1, 30)
+        targets.append((i, r.choice(["x", "y", "z", "u", "v", "w", None]), s, None if s is None else s + 3))
+    targets += targets[:10]
+    a = spark.createDataFrame(anchors, "set_name string, anchor_id long, path string, start long, end long, whole boolean")
+    t = spark.createDataFrame(targets, "query_id long, path string, start long, end long")
+    sets, lines = asked_of(anchors, targets)
+    assert sets == {tuple(x) for x in catalog.matches(a.where("set_name IS NOT NULL"), t).collect()}
+    found = catalog.point_queries(a, t)
+    assert Counter(tuple(x) for x in found.collect()) == lines and lines[0, "no sets"] + lines[1, "no sets"] < len(lines)
+    assert plan(found).startswith("Generate explode")
+    tasks = Counter(x[0] for x in found.where("line LIKE 'big%'").selectExpr("spark_partition_id()").collect())
+    assert len(tasks) > 8 and max(tasks.values()) < sum(tasks.values()) / 3
+
+
+def test_a_range_is_compared_once(spark):
+    """Targets that ask for the same and anchors of a set that hold the same meet once."""
+    from weftline.operators import catalog
+
+    a = spark.range(300).selectExpr("'s' AS set_name", "id AS anchor_id", "'x' AS path", "1L AS start", "5L AS end", "false AS whole")
+    t = spark.range(300).selectExpr("id AS query_id", "'x' AS path", "4L AS start", "9L AS end")
+    found = catalog.matches(a, t)
+    assert found.count() == 300
+    found.collect()
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            todo.append(node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan())
+            continue
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert made and sum(made) <= 301

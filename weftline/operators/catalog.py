@@ -38,13 +38,39 @@ def matches(anchors: DataFrame, targets: DataFrame) -> DataFrame:
     """query_id, set_name of each set with an anchor that a target (query_id, path, start, end) meets."""
     met = ranges.overlaps(F.col("start"), F.col("end"), F.col("whole"), F.col("q_start"), F.col("q_end"))
     asked = targets.select("query_id", "path", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
-    return anchors.join(asked, "path").where(met).select("query_id", "set_name").distinct()
+    # a range is compared once with what a set has at its path, however many targets ask for it and anchors have it
+    own = anchors.select("set_name", "path", "start", "end", "whole").distinct()
+    found = own.join(asked.select("path", "q_start", "q_end").distinct(), "path").where(met).select("set_name", F.col("path").alias("p"), F.col("q_start").alias("s"), F.col("q_end").alias("e")).distinct()
+    same = (F.col("path") == F.col("p")) & F.col("q_start").eqNullSafe(F.col("s")) & F.col("q_end").eqNullSafe(F.col("e"))
+    return asked.join(found, same).select("query_id", "set_name").distinct()
+
+
+#: A set's targets and its lines are dealt to parts of about so many each. Every part of the one meets every part of the other.
+TARGETS_A_PART, LINES_A_PART = 4096, 4096
 
 
 def point_queries(anchors: DataFrame, targets: DataFrame) -> DataFrame:
-    """query_id, line of every anchor of every set that a target meets, `no sets` for a target without any."""
-    found = matches(anchors, targets).join(anchors, "set_name").select("query_id", porcelain().alias("line"))
-    return targets.select("query_id").join(found, "query_id", "left").fillna("no sets", ["line"])
+    """query_id, line of every anchor of every set that a target meets, `no sets` for a target without any.
+
+    The rows are as many as a set's targets times its lines. They come last, from targets that meet a part's lines as one
+    array, so none of them is shuffled and no task holds a set.
+    """
+    found = matches(anchors, targets).where("set_name IS NOT NULL")
+    sizes = anchors.groupBy("set_name").agg(F.count("*").alias("n")).join(found.groupBy("set_name").agg(F.count("*").alias("q")), "set_name")
+    sizes = sizes.select("set_name", F.ceil(F.col("q") / TARGETS_A_PART).alias("q_parts"), F.ceil(F.col("n") / LINES_A_PART).alias("n_parts"))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    # targets without a set have no parts, and are dealt to many
+    asked = targets.select("query_id").join(found, "query_id", "left").join(sizes, "set_name", "left")
+    asked = asked.select("query_id", "set_name", F.pmod(F.xxhash64("query_id"), F.coalesce("q_parts", F.lit(TARGETS_A_PART))).alias("q_part"), every(F.coalesce("n_parts", F.lit(1))).alias("n_part"))
+    lines = anchors.select("set_name", porcelain().alias("line"), F.xxhash64(*anchors.columns).alias("h")).join(sizes, "set_name")
+    lines = lines.groupBy("set_name", "q_parts", F.pmod("h", "n_parts").alias("n_part")).agg(F.collect_list("line").alias("lines"))
+    lines = lines.select("set_name", "n_part", "lines", every(F.col("q_parts")).alias("q_part"))
+    by, spark = ["set_name", "q_part", "n_part"], targets.sparkSession
+    # Spark keeps a number of tasks that is given; by the bytes that go in, which say little of the rows that come out, it would take few
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # a hash may leave a part without lines
+    met = asked.repartition(tasks, *by).join(lines.repartition(tasks, *by), by, "left").where("set_name IS NULL OR lines IS NOT NULL")
+    return met.select("query_id", F.explode(F.coalesce("lines", F.array(F.lit("no sets")))).alias("line"))
 
 
 def porcelain() -> Column:
