@@ -71,3 +71,19 @@ def test_commits_whose_churn_is_unknown(spark):
     rows = [(c, f, None) for c, n in ((1, 4), (2, 3), (3, 5)) for f in range(n)] + [(3, 9, 2.0), (3, 10, 8.0)]
     files = spark.createDataFrame(rows, "commit_id long, file long, churn double")
     assert {r["commit_id"] for r in mining.usable_files(files, sweep_values=4).collect()} == {2, 3}
+
+
+def test_files_without_a_key_are_a_set_as_in_sql(spark, tmp_path):
+    """frequent_itemsets and usable_commits equal their SQL on lines without quantity or supplier."""
+    import duckdb
+
+    from weftline import queries as core
+
+    lines = [(c, s, None if c == 1 else float(10 * s + c)) for c in range(1, 6) for s in (1, 2, 3, 4)] + [(c, None, 1.0) for c in range(2, 6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("usable_commits", "frequent_itemsets"):
+        told = duck.sql(core.ORACLES[name])
+        ours = core.QUERIES[name](spark, str(tmp_path)).select(*told.columns).collect()
+        assert sorted(map(tuple, ours), key=repr) == sorted(told.fetchall(), key=repr)

@@ -67,7 +67,8 @@ _SETS = """, one AS (SELECT file, count(*) AS n FROM usable GROUP BY file HAVING
 @query(_with("commit_files") + _SETS + "SELECT items, size, n FROM sets")
 def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.itemsets(_usable(spark, sf_dir))
-    return found.select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.size("items").alias("size"), "n")
+    named = F.when(F.element_at("items", 1).isNotNull(), F.array_join(F.col("items").cast("array<string>"), ","))  # a file without a key is a set of its own
+    return found.select(named.alias("items"), F.size("items").alias("size"), "n")
 
 
 @query(
