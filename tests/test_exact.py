@@ -87,3 +87,54 @@ def test_files_without_a_key_are_a_set_as_in_sql(spark, tmp_path):
         told = duck.sql(core.ORACLES[name])
         ours = core.QUERIES[name](spark, str(tmp_path)).select(*told.columns).collect()
         assert sorted(map(tuple, ours), key=repr) == sorted(told.fetchall(), key=repr)
+
+
+def test_trigrams_of_ranges_by_blocks(spark, monkeypatch):
+    """Likeness from packed trigrams equals that of plain sets, however ranges are dealt to blocks and pairs to batches."""
+    import random
+
+    from weftline.operators import session
+
+    monkeypatch.setattr(session, "RANGES_A_BLOCK", 7)
+    monkeypatch.setattr(session, "OTHERS_AT_ONCE", 3)
+    monkeypatch.setattr(session, "PAIRS_AT_ONCE", 5)
+    r = random.Random(9)
+    words = ["alpha", "beta_2", "Gamma", "DELTA9", "_x1", "zzz", "zebra", "Z_9", *(f"w{i}" for i in range(100, 130))]
+    ids = {(s, i): sorted(r.sample(words, r.randrange(9))) for s in ("s", "t") for i in range(30)}
+    ids["s", 30], ids["s", 31] = [], ["abc"]
+    tokens = spark.createDataFrame([(*k, v) for k, v in ids.items()], "sid string, id long, identifiers array<string>")
+    pairs = [(*a, b[1], (a[1] + b[1]) % 3 == 0) for a in ids for b in ids if a[0] == b[0] and a[1] < b[1]]
+    table = spark.createDataFrame([*pairs, ("s", 3, 99, True)], "sid string, lo long, hi long, enough boolean")
+    grams = {k: {" ".join(v)[i : i + 3] for i in range(len(" ".join(v)) - 2)} for k, v in ids.items()}
+    like = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    want = {(s, a, b, e): like(grams[s, a], grams[s, b]) for s, a, b, e in pairs}
+    assert {tuple(x)[:4]: x["trigram"] for x in session.trigram_likeness(table, tokens).collect()} == want
+
+
+def test_holders_of_rare_tokens(spark):
+    """Two or three holders of a token are named, more are counted, and a single one isn't listed."""
+    import math
+
+    from weftline.operators import session
+
+    ids = {5: ["aa_1", "bb_2", "cc_3", "dd_4"], -7: ["aa_1", "bb_2", "cc_3"], 2**62: ["bb_2", "cc_3"], 11: ["cc_3"], 2**62 + 1: []}
+    tokens = spark.createDataFrame([("s", i, v) for i, v in ids.items()], "sid string, id long, identifiers array<string>")
+    found = {x["token"]: (x["n"], x["ids"], round(x["idf"], 9)) for x in session.token_holders(tokens).collect()}
+    idf = lambda n: round(math.log(6 / (1 + n)), 9)
+    assert found == {"aa_1": (2, [-7, 5], idf(2)), "bb_2": (3, [-7, 5, 2**62], idf(3)), "cc_3": (4, None, idf(4))}
+
+
+def test_identifiers_of_ranges(spark):
+    """Ranges' identifiers found in batches are those of the column expression, of ranges past the end and of nothing too."""
+    from pyspark.sql import functions as F
+
+    from weftline.functions import text as T
+    from weftline.operators import session
+
+    texts = [("a", "let First_1 = ünder_score\nfn x9y zz 9abc\r\n\n  Last_line"), ("b", ""), ("c", None), ("d", "for if\n--")]
+    files = spark.createDataFrame(texts, "path string, text string")
+    rows = [("s", i, p, a, b) for i, (p, a, b) in enumerate((p, a, b) for p, _ in texts for a, b in ((1, 1), (2, 3), (2, 99), (4, 4), (5, 9), (1, 2**31 - 1)))]
+    canon = spark.createDataFrame(rows, "sid string, id long, path string, start long, end long")
+    plain = canon.join(files, "path").select("id", T.identifiers(F.array_join(T.line_slice(T.lines_raw(F.col("text")), F.col("start"), F.col("end")), "\n")).alias("identifiers"))
+    found = {r["id"]: r["identifiers"] for r in session.range_tokens(canon, files).collect()}
+    assert found == {r["id"]: r["identifiers"] for r in plain.collect()}

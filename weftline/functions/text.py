@@ -28,12 +28,6 @@ def trigrams(tokens: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.array_join(tokens, " "), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
-def set_jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct values; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
-
-
 def lines_raw(text: Column) -> Column:
     """Pieces between line feeds, an empty last one too."""
     return F.split(text, "\n", -1)

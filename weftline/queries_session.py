@@ -123,8 +123,9 @@ def range_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents_as_ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = views(spark, sf_dir, "documents")[0]
-    canon = docs.select(F.col("source").alias("sid"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("start"), F.size(T.lines_raw(F.col("text"))).cast("bigint").alias("end"))
-    tokens = held(S.range_tokens(canon, docs.select(F.col("doc_id").cast("string").alias("path"), "text")))  # read several times, and slow to make
+    canon = docs.select(F.col("source").alias("sid"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("start"), F.lit(2**31 - 1).cast("bigint").alias("end")).hint("shuffle_hash")  # without texts
+    joined = held(S.joined_identifiers(canon, docs.select(F.col("doc_id").cast("string").alias("path"), "text")))  # read several times, and slow to make
+    tokens = S.split_identifiers(joined)
     return tokens, S.inverse_frequency(tokens)
 
 
@@ -156,11 +157,7 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pair_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source with an identifier that two or three of its documents hold stand for pairs of ranges."""
-    tokens, idf = _documents_as_ranges(spark, sf_dir)
-    each = tokens.select("sid", "id", F.explode("identifiers").alias("token"))
-    rare = each.groupBy("sid", "token").count().where("count BETWEEN 2 AND 3").drop("count")
-    own = each.join(rare, ["sid", "token"])
-    a, b = (own.withColumnRenamed("id", x) for x in ("lo", "hi"))
-    pairs = a.join(b, ["sid", "token"]).where("hi > lo").select("sid", "lo", "hi").distinct()
-    found = S.pair_cohesion(pairs, tokens, idf)
+    tokens, _ = _documents_as_ranges(spark, sf_dir)
+    holders = held(S.token_holders(tokens))
+    found = S.pair_cohesion(S.sharing(holders.where("n <= 3")), tokens, None, holders=holders)
     return found.select("sid", "lo", "hi", F.round("cohesion", 6).alias("cohesion"), F.round("trigram", 6).alias("trigram"))
